@@ -27,3 +27,8 @@ def sparse_from_lists(indices: Column, values: Column) -> Column:
 
 def namespace_of_user(user: Column) -> Column:
     return F.concat(F.lit(K.USER_NAMESPACE_PREFIX), user.cast("string"))
+
+
+def round4(score: Column) -> Column:
+    """Round the binary value to 4 places, halves to even."""
+    return F.rint(score * 10000) / 10000

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as K
-from ..functions.text import blank_to_null, to_uuid
-from ..functions.vectors import namespace_of_user
+from ..functions.text import blank_to_null, excerpt, to_uuid
+from ..functions.vectors import namespace_of_user, round4
 from .search import top_k
 
 PUBLIC_SOURCE, USER_SOURCE = "legal_vector", "document"
@@ -94,13 +94,11 @@ def prompt_hits(hits: DataFrame, n: int = K.PROMPT_K) -> DataFrame:
 
 def sources(hits: DataFrame) -> DataFrame:
     """What a reader is shown per hit: title, article, excerpt and rounded score."""
-    from ..functions.text import excerpt
-
     text = F.coalesce(blank_to_null("text"), F.lit(""))
     title = F.when(
         F.col("source_type") == USER_SOURCE, F.coalesce("filename", F.lit(K.UPLOAD_TITLE))
     ).otherwise(F.coalesce(blank_to_null("doc_title"), F.col("category"), F.lit(K.PUBLIC_TITLE)))
     return hits.select(
         "query_id", "rank", title.alias("title"), "category", "article", "law_date",
-        excerpt(text).alias("excerpt"), text.alias("text"), F.round("score", 4).alias("score"),
+        excerpt(text).alias("excerpt"), text.alias("text"), round4(F.col("score")).alias("score"),
     )

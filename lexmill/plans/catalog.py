@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import chunk_queries  # noqa: F401
+from . import chunk_queries, citation_queries, search_queries, text_queries  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

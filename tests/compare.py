@@ -63,7 +63,8 @@ def main(argv):
     sf = argv[0] if argv else "0.001"
     names = argv[1:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                                         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
