@@ -112,3 +112,8 @@ def pipeline_stats(checked: DataFrame) -> DataFrame:
         F.count_if(F.col("is_valid") & F.coalesce("is_fallback", F.lit(False))).alias("fallback"),
         F.count_if(F.col("is_valid")).alias("saved"),
     )
+
+
+def corpus_parts() -> list[tuple[str, str]]:
+    """Type and task pairs a corpus is read from; statutes have no summary task."""
+    return [(d, t) for d in K.CORPUS_TYPES for t in K.CORPUS_TASKS if (d, t) != ("법령", "SUM")]

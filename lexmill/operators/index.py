@@ -79,7 +79,7 @@ def index_stats(records: DataFrame, cfg: ChunkConfig, malformed: DataFrame | Non
 
 def chunk_id(*parts) -> Column:
     """Deterministic id: a retried task writes the same row again, not a second one."""
-    return to_uuid(F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts])))
+    return to_uuid(F.md5(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])))
 
 
 def chunk_rows(chunks: DataFrame, key: tuple[str, str] = ("doc_id", "chunk_index")) -> DataFrame:

@@ -1,6 +1,9 @@
 """All registered queries."""
 
-from . import chunk_queries, citation_queries, search_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    block_queries, chunk_queries, citation_queries, corpus_queries, index_queries, report_queries,
+    search_queries, text_queries,
+)
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -55,12 +55,6 @@ ENDPOINT = (
     "else '/chat/sessions/upload/document' end"
 )
 
-# documents as uploads: owner and session from the customer and order key spaces
-DOCUMENTS = (
-    f"select doc_id as document_id, doc_id % 97 as session_id, doc_id % 31 as user_id, {FILE_NAME} as file_name, "
-    f"{STATUS} as status, {CATEGORY} as category, timestamp_base as created_at from (select *, "
-    "timestamp '2024-01-01 00:00:00' + interval '1' minute * doc_id as timestamp_base from documents) as d"
-)
 # conversations as messages: a user turn is the question, the assistant turn after it the answer
 TURNS = (
     "select u.conv_id as session_id, u.turn as turn, u.conv_id * 1000 + u.turn as message_id, "
@@ -74,7 +68,7 @@ def kdocs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id)")
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))")
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"), (F.col("doc_id") % 97).alias("session_id"),
         (F.col("doc_id") % 31).alias("user_id"), F.expr(FILE_NAME).alias("file_name"),
