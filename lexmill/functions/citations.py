@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import constants as K
-from .text import any_of, blank_to_null, drop_space, strip
+from .text import any_of, blank_to_null, drop_space, let, strip
 
 _STRINGS = "array<string>"
 _PAIRS = "array<struct<law:string,art:string>>"
@@ -36,27 +36,45 @@ def find_articles(text: Column, head: int | None = None) -> Column:
     return F.filter(zipped, lambda x: x["art"].isNotNull())
 
 
-def law_before(between: Column) -> Column:
-    """Best law name that ends the text before an article, or the empty string."""
-    c = F.regexp_replace(between, K.PARENTHESES, "")
-    c = strip(F.regexp_replace(c, f"{K.EDGE_JUNK}$", ""))
-    c = strip(F.regexp_replace(c, f"^{K.EDGE_JUNK}", ""))
-    bracketed = strip(F.regexp_extract(c, K.BRACKETED_LAW, 1))
-    compound = strip(F.regexp_extract(c, K.COMPOUND_LAW, 1))
-    word = strip(F.regexp_extract(c, K.WORD_LAW, 1))
-    usable = lambda w: F.when((w != "") & ~_in(w, K.LAW_STOP_WORDS), w)
+# A name that reaches the end starts where its run of characters starts; saying so lets the search
+# skip every position inside a run and does not change what is found.
+_RUN_START = f"(?<![{K.LAW_CHARS}])"
+
+
+def _unwrap(between: Column) -> Column:
+    """Without parentheses and without the junk characters at either end."""
+    return F.btrim(F.regexp_replace(between, K.PARENTHESES, ""), F.lit(K.EDGE_JUNK_MARKS + K.WS_CHARS))
+
+
+def _candidates(c: Column) -> Column:
+    return F.struct(
+        strip(F.regexp_extract(c, K.BRACKETED_LAW, 1)).alias("quoted"),
+        F.regexp_extract(c, _RUN_START + K.COMPOUND_LAW, 1).alias("compound"),
+        F.regexp_extract(c, _RUN_START + K.WORD_LAW, 1).alias("word"),
+    )
+
+
+def _best(x: Column) -> Column:
+    usable = lambda w: (w != "") & ~_in(w, K.LAW_STOP_WORDS)
     return (
-        F.when(c.rlike(K.BRACKETED_LAW), bracketed)
-        .otherwise(F.coalesce(usable(compound), usable(word), F.lit("")))
+        F.when(x["quoted"] != "", x["quoted"])
+        .when(usable(x["compound"]), x["compound"])
+        .when(usable(x["word"]), x["word"])
+        .otherwise("")
     )
 
 
+def law_before(between: Column) -> Column:
+    """Best law name that ends the text before an article, or the empty string."""
+    return let(let(_unwrap(between), _candidates), _best)
+
+
 def is_valid_law(law: Column) -> Column:
     return (law != "") & ~law.rlike(K.SUBUNIT_ONLY) & ~_contains(law, K.INVALID_LAW_KEYWORDS)
 
 
 def keep_valid_law(law: Column) -> Column:
-    return F.when(is_valid_law(law), law).otherwise("")
+    return let(law, lambda w: F.when(is_valid_law(w), w).otherwise(""))
 
 
 def law_article_pairs(text: Column, head: int | None = None) -> Column:
@@ -92,19 +110,28 @@ def inherit_law(pairs: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def filter_citations(pairs: Column) -> tuple[Column, Column]:
-    """(laws, citations) as ordered distinct arrays; bare articles survive only on their own."""
-    full = F.filter(pairs, lambda p: ~_unnamed(p["law"], K.BARE_CITATION_WORDS))
-    laws = F.array_distinct(F.transform(full, lambda p: p["law"]))
-    qualified = F.array_distinct(F.transform(full, lambda p: F.concat_ws(" ", p["law"], p["art"])))
-    bare = F.array_distinct(F.transform(pairs, lambda p: p["art"]))
-    return laws, F.when(F.size(full) > 0, qualified).otherwise(bare)
+def filter_citations(pairs: Column) -> Column:
+    """``struct(laws, citations)`` of ordered distinct values; bare articles survive only on their own."""
+
+    def split(x):
+        laws = F.array_distinct(F.transform(x["full"], lambda p: p["law"]))
+        qualified = F.transform(x["full"], lambda p: F.concat_ws(" ", p["law"], p["art"]))
+        bare = F.transform(x["pairs"], lambda p: p["art"])
+        return F.struct(
+            laws.alias("laws"),
+            F.array_distinct(F.when(F.size(x["full"]) > 0, qualified).otherwise(bare)).alias("citations"),
+        )
+
+    full = lambda ps: F.filter(ps, lambda p: ~_unnamed(p["law"], K.BARE_CITATION_WORDS))
+    return let(let(pairs, lambda ps: F.struct(ps.alias("pairs"), full(ps).alias("full"))), split)
 
 
-def legal_metadata(text: Column, head: int | None = None) -> tuple[Column, Column]:
-    """(law names, citations) of a text, comma-joined."""
-    laws, citations = filter_citations(inherit_law(law_article_pairs(text, head)))
-    return F.array_join(laws, ", "), F.array_join(citations, ", ")
+def legal_metadata(text: Column, head: int | None = None) -> Column:
+    """``struct(laws, citations)`` of a text, comma-joined."""
+    found = filter_citations(inherit_law(law_article_pairs(text, head)))
+    return let(found, lambda f: F.struct(
+        F.array_join(f["laws"], ", ").alias("laws"), F.array_join(f["citations"], ", ").alias("citations")
+    ))
 
 
 def post_clean(joined: Column, strict: bool = False) -> Column:
@@ -131,7 +158,7 @@ def post_clean(joined: Column, strict: bool = False) -> Column:
 
 def law_name_candidates(text: Column, pattern: str = K.LAW_NAME_BODY) -> Column:
     regex = (
-        rf"(?md)(?:^|(?<={K.S}))(?:구{K.S}+)?({pattern}){K.LAW_NAME_PAREN}"
+        rf"(?md)(?=[가-힣])(?:^|(?<={K.S}))(?:구{K.S}+)?({pattern}){K.LAW_NAME_PAREN}"
         rf"(?={K.S}*제{K.S}*{K.D}+{K.S}*조|{K.S}|$)"
     )
     names = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(1)), strip)

@@ -11,7 +11,7 @@ WS_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 WS_CLASS = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 S = f"[{WS_CLASS}]"
@@ -40,7 +40,8 @@ BULLET_CLASS = r"[\x{2022}\x{25a0}\x{25cb}\x{2013}\x{2014}]"
 # --- fixed values: citations --------------------------------------------------------------
 ARTICLE = rf"제{S}*{D}+{S}*조(?:의{S}*{D}+)?"
 PARENTHESES = r"\([^)]+\)"
-EDGE_JUNK = rf"['’`“”,;·ᆞ•{WS_CLASS}및또는]+"
+EDGE_JUNK_MARKS = "'’`“”,;·ᆞ•및또는"
+EDGE_JUNK = rf"[{EDGE_JUNK_MARKS}{WS_CLASS}]+"
 LAW_CHARS = r"가-힣A-Za-z0-9·\-~"
 LAW_WORD = rf"[{LAW_CHARS}]+"
 BRACKETED_LAW = r"「([^」]+)」$"
@@ -89,6 +90,8 @@ SAMPLE_CHUNKS, SAMPLE_TEXT_CHARS = 10, 8000
 REVISION_KEYWORDS = (
     rf"(?:개정|시행|제정|공포|최종{S}*수정|last{S}*revised|amended|effective)"
 )
+# how those keywords begin: a cheap test before the full one
+REVISION_LEADS = "(?:[개시제공최]|[lL][aA]|[aA][mM]|[eE][fF])"
 DATE_PATTERNS = (
     rf"({D}{{4}}){S}*년{S}*({D}{{1,2}}){S}*월{S}*({D}{{1,2}}){S}*일",
     rf"({D}{{4}})\.{S}*({D}{{1,2}})\.{S}*({D}{{1,2}})",

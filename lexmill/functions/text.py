@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -15,6 +15,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     """Trim every Unicode white-space character, not only U+0020."""
     return F.btrim(_col(c), F.lit(K.WS_CHARS))
@@ -50,11 +55,19 @@ def nfkc(c) -> Column:
 
 
 def remove_patterns(c) -> Column:
-    """Delete annex, form, enforcement, law-number, table and figure marks; squeeze spaces."""
-    c = _col(c)
-    for pattern in K.CLEAN_PATTERNS:
-        c = F.regexp_replace(c, pattern, "")
-    return strip(squeeze(c))
+    """Delete annex, form, enforcement, law-number, table and figure marks; squeeze spaces.
+
+    One scan finds out whether a text has any mark; only then the deletions run in turn.
+    """
+
+    def deleted(text):
+        for pattern in K.CLEAN_PATTERNS:
+            text = F.regexp_replace(text, pattern, "")
+        return text
+
+    marked = rf"(?=[\[<]){any_of(K.CLEAN_PATTERNS)}"
+    plain = let(_col(c), lambda t: F.when(t.rlike(marked), deleted(t)).otherwise(t))
+    return strip(squeeze(plain))
 
 
 def clean_text(c) -> Column:
@@ -104,7 +117,7 @@ def _iso(window: Column, pattern: str) -> Column:
 
 
 def _first_date(window: Column) -> Column:
-    return F.coalesce(*[_iso(window, p) for p in K.DATE_PATTERNS])
+    return let(window, lambda w: F.coalesce(*[_iso(w, p) for p in K.DATE_PATTERNS]))
 
 
 def revised_date(c) -> Column:
@@ -115,7 +128,7 @@ def revised_date(c) -> Column:
     """
     c = _col(c)
     near = (
-        rf"(?is)(?={K.REVISION_KEYWORDS})"
+        rf"(?is)(?={K.REVISION_LEADS})(?={K.REVISION_KEYWORDS})"
         rf"(?<=(^.{{0,{K.KEYWORD_BEFORE - 1}}}|.{{{K.KEYWORD_BEFORE}}}))"
         rf"(?=({K.REVISION_KEYWORDS}.{{0,{K.KEYWORD_AFTER}}}))"
     )

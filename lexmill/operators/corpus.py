@@ -52,12 +52,13 @@ def add_citations(records: DataFrame, head: int | None = K.CITATION_HEAD_CHARS,
     citations; None reads all of it.
     """
     parse = F.when(F.col("docu_type").isin(*K.CITED_TYPES), F.col("source_text")).otherwise("")
-    laws, citations = legal_metadata(parse, head)
-    parsed = records.withColumn("_law", laws).withColumn("_art", citations)
-    law, article = compose_law_and_article("title", "sm_class", F.col("_law"), F.col("_art"), "docu_type")
+    parsed = records.withColumn("_m", legal_metadata(parse, head))
+    law, article = compose_law_and_article(
+        "title", "sm_class", F.col("_m.laws"), F.col("_m.citations"), "docu_type"
+    )
     return (
         parsed.withColumn("law_name", post_clean(law, strict))
-        .withColumn("article", post_clean(article, strict)).drop("_law", "_art")
+        .withColumn("article", post_clean(article, strict)).drop("_m")
     )
 
 

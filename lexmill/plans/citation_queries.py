@@ -137,14 +137,14 @@ def cit_inherit(spark, sf):
     select doc_id, cit, row_number() over (partition by doc_id order by p) - 1 as pos from (
       select doc_id, cit, min(pos) as p from ({sql_filtered(KT)}) as b group by doc_id, cit) as x""")
 def cit_filter(spark, sf):
-    _, cits = C.filter_citations(C.inherit_law(C.law_article_pairs(F.col("ktext"))))
-    return kdocs(spark, sf).select("doc_id", F.posexplode(cits).alias("pos", "cit"))
+    kept = C.filter_citations(C.inherit_law(C.law_article_pairs(F.col("ktext"))))
+    return kdocs(spark, sf).select("doc_id", F.posexplode(kept["citations"]).alias("pos", "cit"))
 
 
 @register("cit_metadata", "doc_id long, laws str, cits str", sql_metadata(KT))
 def cit_metadata(spark, sf):
-    laws, cits = C.legal_metadata(F.col("ktext"))
-    return kdocs(spark, sf).select("doc_id", laws.alias("laws"), cits.alias("cits"))
+    found = kdocs(spark, sf).select("doc_id", C.legal_metadata(F.col("ktext")).alias("m"))
+    return found.select("doc_id", "m.laws", F.col("m.citations").alias("cits"))
 
 
 # items from the citation list of each document, some with a pointer word before or after them
