@@ -244,7 +244,8 @@ def parse_analysis(raw) -> tuple[Column, Column]:
     body = F.regexp_replace(_col(raw), "```(?:json)?", "")
     body = strip(F.rtrim(strip(body), F.lit("`")))
     doc = F.try_parse_json(body)
-    parsed = doc.isNotNull()
+    # the parser stops after the first value, so text around it is ruled out here
+    parsed = doc.isNotNull() & body.startswith("{") & body.endswith("}")
     text = lambda path: F.try_variant_get(doc, path, "string")
     items = F.try_variant_get(doc, "$.summary", "array<string>")
     closed = F.regexp_extract(body, r'"summary"\s*:\s*"([\s\S]+?)"\s*\}', 1)

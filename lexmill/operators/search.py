@@ -212,8 +212,12 @@ def _by_grid(queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> Da
             "vec_id": block.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64()),
         })
 
-    cell = ("cell", "qb", "vb")
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, schema)
+    # both sides descend from one layout; fresh names keep their columns apart
+    right = right.withColumnsRenamed({"cell": "v_cell", "qb": "v_qb", "vb": "v_vb"})
+    return (
+        left.groupBy("cell", "qb", "vb").cogroup(right.groupBy("v_cell", "v_qb", "v_vb"))
+        .applyInArrow(score, schema)
+    )
 
 
 def top_k(

@@ -83,10 +83,12 @@ def read_label_json(spark: SparkSession, root: str, docu_type: str, task: str) -
             T.StructField("info", _MAP), T.StructField("label", _MAP), T.StructField("_corrupt_record", T.StringType())
         ])
         rows = (
-            spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+            spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
         )
-        return rows.filter(F.col("_corrupt_record").isNull()).select(
+        # Spark refuses to read the corrupt-record column alone, as a bare count would
+        parsed = F.col("_corrupt_record").isNull() & (F.coalesce(F.size("info"), F.lit(-1)) >= -1)
+        return rows.filter(parsed).select(
             "info", "label", F.lit(docu_type).alias("docu_type"), F.lit(task).alias("task_type")
         )
 
