@@ -21,8 +21,8 @@ def ordered_concat(sentences: DataFrame, keys: tuple[str, ...] = ("docu_type", "
     item = F.struct("seq", "file", "pos", "content")
     usable = sentences.filter(F.col("rid").isNotNull() & (F.col("rid") != K.MISSING_ID))
     joined = usable.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s"))
-    raw = F.array_join(F.col("_s.content"), "\n")
-    return joined.select(*keys, transliterate(clean_text(raw), chars, words).alias("joined_text"))
+    raw = joined.select(*keys, F.array_join(F.col("_s.content"), "\n").alias("_raw"))
+    return raw.select(*keys, transliterate(clean_text("_raw"), chars, words).alias("joined_text"))
 
 
 def join_source(labels: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("docu_type", "rid")) -> DataFrame:
@@ -118,3 +118,9 @@ def pipeline_stats(checked: DataFrame) -> DataFrame:
 def corpus_parts() -> list[tuple[str, str]]:
     """Type and task pairs a corpus is read from; statutes have no summary task."""
     return [(d, t) for d in K.CORPUS_TYPES for t in K.CORPUS_TASKS if (d, t) != ("법령", "SUM")]
+
+
+def keep_parts(records: DataFrame) -> DataFrame:
+    """Records of those pairs, in one pass."""
+    pairs = [F.struct(F.lit(d), F.lit(t)) for d, t in corpus_parts()]
+    return records.filter(F.struct("docu_type", "task_type").isin(*pairs))

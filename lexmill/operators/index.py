@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..functions.chunking import ChunkConfig, chunk_array
 from ..functions.citations import law_mode, with_law
 from ..functions.text import article_key, blank_to_null, is_indexable, parse_law_date, text_hash, to_uuid
+from .rows import explode_positions
 from .search import top_k
 from .windows import keep_first
 
@@ -21,7 +22,7 @@ def chunk_documents(df: DataFrame, cfg: ChunkConfig = ChunkConfig(), detect: boo
     detect = detect and cfg.use_law_structure
     law = law_mode(F.col(text)) if detect else F.lit("")
     wide = df.select(*keep, law.alias("law_name"), chunk_array(F.col(text), cfg, detect).alias("_chunks"))
-    rows = wide.select(*keep, "law_name", F.posexplode("_chunks").alias("chunk_index", "_c"))
+    rows = explode_positions(wide, [*keep, "law_name"], F.col("_chunks"), "chunk_index", "_c")
     return rows.select(
         *keep, "chunk_index", F.col("_c.text").alias("text"), "law_name",
         with_law(F.col("law_name"), F.col("_c.article")).alias("article"),

@@ -177,14 +177,15 @@ def _by_grid(queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> Da
         queries.groupBy("key").agg(F.count("*").alias("n_targets"))
         .join(vectors.groupBy("key").agg(F.count("*").alias("n_vectors")), "key")
         .select(
-            "key", "n_vectors",
+            "key", "n_targets", "n_vectors",
             F.ceil(F.col("n_targets") / TARGET_BLOCK).cast("int").alias("q_blocks"),
             F.ceil(F.col("n_vectors") / VECTOR_BLOCK).cast("int").alias("v_blocks"),
         )
     )
     small = (F.col("q_blocks") == 1) & (F.col("v_blocks") == 1)
-    total = sizes.agg(F.sum(F.when(small, F.col("n_vectors")))).first()[0] or 0
-    buckets = total // VECTOR_BLOCK + 1
+    # two sums, so that a cell of many small keys stays about one block large on either side
+    sums = sizes.filter(small).agg(F.sum("n_targets").alias("t"), F.sum("n_vectors").alias("v")).first()
+    buckets = max((sums["t"] or 0) // TARGET_BLOCK, (sums["v"] or 0) // VECTOR_BLOCK) + 1
     layout = sizes.select(
         "key", "q_blocks", "v_blocks",
         F.when(small, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key")).alias("cell"),

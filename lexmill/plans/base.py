@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K
+from ..sources.files import read_table, spread
 
 TYPES = {
     "long": ("bigint", "BIGINT"), "str": ("string", "VARCHAR"), "dbl": ("double", "DOUBLE"),
@@ -17,8 +18,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+HEAVY = {"documents", "pages", "conversations", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Texts and vectors get heavy per-row work, so a small file is spread over the cores."""
+    df = read_table(spark, sf_dir, name)
+    return spread(df) if name in HEAVY else df
 
 
 def register(name: str, columns: str, sql: str | None = None):

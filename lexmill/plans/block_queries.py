@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators.rows import explode_positions
 from .base import register, sql_drop_space, sql_strip, table
 
 # a page's pieces between tags are its blocks: four to a line, lines 50 apart, even ones native
@@ -26,7 +27,7 @@ PAGE_TEXT = f"""select doc_id, page, coalesce(string_agg(t, ' ' order by place)
 
 
 def page_blocks(spark, sf):
-    pieces = table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", "<")).alias("pos", "piece"))
+    pieces = explode_positions(table(spark, sf, "pages"), ["page_id"], F.split("html", "<"), "pos", "piece")
     i = F.col("pos")
     x0, y0 = (i * 37) % 601, F.floor(i / 4) * 50 + (i * 7) % 8
     return pieces.select(
@@ -57,7 +58,7 @@ def ocr_dedup(spark, sf):
 @register("reading_order", "doc_id long, page long, place long, source str, text str", ORDERED)
 def reading_order(spark, sf):
     ordered = B.reading_order(B.merge_blocks(*split_blocks(spark, sf)))
-    rows = ordered.select("doc_id", "page", F.posexplode("blocks").alias("i", "b"))
+    rows = explode_positions(ordered, ["doc_id", "page"], F.col("blocks"), "i", "b")
     return rows.select("doc_id", "page", (F.col("i") + 1).alias("place"), "b.source", "b.text")
 
 

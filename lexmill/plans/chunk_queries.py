@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import chunking as C, constants as K
 from ..functions.chunking import ChunkConfig
 from ..functions.text import preview, strip, text_hash
-from ..operators import index, windows
+from ..operators import index
+from ..operators.rows import explode_positions
 from .base import q, register, sql_drop_space, sql_hash, sql_strip, sql_sub, table
 from .fixtures import KDOCS, kdocs
 
@@ -77,7 +78,7 @@ def sql_law_mode(source: str, key: str, text: str) -> str:
     select doc_id, unnest(ss) as section, unnest(range(0, len(ss))) as pos
     from (select doc_id, {sql_sections('ktext')} as ss from ({KDOCS})) as s""")
 def sections(spark, sf):
-    return kdocs(spark, sf).select("doc_id", F.posexplode(C.split_sections(F.col("ktext"))).alias("pos", "section"))
+    return explode_positions(kdocs(spark, sf), ["doc_id"], C.split_sections(F.col("ktext")), "pos", "section")
 
 
 @register("sentences", "doc_id long, pos long, sentence str", f"""
@@ -85,7 +86,7 @@ def sections(spark, sf):
     from (select doc_id, {sql_sentences('text')} as ss from documents) as s""")
 def sentences(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(C.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    return explode_positions(docs, ["doc_id"], C.split_sentences(F.col("text")), "pos", "sentence")
 
 
 @register("chunks", "doc_id long, chunk_index long, text str, char_count long", f"""
@@ -161,7 +162,8 @@ def _sampled(spark, sf):
 @register("sample_chunks", "doc_id long, chunk_index long, text str",
           f"select doc_id, chunk_index, text from ({SAMPLED}) as z")
 def sample_chunks(spark, sf):
-    return _sampled(spark, sf).select("doc_id", F.inline("sample"))
+    rows = explode_positions(_sampled(spark, sf), ["doc_id"], F.col("sample"), "pos", "c")
+    return rows.select("doc_id", "c.*")
 
 
 @register("sample_text", "doc_id long, sample str", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import citations as C, constants as K
+from ..operators.rows import explode_positions
 from .base import q, register, sql_drop_space, sql_in, sql_strip, sql_sub
 from .fixtures import KDOCS, kdocs
 
@@ -112,8 +113,8 @@ KT = f"select doc_id, ktext as t from ({KDOCS}) as kd"
 
 @register("cit_articles", "doc_id long, pos long, between_text str, art str", sql_articles(KT))
 def cit_articles(spark, sf):
-    found = F.posexplode(C.find_articles(F.col("ktext"))).alias("pos", "x")
-    return kdocs(spark, sf).select("doc_id", found).select("doc_id", "pos", F.col("x.between").alias("between_text"), "x.art")
+    rows = explode_positions(kdocs(spark, sf), ["doc_id"], C.find_articles(F.col("ktext")), "pos", "x")
+    return rows.select("doc_id", "pos", F.col("x.between").alias("between_text"), "x.art")
 
 
 @register("cit_law", "doc_id long, pos long, cand str, art str", sql_law_before(sql_articles(KT)))
@@ -123,14 +124,14 @@ def cit_law(spark, sf):
 
 @register("cit_valid", "doc_id long, pos long, law str, art str", sql_pairs(KT))
 def cit_valid(spark, sf):
-    return kdocs(spark, sf).select("doc_id", F.posexplode(C.law_article_pairs(F.col("ktext"))).alias("pos", "x")).select(
-        "doc_id", "pos", "x.law", "x.art")
+    pairs = C.law_article_pairs(F.col("ktext"))
+    return explode_positions(kdocs(spark, sf), ["doc_id"], pairs, "pos", "x").select("doc_id", "pos", "x.law", "x.art")
 
 
 @register("cit_inherit", "doc_id long, pos long, law str, art str", sql_inherited(KT))
 def cit_inherit(spark, sf):
     pairs = C.inherit_law(C.law_article_pairs(F.col("ktext")))
-    return kdocs(spark, sf).select("doc_id", F.posexplode(pairs).alias("pos", "x")).select("doc_id", "pos", "x.law", "x.art")
+    return explode_positions(kdocs(spark, sf), ["doc_id"], pairs, "pos", "x").select("doc_id", "pos", "x.law", "x.art")
 
 
 @register("cit_filter", "doc_id long, cit str, pos long", f"""
@@ -138,7 +139,7 @@ def cit_inherit(spark, sf):
       select doc_id, cit, min(pos) as p from ({sql_filtered(KT)}) as b group by doc_id, cit) as x""")
 def cit_filter(spark, sf):
     kept = C.filter_citations(C.inherit_law(C.law_article_pairs(F.col("ktext"))))
-    return kdocs(spark, sf).select("doc_id", F.posexplode(kept["citations"]).alias("pos", "cit"))
+    return explode_positions(kdocs(spark, sf), ["doc_id"], kept["citations"], "pos", "cit")
 
 
 @register("cit_metadata", "doc_id long, laws str, cits str", sql_metadata(KT))
@@ -175,7 +176,7 @@ REFS = f"""select doc_id, ref, min(pos) as p, k from (
     select doc_id, arg_min(ref, p) as ref, row_number() over (partition by doc_id order by min(p)) - 1 as pos
     from ({REFS}) as r group by doc_id, k""")
 def law_refs(spark, sf):
-    return kdocs(spark, sf).select("doc_id", F.posexplode(C.law_refs(F.col("ktext"))).alias("pos", "ref"))
+    return explode_positions(kdocs(spark, sf), ["doc_id"], C.law_refs(F.col("ktext")), "pos", "ref")
 
 
 @register("ordered_distinct", "doc_id long, refs str", f"""

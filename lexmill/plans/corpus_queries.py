@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import zfill
 from ..operators import corpus as C
+from ..operators.rows import explode_positions
 from .base import q, register, sql_in, table
 from .citation_queries import sql_metadata, sql_post_clean
 from .fixtures import KDOCS, KTEXT, kdocs
@@ -20,7 +21,7 @@ RID = "case when length(cast(doc_id as string)) < 6 then lpad(cast(doc_id as str
 
 def sentences(spark, sf):
     """Lines of every document, numbered from the last to the first, so that order matters."""
-    lines = kdocs(spark, sf).select("doc_id", F.posexplode(F.split("ktext", "\n")).alias("pos", "content"))
+    lines = explode_positions(kdocs(spark, sf), ["doc_id"], F.split("ktext", "\n"), "pos", "content")
     return lines.select(
         F.expr(DOCU).alias("docu_type"), zfill(F.col("doc_id").cast("string")).alias("rid"),
         (-F.col("pos")).cast("double").alias("seq"), F.lit("part.csv").alias("file"), F.col("pos").cast("long").alias("pos"), "content")
@@ -92,10 +93,4 @@ def pipeline_stats(spark, sf):
 @register("corpus_union", "docu_type str, task_type str, records long", f"""
     select docu_type, task_type, count(*) as records from ({LABELS}) as l where not (docu_type = '법령' and task_type = 'SUM') group by 1, 2""")
 def corpus_union(spark, sf):
-    parts = C.corpus_parts()
-    rows = labels(spark, sf)
-    union = None
-    for docu_type, task in parts:
-        part = rows.filter((F.col("docu_type") == docu_type) & (F.col("task_type") == task))
-        union = part if union is None else union.unionByName(part)
-    return union.groupBy("docu_type", "task_type").agg(F.count("*").alias("records"))
+    return C.keep_parts(labels(spark, sf)).groupBy("docu_type", "task_type").agg(F.count("*").alias("records"))

@@ -147,23 +147,40 @@ def upload_texts(uploads: DataFrame) -> DataFrame:
     return uploads.filter("doc_type = 'txt'").withColumn("text", decode_text("content")).drop("content")
 
 
-def write_vectors(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("namespace").parquet(path)
+# Vectors lie in namespace folders cut into buckets by id: an update rewrites the buckets it touches,
+# not a whole namespace. Raise the count with the size of the largest namespace.
+VECTOR_BUCKETS = 64
+_PLACE = ("namespace", "bucket")
+
+
+def _with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def write_vectors(df: DataFrame, path: str, key: str = "vec_id", buckets: int = VECTOR_BUCKETS) -> None:
+    """Append new records. A hot namespace is written by as many tasks as it has buckets."""
+    placed = _with_bucket(df, key, buckets).repartition(*_PLACE)
+    placed.write.mode("append").partitionBy(*_PLACE).parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).drop("bucket")
     return rows if namespace is None else rows.filter(F.col("namespace") == namespace)
 
 
-def upsert_vectors(spark: SparkSession, path: str, updates: DataFrame, key: str = "vec_id") -> None:
-    """Insert or replace by id; only the namespaces that the updates name are read and rewritten."""
-    touched = updates.select("namespace").distinct()
-    base = spark.read.parquet(path).join(touched, "namespace", "left_semi")
-    merged = upsert(base, updates, ["namespace", key])
+def upsert_vectors(spark: SparkSession, path: str, updates: DataFrame, key: str = "vec_id",
+                   buckets: int = VECTOR_BUCKETS) -> None:
+    """Insert or replace by id; only the buckets that hold an updated id are read and rewritten.
+
+    Replaced folders are swapped in when the whole job commits, so a lost executor leaves the table as it was.
+    """
+    new = _with_bucket(updates, key, buckets)
+    touched = new.select(*_PLACE).distinct()
+    base = spark.read.parquet(path).join(touched, list(_PLACE), "left_semi")
+    merged = upsert(base, new, [*_PLACE, key])
     (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("namespace").parquet(path)
+        merged.repartition(*_PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_PLACE).parquet(path)
     )
 
 

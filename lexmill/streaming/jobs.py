@@ -18,6 +18,7 @@ from ..functions import constants as K
 from ..functions.chunking import ChunkConfig, chunk_array
 from ..functions.text import has_min_text, text_hash
 from ..operators import retrieval
+from ..operators.rows import explode_positions
 from ..operators.sessions import document_errors, session_rollup
 
 
@@ -29,9 +30,8 @@ def stream_index(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), detect: bool
         fresh = fresh.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["text_hash"])
     else:
         fresh = fresh.dropDuplicates(["text_hash"])
-    return fresh.select(
-        "text_hash", F.posexplode(chunk_array(F.col(text), cfg, detect)).alias("chunk_index", "c")
-    ).select("text_hash", "chunk_index", F.col("c.text").alias("text"), F.col("c.article").alias("article"))
+    rows = explode_positions(fresh, ["text_hash"], chunk_array(F.col(text), cfg, detect), "chunk_index", "c")
+    return rows.select("text_hash", "chunk_index", F.col("c.text").alias("text"), F.col("c.article").alias("article"))
 
 
 def stream_context(turns: DataFrame, keep: str | None = None) -> DataFrame:
