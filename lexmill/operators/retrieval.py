@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import constants as K
 from ..functions.text import blank_to_null, excerpt, to_uuid
 from ..functions.vectors import namespace_of_user, round4
+from ..session import cut
 from .search import top_k
 
 PUBLIC_SOURCE, USER_SOURCE = "legal_vector", "document"
@@ -62,7 +63,7 @@ def attach_text(hits: DataFrame, public_chunks: DataFrame, user_chunks: DataFram
     time the small id side is broadcast, so the chunk tables are not shuffled.
     """
     keys = ["source_type", "_vid"]
-    hits = hits.withColumn("_vid", to_uuid("vector_id"))
+    hits = cut(hits.withColumn("_vid", to_uuid("vector_id")))  # read twice below, searched once
     tagged = lambda df, tag: df.select(
         F.lit(tag).alias("source_type"), to_uuid("vector_id").alias("_vid"), "chunk_text"
     )

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import constants as K
+from ..session import cut
 
 TARGET_COLUMNS = ("query_id", "key", "dense", "idx", "val")
 VECTOR_COLUMNS = ("vec_id", "key", "dense", "idx", "val")
@@ -182,6 +183,7 @@ def _by_grid(queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> Da
             F.ceil(F.col("n_vectors") / VECTOR_BLOCK).cast("int").alias("v_blocks"),
         )
     )
+    sizes = cut(sizes)  # one row per key; used for the sums and on both sides of the grid
     small = (F.col("q_blocks") == 1) & (F.col("v_blocks") == 1)
     # two sums, so that a cell of many small keys stays about one block large on either side
     sums = sizes.filter(small).agg(F.sum("n_targets").alias("t"), F.sum("n_vectors").alias("v")).first()

@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-HEAVY = {"documents", "pages", "conversations", "embeddings"}
+HEAVY = {"documents", "pages", "conversations", "embeddings", "labels"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, vectors as V
+from ..session import cut
 from ..operators import embed as E, index, prompts, retrieval, search, verify, windows
 from .base import q, register, sql_drop_space, sql_strip, table
 from .chunk_queries import CHUNK_ROWS
@@ -44,7 +45,7 @@ def evidence(spark, sf, k=K.TOP_K):
     texts = table(spark, sf, "documents").select(
         F.col("doc_id").alias("vec_id"), F.expr(KTEXT).alias("text"), F.expr(CATEGORY).alias("category"),
         F.expr(LAW_DATE).alias("law_date"), F.col("source").alias("doc_title"))
-    found = retrieval.prompt_hits(hits(spark, sf), k)
+    found = cut(retrieval.prompt_hits(hits(spark, sf), k))
     wanted = found.select("vec_id").distinct()
     return (
         found.join(texts.join(wanted, "vec_id", "left_semi"), "vec_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lexmill-")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute a small, expensive result once and keep it in the shared folder.
+
+    Several consumers then read it instead of repeating its plan, and a lost executor costs no
+    recomputation.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def ship_with_closures() -> None:
     """Send this package's task code inside closures, for runs where executors cannot import it.
 

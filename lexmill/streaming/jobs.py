@@ -19,6 +19,7 @@ from ..functions.chunking import ChunkConfig, chunk_array
 from ..functions.text import has_min_text, text_hash
 from ..operators import retrieval
 from ..operators.rows import explode_positions
+from ..session import cut
 from ..operators.sessions import document_errors, session_rollup
 
 
@@ -89,7 +90,7 @@ def answer_batch(vectors: DataFrame, mode: str = "hybrid", k: int = K.TOP_K) ->
     """Retrieval and gate of one micro-batch of questions against a static index."""
 
     def run(questions: DataFrame) -> DataFrame:
-        hits = retrieval.search(questions, vectors, mode, k)
+        hits = cut(retrieval.search(questions, vectors, mode, k))
         gate = retrieval.legal_gate(questions, hits).select("query_id", "is_legal")
         return hits.join(gate, "query_id")
 
