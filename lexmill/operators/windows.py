@@ -33,6 +33,32 @@ def lag_by_blocks(
     )
 
 
+def look_back(
+    df: DataFrame, keys: Sequence[str], order: str, block: Column, values: Sequence[str], n: int, out: str
+) -> DataFrame:
+    """The ``n`` rows before each row of its key, oldest first, as an array of structs.
+
+    Blocks as in ``lag_by_blocks``. Each block passes on its last ``n`` rows; since a block holds at
+    least one row, the ``n`` blocks before one are enough to fill its first rows' look-back.
+    """
+    part = [*keys, "_block"]
+    item = F.struct(order, *values)
+    rows = df.withColumn("_block", block)
+    inside = Window.partitionBy(*part).orderBy(order).rowsBetween(-n, -1)
+    near = rows.withColumn("_near", F.collect_list(item).over(inside))
+    tails = most_recent(rows, part, [F.desc(order)], n).groupBy(*part).agg(
+        F.sort_array(F.collect_list(item)).alias("_tail")
+    )
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(-n, -1)
+    carried = tails.select(*part, F.flatten(F.collect_list("_tail").over(across)).alias("_carry"))
+    every = F.concat(F.coalesce("_carry", F.filter("_near", lambda _: F.lit(False))), F.col("_near"))
+    return (
+        near.join(carried, part, "left").withColumn(out, every)
+        .withColumn(out, F.when(F.size(out) > n, F.slice(out, -n, n)).otherwise(F.col(out)))
+        .drop("_block", "_near", "_carry")
+    )
+
+
 def most_recent(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "recency") -> DataFrame:
     """The n newest rows per key. The rank filter prunes each partition before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

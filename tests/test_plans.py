@@ -53,6 +53,15 @@ def test_lag_by_blocks_equals_lag_on_a_hot_session(spark):
     assert "hashpartitioning(s" in text and "_block" in text
 
 
+def test_look_back_equals_a_window_on_a_hot_session(spark):
+    df = spark.createDataFrame([(0 if i % 3 else i % 30, i, f"q{i}") for i in range(400)], "s long, t long, q string")
+    for width in (3, 50, 10_000):
+        got = windows.look_back(df, ["s"], "t", F.floor(F.col("t") / width), ["q"], 5, "p")
+        want = df.withColumn("p", F.expr(
+            "collect_list(struct(t, q)) over (partition by s order by t rows between 5 preceding and 1 preceding)"))
+        assert sorted(got.select("s", "t", "p").collect()) == sorted(want.select("s", "t", "p").collect())
+
+
 def test_recent_rows_are_pruned_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, i) for i in range(50)], "s long, t long")
     out = windows.most_recent(df, ["s"], [F.desc("t")], 3)
