@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
-from ..functions.chunking import ChunkConfig, chunk_array
+from ..functions.chunking import ChunkConfig, chunk_array, split_sentences
 from ..functions.citations import law_mode, with_law
 from ..functions.text import article_key, blank_to_null, is_indexable, parse_law_date, text_hash, to_uuid
 from .rows import explode_positions
@@ -14,14 +16,16 @@ from .windows import keep_first
 
 
 def chunk_documents(df: DataFrame, cfg: ChunkConfig = ChunkConfig(), detect: bool = True,
-                    text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                    text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+                    splitter: Callable[[Column], Column] = split_sentences) -> DataFrame:
     """One row per chunk: ``keep`` columns, chunk_index, text, law_name, article, char_count.
 
-    Everything happens in the row that holds the document; the plan has no exchange.
+    Everything happens in the row that holds the document; the plan has no exchange. ``splitter``
+    maps a section to its array of sentences.
     """
     detect = detect and cfg.use_law_structure
     law = law_mode(F.col(text)) if detect else F.lit("")
-    wide = df.select(*keep, law.alias("law_name"), chunk_array(F.col(text), cfg, detect).alias("_chunks"))
+    wide = df.select(*keep, law.alias("law_name"), chunk_array(F.col(text), cfg, detect, splitter).alias("_chunks"))
     rows = explode_positions(wide, [*keep, "law_name"], F.col("_chunks"), "chunk_index", "_c")
     return rows.select(
         *keep, "chunk_index", F.col("_c.text").alias("text"), "law_name",
@@ -30,6 +34,11 @@ def chunk_documents(df: DataFrame, cfg: ChunkConfig = ChunkConfig(), detect: boo
     )
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """Report progress of a run: row count and further aggregates reach observers and stream listeners."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+
+
 def chunk_stats(df: DataFrame, cfg: ChunkConfig = ChunkConfig(), detect: bool = True,
                 text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Count, sum, mean, least and greatest chunk length per document; zeros without chunks."""

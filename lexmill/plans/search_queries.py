@@ -177,7 +177,7 @@ def search_hybrid(spark, sf):
     return hits(spark, sf, "hybrid")
 
 
-VID = "case when vec_id % 10 = 9 then concat('medical_law_', cast(vec_id as string)) else md5(cast(vec_id as string)) end"
+VID = "case when vec_id % 10 = 9 then concat('legacy_', cast(vec_id as string)) else md5(cast(vec_id as string)) end"
 
 
 @register("attach_text", "query_id long, source_type str, vec_id long, rank long, text str", f"""

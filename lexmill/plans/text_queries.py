@@ -107,17 +107,22 @@ def sql_first_date(window: str) -> str:
 KW = q("(?i)" + K.REVISION_KEYWORDS)
 
 
-@register("revised_date", "doc_id long, law_date str", f"""
+def sql_revised_date(source: str) -> str:
+    """``doc_id, law_date`` over ``source(doc_id, t)``."""
+    return f"""
     select d.doc_id, coalesce(near, {sql_first_date(f"substr(d.t, 1, {K.DATE_HEAD_CHARS})")}) as law_date
-    from (select doc_id, {DATED} as t from documents) as d left join (
+    from ({source}) as d left join (
       select doc_id, arg_min(found, i) as near from (
         select doc_id, i, {sql_first_date('w')} as found from (
           select doc_id, i, substr(t, cast(greatest(1, s + 1 - {K.KEYWORD_BEFORE}) as bigint), cast(least(s, {K.KEYWORD_BEFORE}) + length(m) + {K.KEYWORD_AFTER} as bigint)) as w
           from (select doc_id, t, m, i, sum(length(pc)) over (partition by doc_id order by i) + sum(length(m)) over (partition by doc_id order by i) - length(m) as s
                 from (select doc_id, t, unnest(ms) as m, unnest(list_slice(ps, 1, len(ms))) as pc, unnest(range(0, len(ms))) as i
                       from (select doc_id, t, regexp_extract_all(t, {KW}) as ms, string_split_regex(t, {KW}) as ps
-                            from (select doc_id, {DATED} as t from documents) as a) as b) as c) as e) as f) as g
-      where found is not null group by doc_id) as h on h.doc_id = d.doc_id""")
+                            from ({source}) as a) as b) as c) as e) as f) as g
+      where found is not null group by doc_id) as h on h.doc_id = d.doc_id"""
+
+
+@register("revised_date", "doc_id long, law_date str", sql_revised_date(f"select doc_id, {DATED} as t from documents"))
 def revised_date(spark, sf):
     return docs(spark, sf).select("doc_id", X.revised_date(F.expr(DATED)).alias("law_date"))
 
@@ -247,7 +252,7 @@ def parse_analysis(spark, sf):
 
 UID = (
     "case doc_id % 4 when 0 then upper(md5(text)) when 1 then concat('{', substr(md5(text), 1, 8), '-', substr(md5(text), 9, 4), '-', "
-    "substr(md5(text), 13, 4), '-', substr(md5(text), 17, 4), '-', substr(md5(text), 21), '}') when 2 then 'medical_law_1' else substr(md5(text), 1, 31) end"
+    "substr(md5(text), 13, 4), '-', substr(md5(text), 17, 4), '-', substr(md5(text), 21), '}') when 2 then 'legacy_1' else substr(md5(text), 1, 31) end"
 )
 
 

@@ -56,6 +56,17 @@ def test_document_chunks(spark):
     assert stats[2]["total_chunks"] == 0 and stats[2]["avg_chars"] == 0.0
 
 
+def test_splitter_and_progress_hooks(spark):
+    from pyspark.sql import Observation
+
+    docs = spark.createDataFrame([(1, "가나다라|마바사아|자차카타")], "doc_id long, text string")
+    cut = index.chunk_documents(docs, ChunkConfig(6, 0, 1), False, splitter=lambda s: F.split(s, r"\|"))
+    seen = Observation("run")
+    got = cut.observe(seen, F.count(F.lit(1)).alias("rows")).orderBy("chunk_index").collect()
+    assert [r["text"] for r in got] == ["가나다라", "마바사아", "자차카타"] and seen.get["rows"] == 3
+    assert index.observed(cut, "chunks", chars=F.sum("char_count")).count() == 3
+
+
 def test_sample_indexes(spark):
     chunks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("chunk_index"), F.lit("x" * 900).alias("text")))
     for n, want in ((10, list(range(10))), (11, [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]), (100, [0, 1, 2, 3, 49, 50, 96, 97, 98, 99])):
