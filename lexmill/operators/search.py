@@ -149,12 +149,12 @@ def _result_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 
 def _by_broadcast(targets: pa.Table, queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> DataFrame:
     spark = vectors.sparkSession
-    block = _Targets(targets)
-    shared = spark.sparkContext.broadcast(block)
-    bound = 4 * k * max(1, len(block.keys))
+    targets = targets.combine_chunks()
+    shared = spark.sparkContext.broadcast(targets)  # a plain Arrow table: tasks need no class of ours to load it
+    bound = 4 * k * max(1, len(targets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = shared.value
+        mine = _Targets(shared.value)
         kept: list[pa.Table] = []
         size = 0
         for batch in batches:
@@ -167,7 +167,7 @@ def _by_broadcast(targets: pa.Table, queries: DataFrame, vectors: DataFrame, k:
         if size:
             yield from _emit(mine, _keep_top(pa.concat_tables(kept), k)).to_batches()
 
-    keys = sorted({key for key in block.keys if key is not None})
+    keys = [key for key in pc.unique(targets.column("key")).to_pylist() if key is not None]
     if len(keys) <= 1000:  # prunes namespaces before Python sees a row
         vectors = vectors.filter(F.col("key").isin(keys))
     return vectors.mapInArrow(scan, _result_schema(queries, vectors))
