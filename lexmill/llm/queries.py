@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, packing, token_files
+from . import common, mixing, packing, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,31 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_topk_search", """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as c from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2])) as bigint) as score
+  from v q join v on v.vec_id <> q.vec_id and len(v.c) = len(q.c) where q.vec_id % 20 = 0
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+""")
+def op1(spark, sf_dir):
+    vectors = common.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), topk.codes(F.col("embedding")).alias("codes")).filter("id is not null and codes is not null")
+    return topk.search(vectors, vectors.filter("id % 20 = 0"), k=20)
+
+
+@query("op3_source_mix")
+def op3(spark, sf_dir):
+    rows = mixing.plan(common.table(spark, sf_dir, "documents")).rows
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 @query("op8_packing")
 def op8(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
