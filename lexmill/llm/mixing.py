@@ -2,7 +2,7 @@
 
 Every source's documents fall into blocks by a hash; each whole pass over a source permutes its blocks anew.
 A source's quota is a number of block draws: its whole passes, then the blocks of a last pass up to the target,
-the last of them in part (documents in hash order, to the nearest word count). The quotas of all sources are
+the last of them in part (documents in hash order, then others that fit, close to the word count). The quotas of all sources are
 split down a binary tree over the output shards: a node deals its vector of quotas to its halves by a
 multivariate hypergeometric draw, so every shard gets exact quotas and every draw goes to one shard. Draws of a
 source are numbered, shards take disjoint ranges of numbers, and documents are shuffled inside their shard.
@@ -93,13 +93,8 @@ def plan(
     draws = common.stage(draws.withColumn("partial", F.col("room") < F.col("words")), "mix-draws")
 
     ends = draws.filter("partial").select("sid", "block", "room")
-    inside = placed.join(ends, ["sid", "block"])
-    cum = F.sum("size").over(Window.partitionBy("sid", "block").orderBy("h"))
-    cuts = (
-        inside.withColumn("off", F.abs(cum - F.col("room"))).groupBy("sid")
-        .agg(F.min(F.struct("off", "h")).alias("best"), F.first("room").alias("room"))
-        .filter(F.col("best.off") < F.col("room")).select("sid", F.col("best.h").alias("cut"))
-    )
+    inside = placed.join(ends, ["sid", "block"]).groupBy("sid", "h").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+    cuts = inside.groupBy("sid").applyInPandas(_fill, "sid int, cut long, extras array<long>")
     quotas = draws.groupBy("sid").agg(F.count("*").alias("quota"))
     totals = sources.agg(F.sum("target")).first()[0] or 0
     shards = max(1, round(totals / shard_words))
@@ -110,19 +105,40 @@ def plan(
     )
     per_block = common.stage(
         draws.join(dealt, ["sid", "draw"]).join(cuts, "sid", "left").groupBy("sid", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "partial", "cut"))).alias("draws")), "mix-blocks")
+        .agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "partial", "cut", "extras"))).alias("draws")), "mix-blocks")
     counted = placed.join(per_block, ["sid", "block"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce(F.size(_taken()), F.lit(0)).alias("copies"))
     return Mix(counted, sources, per_block)
 
 
+def _fill(block: pd.DataFrame) -> pd.DataFrame:
+    """Take a block's documents in hash order up to a few documents' words below the room, then the largest that fit.
+
+    Returns the last hash of the run and the few hashes of the others.
+    """
+    block = block.sort_values("h")
+    room, h, size = float(block["room"].iloc[0]), block["h"].to_numpy(), block["size"].to_numpy()
+    spare = min(0.25 * room, 32 * size.mean())
+    run = int((np.cumsum(size) <= room - spare).sum())
+    left, extras = room - size[:run].sum(), []
+    for k in run + np.argsort(-size[run:], kind="stable"):
+        if 0 < size[k] <= left:
+            left -= size[k]
+            extras.append(int(h[k]))
+    others = [(n, int(x)) for x, n in zip(h[run:], size[run:]) if n and int(x) not in extras]
+    if others and min(others)[0] - left < left:
+        extras.append(min(others)[1])
+    first = int(h[run - 1]) if run else None
+    return pd.DataFrame({"sid": [block["sid"].iloc[0]], "cut": pd.array([first], dtype="Int64"), "extras": [extras]})
+
+
 def _size() -> Column:
     return F.regexp_count(common.text_or_empty(), F.lit(common.SPACE_WORD)).cast("long")
 
 
 def _taken() -> Column:
     """The draws of a document's block that take the document itself."""
-    return F.filter("draws", lambda d: ~d["partial"] | F.coalesce(F.col("h") <= d["cut"], F.lit(False)))
+    return F.filter("draws", lambda d: ~d["partial"] | F.coalesce(F.col("h") <= d["cut"], F.lit(False)) | F.coalesce(F.array_contains(d["extras"], F.col("h")), F.lit(False)))
 
 
 def place(rows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -31,11 +31,11 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_topk_search", """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as c from embeddings
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as c from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
-  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2])) as bigint) as score
+  select q.vec_id as query_id, v.vec_id, cast(list_sum([p[1] * p[2] for p in list_zip(q.c, v.c)]) as bigint) as score
   from v q join v on v.vec_id <> q.vec_id and len(v.c) = len(q.c) where q.vec_id % 20 = 0
 ), r as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
