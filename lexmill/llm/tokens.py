@@ -20,11 +20,12 @@ class Encoder:
     A piece is a run of white space with the run of other characters after it. The pre-tokenizers of
     byte-level and word-level files never join characters across the start of such a run, so the ids of
     a text are those of its pieces in order, and a piece that comes again costs a look-up. Most pieces
-    are one space and a word: ``known`` has the ids of these by the word. A full stop or comma after a
+    are one space and a word, or a line end and a word: ``known`` has the ids of these by the word, or by line
+    end and word. A full stop or comma after a
     letter is a pre-token of its own. ``keep`` bounds the memory: a full one is emptied.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 700_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
@@ -44,43 +45,53 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
-        self._meet(set().union(*[words[1:] for words in cut]).difference(self.known))
+        self._meet(set().union(*cut).difference(self.known))
         known, out = self.known, []
         firsts = self._whole([words[0] if _REGULAR.fullmatch(words[0]) else "" for words in cut])
         for text, words, first in zip(texts, cut, firsts):
             try:
                 if not first:
                     raise KeyError
-                out.append(first + b"".join([known[w] for w in words[1:]]))
-            except KeyError:  # white space other than single spaces between words
+                ids = [known[w] for w in words]
+                ids[0] = first
+                out.append(b"".join(ids))
+            except KeyError:  # white space other than single spaces and line ends between words
                 out.append(self._irregular(text))
         return out
 
     def _meet(self, words: set[str]) -> None:
-        odd = []
-        known, marks, plain, add = self.known, self.marks, _PLAIN.fullmatch, self._word
+        odd, lines = [], []
+        known, marks, of = self.known, self.marks, self.bytes_of
+        tokenize, space, lower = self.model.tokenize, self.space, self.lower
         for word in words:
-            if not word:
-                continue
-            if (mark := marks.get(word[-1])) and plain(word[:-1]):
-                body = word[:-1]
-                if (ids := known.get(body)) is None:
-                    ids = known[body] = add(body)
-                known[word] = ids + mark
-            elif plain(word):
-                known[word] = add(word)
+            mark = marks.get(word[-1:])
+            body = word[:-1] if mark else word
+            if body.isalpha() and self.by_model and (body.isascii() or _PLAIN.fullmatch(body)):
+                ids = known.get(body) if mark else None
+                if ids is None:
+                    shown = body.lower() if lower else body
+                    if not shown.isascii():
+                        shown = shown.encode().decode("latin-1").translate(self.letters)
+                    ids = b"".join([of[t.id] for t in tokenize(space + shown)])
+                    if mark:
+                        known[body] = ids
+                known[word] = ids + mark if mark else ids
+            elif word[:1] == "\n":
+                if _REGULAR.fullmatch(word, 1):
+                    lines.append(word)
             elif _REGULAR.fullmatch(word):
                 odd.append(word)
         known.update(zip(odd, self._whole([" " + w for w in odd])))
+        known.update(zip(lines, self._whole(lines)))
 
     def _irregular(self, text: str) -> bytes:
         pieces = _PIECE.findall(text)
-        self._meet({p[1:] for p in pieces if p[0] == " "}.difference(self.known))
-        known = self.known
-        found = [known.get(p[1:]) if p[0] == " " else None for p in pieces]
+        key = [(p[1:] if p[1:2] != "\n" else "") if p[0] == " " else p if p[0] == "\n" else "" for p in pieces]
+        self._meet(set(key).difference(self.known))
+        found = [self.known.get(k) for k in key]
         rest = iter(self._whole([p for p, ids in zip(pieces, found) if ids is None]))
         return b"".join([next(rest) if ids is None else ids for ids in found])
 
@@ -88,17 +99,6 @@ class Encoder:
         of = self.bytes_of
         return [b"".join([of[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a space and a plain word."""
-        if not self.by_model:
-            return self._whole([" " + word])[0]
-        if self.lower:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        of = self.bytes_of
-        return b"".join([of[t.id] for t in self.model.tokenize(self.space + word)])
-
     def _learn_word_rule(self) -> bool:
         """Find from probes how the steps before the model show a plain word; False: no such rule holds."""
         shown = [a for a, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")]
@@ -107,7 +107,8 @@ class Encoder:
         self.letters = {b: self._letter(b) for b in range(0x80, 0x100)}
         self.by_model = True
         probes = ["word", "Wörter", "ÀÿÇà", "été", "Ñandú", "straße", "a", "Q", "tionestha"]
-        return [self._word(p) for p in probes] == self._whole([" " + p for p in probes])
+        self._meet(set(probes))
+        return [self.known.pop(p) for p in probes] == self._whole([" " + p for p in probes])
 
     @staticmethod
     def _letter(b: int) -> str:
