@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, mixing, packing, token_files, topk
+from . import common, jaccard, mixing, packing, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,25 @@ def op3(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+@query("op7_ngram_jaccard", r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) end as s from w
+), g as (select doc_id, len(s) as n, unnest(s) as g from s),
+c as (
+  select a.doc_id as x, b.doc_id as y from g a join g b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by 1, 2, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r(x, y) as (select x, y from c union select r.x, c.y from r join c on r.y = c.x)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) as component_id
+from s left join r on r.x = s.doc_id group by s.doc_id, s.s
+""")
+def op7(spark, sf_dir):
+    return jaccard.join(common.table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 @query("op8_packing")
 def op8(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
