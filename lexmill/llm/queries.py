@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, jaccard, mixing, packing, token_files, topk
+from . import common, jaccard, mixing, packing, quality, token_files, topk, toxicity
+from .training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,23 @@ def op3(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def with_fold(scores, folds: int, left_out: int):
+    held = F.coalesce(fold(F.col("doc_id"), folds) == left_out, F.lit(False))
+    return scores.select("doc_id", held.alias("held_out"), *[c for c in scores.columns if c != "doc_id"])
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return with_fold(toxicity.scored(docs, labels, folds=4, left_out=2), 4, 2)
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return with_fold(quality.score(docs, quality.train(docs, labels, folds=5, left_out=0)), 5, 0)
+
+
 @query("op7_ngram_jaccard", r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
