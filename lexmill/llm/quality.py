@@ -89,7 +89,7 @@ def train(
     x = np.array([sizer.features(t) for y in (0, 1) for t in by[y][1::2]])
     y = np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    model.weights = fit_logistic(expand(x), y, weight, ridge=0.05).tolist()
+    model.weights = fit_logistic(expand(x), y, weight, ridge=0.2).tolist()
     return model
 
 

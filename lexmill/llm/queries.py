@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, jaccard, mixing, packing, quality, token_files, topk, toxicity
+from . import common, jaccard, mixing, packing, quality, site_tree, token_files, topk, toxicity
 from .training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ def op8(spark, sf_dir):
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+@query("op9_site_text")
+def op9(spark, sf_dir):
+    return site_tree.extract(common.table(spark, sf_dir, "pages"))
+
+
 @query("op10_token_files")
 def op10(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")

@@ -39,10 +39,10 @@ def normalise(text: str) -> str:
     return " " + text.lower().encode("utf-8", "replace").translate(_SPACED).decode()
 
 
-def learn_stems(sample: list[tuple[str, int]], most: int = 40, cover: int = 3, lengths: tuple[int, ...] = (4, 5, 6, 7)) -> list[str]:
+def learn_stems(sample: list[tuple[str, int]], most: int = 40, cover: int = 2, lengths: tuple[int, ...] = (4, 5, 6, 7)) -> list[str]:
     """Word starts that cover the toxic texts of a sample ``cover`` times, each rare among clean ones."""
     toxic, clean, n_clean, n_toxic = defaultdict(set), Counter(), 0, 0
-    for text, label in sample:
+    for text, label in dict(sample).items():
         words = set(normalise(text).split())
         starts = {w[:k] for w in words for k in lengths if len(w) >= k}
         if label:
@@ -53,12 +53,12 @@ def learn_stems(sample: list[tuple[str, int]], most: int = 40, cover: int = 3, l
             clean.update(starts)
             n_clean += 1
     rate = lambda s: (clean[s] + 0.5) / (n_clean + 1)
-    pool = {s: d for s, d in toxic.items() if len(d) >= max(3, 0.002 * n_toxic) and len(d) / n_toxic > 12 * rate(s)}
+    pool = {s: d for s, d in toxic.items() if len(d) >= max(3, 0.01 * n_toxic) and len(d) / n_toxic > 12 * rate(s)}
     need, chosen = np.full(n_toxic, cover), []
     while pool and len(chosen) < most:
         gain = {s: (sum(need[i] > 0 for i in d) - 20 * n_toxic * clean[s] / max(1, n_clean), len(s), s) for s, d in pool.items()}
         best = max(gain, key=gain.get)
-        if gain[best][0] < max(2, 0.001 * n_toxic):
+        if gain[best][0] < max(2, 0.003 * n_toxic):
             break
         chosen.append(best)
         for i in pool.pop(best):

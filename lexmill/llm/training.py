@@ -38,18 +38,27 @@ def hash_of(i: int) -> int:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights and, last, the bias of a ridge logistic regression on soft labels, by Newton steps on scaled columns."""
+    """Weights and, last, the bias of a ridge logistic regression on soft labels, by damped Newton steps on scaled columns."""
     weight = np.ones(len(y)) if weight is None else weight
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.column_stack([(x - mean) / scale, np.ones(len(y))])
     w, penalty = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
+
+    def loss(v: np.ndarray) -> float:
+        m = z @ v
+        return float(weight @ (np.logaddexp(0, m) - y * m) + 0.5 * penalty @ (v * v))
+
+    now = loss(w)
     for _ in range(rounds):
         p = sigmoid(z @ w)
         gradient = z.T @ (weight * (p - y)) + penalty * w
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), gradient)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while size > 1e-6 and not loss(w - size * step) <= now:
+            size /= 2
+        w, before, now = w - size * step, now, min(now, loss(w - size * step))
+        if before - now < 1e-7 * (1 + abs(now)):
             break
     plain = w[:-1] / scale
     return np.r_[plain, w[-1] - plain @ mean]
