@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,5 +68,27 @@ def map_batches(
 SLICE = 512
 
 
+def members(df: DataFrame, column: str, most_bits: int = 1 << 28) -> np.ndarray:
+    """A bitmap of the low bits of a long column's values, to leave out rows that a join will not keep.
+
+    Its size follows the number of values up to ``most_bits`` (32 MB); beyond that it only lets more rows pass, and
+    the exact join that comes after decides.
+    """
+    want = 32 * df.count()
+    bits = min(most_bits, 1 << max(20, int(want).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+    rows = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return out
+
+
+def is_member(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & np.int64(8 * len(bitmap) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

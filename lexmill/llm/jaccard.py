@@ -66,7 +66,7 @@ def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
 class Classes:
     """Size classes and their segment counts for a threshold of percent / 100."""
 
-    def __init__(self, percent: int, ratio: float = 1.5):
+    def __init__(self, percent: int, ratio: float = 1.25):
         self.p = percent
         first = 1
         while self.differences(2 * first + 1) == 0:  # smaller sets link only with equal ones or the next size
@@ -176,11 +176,13 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     copies = rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = common.stage(copies, "jaccard-copies")
     firsts = rows.join(copies, same, "left").filter("first is null or first = doc_id")
-    entries = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    under = common.stage(entries.join(shared.select("key", "least"), "key"), "jaccard-under")
+    entries = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "keys")
+    entries = common.stage(entries, "jaccard-entries")
+    shared = entries.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = common.stage(shared.filter("least < most").select("key", "least"), "jaccard-shared")
+    under = common.stage(_under(entries, common.members(shared, "key")).join(shared, "key"), "jaccard-under")
 
-    fetch = under.select("id").distinct()
+    fetch = common.stage(under.select("id").distinct(), "jaccard-fetch")
     sets = common.stage(_sets(docs, fetch, n), "jaccard-grams")
     stars = under.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = common.stage(_linked(stars, sets, percent), "jaccard-links")
@@ -205,15 +207,34 @@ def stars_both(stars: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _under(entries: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """One row per set and key, without most of the keys that no other set has."""
+
+    def work(slices):
+        for rows in slices:
+            counts = [len(k) for k in rows["keys"]]
+            flat = np.concatenate([np.array(k, np.int64) for k in rows["keys"]]) if rows["keys"] else np.empty(0, np.int64)
+            keep = common.is_member(bitmap, flat)
+            ids, sizes = (np.repeat(np.array(rows[c], np.int64), counts)[keep] for c in ("id", "size"))
+            yield {"id": ids, "size": sizes, "key": flat[keep]}
+
+    kinds = {"id": pa.int64(), "size": pa.int64(), "key": pa.int64()}
+    return common.map_batches(entries.select("id", "size", "keys"), kinds, "id long, size long, key long", work)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, grams`` (packed sorted hashes) of the documents named."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), common.text_or_empty().alias("text")).join(ids, "id", "left_semi")
+    """``id, grams`` (packed sorted hashes) of the documents named. Texts stay where they lie; sets are shuffled."""
+    bitmap = common.members(ids, "id")
 
     def work(slices):
         for rows in slices:
-            yield {"id": rows["id"], "grams": [s.tobytes() for s in ngram_sets(rows["text"], n)]}
+            met = common.is_member(bitmap, np.array(rows["id"], np.int64))
+            texts = [t for t, k in zip(rows["text"], met) if k]
+            yield {"id": [i for i, k in zip(rows["id"], met) if k], "grams": [s.tobytes() for s in ngram_sets(texts, n)]}
 
-    return common.map_batches(chosen, {"id": pa.int64(), "grams": pa.binary()}, "id long, grams binary", work).dropDuplicates(["id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), common.text_or_empty().alias("text")).filter("id is not null")
+    found = common.map_batches(rows, {"id": pa.int64(), "grams": pa.binary()}, "id long, grams binary", work)
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
