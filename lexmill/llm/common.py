@@ -64,6 +64,21 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows whose text passes, all columns as they are. ``make`` runs once in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(text))
+            flags: list[bool] = []
+            for at in range(0, batch.num_rows, SLICE):
+                flags += keep([t or "" for t in values.slice(at, SLICE).to_pylist()])
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Rows that a task turns into Python objects at a time.
 SLICE = 512
 

@@ -93,17 +93,21 @@ def train(
     return model
 
 
+def scorer(model: Model):
+    """A function from texts to scores."""
+    if not model.weights:
+        return lambda texts: np.full(len(texts), model.prior)
+    sizer, w = Sizer(model), np.array(model.weights)
+    return lambda texts: sigmoid(expand(np.array([sizer.features(t) for t in texts]).reshape(len(texts), 3)) @ w[:-1] + w[-1])
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The input with ``score`` (0 to 1) and ``predicted`` per row, as ``doc_id, score, predicted``."""
+    """``doc_id, score, predicted`` of every row."""
 
     def work(slices):
-        sizer = Sizer(model) if model.weights else None
-        w = np.array(model.weights)
+        of = scorer(model)
         for rows in slices:
-            if sizer is None:
-                s = np.full(len(rows["text"]), model.prior)
-            else:
-                s = sigmoid(expand(np.array([sizer.features(t) for t in rows["text"]])) @ w[:-1] + w[-1])
+            s = of(rows["text"])
             yield {"doc_id": rows["doc_id"], "score": s.tolist(), "predicted": (s >= threshold).astype(int).tolist()}
 
     return common.map_batches(
@@ -113,18 +117,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows whose text reaches the threshold, all columns as they are."""
-    columns, texts = docs.columns, "text"
-
-    def run(batches):
-        sizer, w = Sizer(model) if model.weights else None, np.array(model.weights)
-        for batch in batches:
-            values = batch.column(batch.schema.get_field_index(texts))
-            keep = []
-            for at in range(0, batch.num_rows, common.SLICE):
-                own = [t or "" for t in values.slice(at, common.SLICE).to_pylist()]
-                f = np.array([sizer.features(t) for t in own]) if sizer else None
-                s = sigmoid(expand(f) @ w[:-1] + w[-1]) if sizer else np.full(len(own), model.prior)
-                keep += (s >= threshold).tolist()
-            yield batch.filter(pa.array(keep))
-
-    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, docs.schema)
+
+    def make():
+        of = scorer(model)
+        return lambda texts: (of(texts) >= threshold).tolist()
+
+    return common.filter_texts(docs, make)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, jaccard, mixing, packing, quality, site_tree, token_files, topk, toxicity
+from . import common, jaccard, line_crf, mixing, packing, quality, site_tree, token_files, topk, toxicity
 from .training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,12 @@ def op5(spark, sf_dir):
     return with_fold(quality.score(docs, quality.train(docs, labels, folds=5, left_out=0)), 5, 0)
 
 
+@query("op6_line_rules")
+def op6(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return line_crf.rules(docs, line_crf.train(docs, labels, folds=5, left_out=0))
+
+
 @query("op7_ngram_jaccard", r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
