@@ -33,6 +33,7 @@ class Mix:
     rows: DataFrame
     sources: DataFrame
     blocks: DataFrame
+    shards: int
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -63,17 +64,24 @@ def _hash(*columns: Column | str) -> Column:
 
 
 def plan(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000,
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: tuple[int, int] = (20_000, 200_000),
     max_blocks: int = 16_384, shard_words: int = 20_000_000, seed: int = 17,
 ) -> Mix:
-    """Decide how often, and to which shards, every document goes."""
+    """Decide how often, and to which shards, every document goes.
+
+    There are as many shards as the session has shuffle partitions, or more by ``shard_words``; a block has an eighth of
+    a shard's words within the bounds of ``block_words``, and a source at most ``max_blocks`` blocks.
+    """
     rows = common.stage(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         _size().alias("size"), _hash(F.lit(seed), "doc_id", "text").alias("h")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    total = sizes.agg(F.sum("source_size")).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), round(total / shard_words))
+    words = min(max(total // (8 * shards), block_words[0]), block_words[1])
     sources = common.stage(
         source_targets(sizes, weights, most)
-        .withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("source_size") / block_words))).cast("int"))
+        .withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("source_size") / words))).cast("int"))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
         .withColumn("part_words", F.col("target") - F.col("passes") * F.col("source_size")), "mix-sources")
     placed = place(rows, sources)
@@ -96,8 +104,6 @@ def plan(
     inside = placed.join(ends, ["sid", "block"]).groupBy("sid", "h").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
     cuts = inside.groupBy("sid").applyInPandas(_fill, "sid int, cut long, extras array<long>")
     quotas = draws.groupBy("sid").agg(F.count("*").alias("quota"))
-    totals = sources.agg(F.sum("target")).first()[0] or 0
-    shards = max(1, round(totals / shard_words))
     ranges = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     dealt = (
         split_quotas(quotas, shards, seed).withColumn("to", F.sum("quota").over(ranges)).filter("quota > 0")
@@ -108,26 +114,29 @@ def plan(
         .agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "partial", "cut", "extras"))).alias("draws")), "mix-blocks")
     counted = placed.join(per_block, ["sid", "block"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce(F.size(_taken()), F.lit(0)).alias("copies"))
-    return Mix(counted, sources, per_block)
+    return Mix(counted, sources, per_block, shards)
 
 
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """Take a block's documents in hash order up to a few documents' words below the room, then the largest that fit.
+    """Take a block's documents in hash order up to a few documents' words below the room, then those of the next that fill it best.
 
     Returns the last hash of the run and the few hashes of the others.
     """
     block = block.sort_values("h")
     room, h, size = float(block["room"].iloc[0]), block["h"].to_numpy(), block["size"].to_numpy()
-    spare = min(0.25 * room, 32 * size.mean())
+    spare = min(room, 32 * size.mean())
     run = int((np.cumsum(size) <= room - spare).sum())
-    left, extras = room - size[:run].sum(), []
-    for k in run + np.argsort(-size[run:], kind="stable"):
-        if 0 < size[k] <= left:
-            left -= size[k]
-            extras.append(int(h[k]))
-    others = [(n, int(x)) for x, n in zip(h[run:], size[run:]) if n and int(x) not in extras]
-    if others and min(others)[0] - left < left:
-        extras.append(min(others)[1])
+    left = round(room - size[:run].sum())
+    rest = [(int(x), int(n)) for x, n in zip(h[run:run + 64], size[run:run + 64]) if n]
+    sums = [1]  # bit s: some of the rest so far have s words together
+    for _, n in rest:
+        sums.append(sums[-1] | sums[-1] << n)
+    s = next(s for d in range(left + 1) for s in (left - d, left + d) if sums[-1] >> s & 1)
+    extras = []
+    for (x, n), before in zip(reversed(rest), reversed(sums[:-1])):
+        if not before >> s & 1:
+            extras.append(x)
+            s -= n
     first = int(h[run - 1]) if run else None
     return pd.DataFrame({"sid": [block["sid"].iloc[0]], "cut": pd.array([first], dtype="Int64"), "extras": [extras]})
 
@@ -155,11 +164,10 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     multivariate hypergeometric draw: one without replacement from all draws of the node.
     """
 
-    def halve(key, node: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(key[0]), int(key[1])
-        node = node.sort_values("sid")
-        if high - low == 1:
-            return node
+    def split(node: pd.DataFrame, low: int, high: int, depth: int):
+        if high - low == 1 or not depth:
+            yield node.assign(low=low, high=high)
+            return
         middle, total = (low + high) // 2, int(node["quota"].sum())
         rng, left, want, pool = np.random.default_rng([seed, low, high]), [], total * (middle - low) // (high - low), total
         for q in node["quota"]:
@@ -167,12 +175,16 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             got = int(rng.hypergeometric(q, pool, want)) if want and q else 0
             left.append(got)
             want -= got
-        halves = [node.assign(low=low, high=middle, quota=left), node.assign(low=middle, high=high, quota=node["quota"] - left)]
-        return pd.concat(halves)
+        yield from split(node.assign(quota=left), low, middle, depth - 1)
+        yield from split(node.assign(quota=node["quota"] - left), middle, high, depth - 1)
+
+    def descend(key: tuple, node: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(split(node.sort_values("sid"), int(key[0]), int(key[1]), levels))
 
+    levels = 6  # of the tree, that a task goes down at a time
     tree = quotas.select("sid", F.col("quota").cast("long"), F.lit(0).alias("low"), F.lit(shards).alias("high"))
-    for _ in range((shards - 1).bit_length()):
-        tree = tree.groupBy("low", "high").applyInPandas(halve, tree.schema)
+    for _ in range(0, (shards - 1).bit_length(), levels):
+        tree = tree.groupBy("low", "high").applyInPandas(descend, tree.schema)
     return tree.select("sid", F.col("low").alias("shard"), "quota")
 
 
@@ -187,4 +199,4 @@ def mix(docs: DataFrame, keep: Mix | None = None, seed: int = 17, **options) ->
         .select("row", "h", F.explode(_taken()).alias("draw"))
         .select("row", "draw.shard", _hash(F.lit(seed), "h", "draw.epoch").alias("place"))
     )
-    return drawn.repartition("shard").sortWithinPartitions("shard", "place").select("row.*")
+    return drawn.repartitionById(decided.shards, F.col("shard")).sortWithinPartitions("shard", "place").select("row.*")

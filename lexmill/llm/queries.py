@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, jaccard, line_crf, mixing, packing, quality, site_tree, token_files, topk, toxicity
+from . import common, jaccard, licenses, line_crf, mixing, packing, quality, site_tree, token_files, topk, toxicity
 from .training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op1(spark, sf_dir):
     return topk.search(vectors, vectors.filter("id % 20 = 0"), k=20)
 
 
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return licenses.summary(licenses.scan(common.table(spark, sf_dir, "documents"), containment=0.9))
+
+
 @query("op3_source_mix")
 def op3(spark, sf_dir):
     rows = mixing.plan(common.table(spark, sf_dir, "documents")).rows
