@@ -15,8 +15,11 @@ meets it only in such segments is such a set too) adds the keys of another parti
 ``LEVELS`` times; only then do keys of no elements stand.
 
 Copies of one set are one class from the start. Keys meet as grouped minima: every set under a key that others
-share is first compared with the smallest id there. Links join components; only keys that still hold several
-components are gone through pair by pair, across components. So a group of many near copies costs one comparison
+share is first compared with the smallest id there. A set's elements that no other candidate has bound what any other
+can share with it,
+so many sets that only resemble each other drop out before any comparison. Links join components; only keys that still hold several
+components are gone through, across components: pair by pair where few sets are left under a key, and by matrix
+products of blocks of sets where many are. So a group of many near copies costs one comparison
 a member and key, not all pairs. Comparison is of whole sets, computed again from the texts of candidates only.
 
 Cases: a null text and one without words have no set and link with nothing; a text of fewer words than n has its
@@ -29,6 +32,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -184,18 +188,26 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     fetch = common.stage(under.select("id").distinct(), "jaccard-fetch")
     sets = common.stage(_sets(docs, fetch, n), "jaccard-grams")
+    lone = common.stage(_lone_grams(sets), "jaccard-lone")
+    room = F.col("size") - F.coalesce("lone", F.lit(0))
+    under = under.join(lone, "id", "left").withColumn("room", room).filter(100 * F.col("room") >= percent * F.col("size")).drop("lone")
+    under = common.stage(under, "jaccard-near")
+
     stars = under.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = common.stage(_linked(stars, sets, percent), "jaccard-links")
     found = common.stage(components(links), "jaccard-components")
 
-    parts = under.join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("part"))
+    parts = under.join(found, "id", "left").select("key", "id", "size", "room", F.coalesce("component", "id").alias("part"))
     open_keys = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
-    left = common.stage(parts.join(open_keys, "key"), "jaccard-open")
-    one, two = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "size", "part")]) for i in (1, 2))
+    left = common.stage(_narrow(parts.join(open_keys, "key"), sets, percent), "jaccard-open")
+    counts = left.groupBy("key").agg(F.count("*").alias("n"))
+    light, heavy = left.join(counts.filter(F.col("n") <= LIGHT), "key"), left.join(counts.filter(F.col("n") > LIGHT), "key")
+    one, two = (light.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "size", "room", "part")]) for i in (1, 2))
+    may = lambda i, j: 100 * F.col(f"room{i}") >= percent * (F.col(f"size{i}") + F.col(f"size{j}") - F.col(f"room{j}"))
     across = one.join(two, "key").filter(
-        (F.col("part1") < F.col("part2")) & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
-    ).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(stars_both(stars), ["a", "b"], "left_anti")
-    more = common.stage(_linked(across, sets, percent), "jaccard-links")
+        (F.col("part1") < F.col("part2")) & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")) & may(1, 2) & may(2, 1)
+    ).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    more = common.stage(_linked(across, sets, percent).unionByName(_by_blocks(heavy, sets, percent)), "jaccard-links")
     final = common.stage(components(links.unionByName(more)), "jaccard-components")
 
     named = every.select("doc_id", *same).join(copies, same, "left").withColumn("rep", F.coalesce("first", "doc_id"))
@@ -203,8 +215,98 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def stars_both(stars: DataFrame) -> DataFrame:
-    return stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _grams(sets: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per element of the sets: ``id, gram``."""
+
+    def work(slices):
+        for rows in slices:
+            own = [np.frombuffer(g, np.int64) for g in rows["grams"]]
+            counts = [len(g) for g in own]
+            yield {"gram": np.concatenate([*own, np.empty(0, np.int64)]), **{c: np.repeat(np.array(rows[c], np.int64), counts) for c in ("id", *more)}}
+
+    kinds = {c: pa.int64() for c in ("id", "gram", *more)}
+    return common.map_batches(sets.select("id", "grams", *more), kinds, ", ".join(f"{c} long" for c in kinds), work)
+
+
+def _lone_grams(sets: DataFrame) -> DataFrame:
+    """``id, lone``: how many elements of a candidate's set no other candidate has; ids with none are left out."""
+    lone = _grams(sets).groupBy("gram").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1")
+    return lone.groupBy("id").agg(F.count("*").alias("lone"))
+
+
+def _narrow(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, id, size, room, part) that can still link across parts.
+
+    ``room`` becomes the number of a set's elements that sets of other parts have too: what it can share with any
+    of them. Sets without enough of it go, and then keys under which one part is left.
+    """
+    members = common.stage(members, "jaccard-members")
+    owners = members.select("id", "part").distinct()
+    grams = _grams(sets.join(owners, "id"), ("part",))
+    met = grams.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("gram")
+    shared = grams.join(met, "gram").groupBy("id").agg(F.count("*").alias("room"))
+    kept = members.drop("room").join(shared, "id").filter(100 * F.col("room") >= percent * F.col("size"))
+    still = kept.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
+    return kept.join(still, "key").select("key", "id", "size", "room", "part")
+
+
+#: Keys with more sets than this are compared by blocks of sets, not by rows of pairs.
+LIGHT = 32
+#: Sets in a block, and elements that a task counts at a time.
+BLOCK, COLUMNS = 512, 4096
+
+
+def _by_blocks(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across parts among the sets under heavy keys: enough of them to join all parts that are linked.
+
+    Sets that heavy keys hold together are cut into blocks by a hash; a task compares two blocks by one matrix
+    product, and sends on only links that join what is apart in it. So no row stands for a pair.
+    """
+    stars = heavy.join(heavy.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).distinct()
+    cluster = components(stars).select("id", F.col("component").alias("cluster"))
+    members = common.stage(heavy.select("id", "part").distinct().join(cluster, "id"), "jaccard-clusters")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select("id", "part", "cluster", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def compare(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("id")
+        grams = [np.frombuffer(g, U) for g in cell["grams"]]
+        size, ids, part = np.array([len(g) for g in grams]), cell["id"].to_numpy(), cell["part"].to_numpy()
+        left, right = (np.flatnonzero(cell["block"].to_numpy() == key[i]) for i in (1, 2))
+        owner = np.repeat(np.arange(len(grams)), size)
+        values, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times > 1)
+        number = np.full(len(values), -1)
+        number[some] = np.arange(len(some))
+        column = number[column]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(some), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            dense = np.zeros((len(grams), COLUMNS), np.float32)
+            dense[owner[lo:hi], column[lo:hi] - at] = 1
+            both += dense[left] @ dense[right].T
+        total = size[left][:, None] + size[right][None, :]
+        hit = (100 * both.astype(np.int64) >= percent * (total - both.astype(np.int64))) & (part[left][:, None] != part[right][None, :])
+        root = {p: p for p in part.tolist()}
+
+        def find(p: int) -> int:
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        links = []
+        for i, j in zip(*np.nonzero(hit)):
+            p, q = find(int(part[left[i]])), find(int(part[right[j]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(ids[left[i]]), int(ids[right[j]])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return cells.join(sets, "id").groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def _under(entries: DataFrame, bitmap: np.ndarray) -> DataFrame:
