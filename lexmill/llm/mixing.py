@@ -11,7 +11,7 @@ Only narrow rows (id, size, hash) and one row per block are grouped; a source of
 blocks, at most ``max_blocks`` of them, and a block's documents are ordered only where the target ends.
 Random draws are seeded by tree node, so reruns and repeated tasks agree.
 
-Cases: a null or empty text has size 0; a null source is a source of its own, last in order; sources of size 0
+Cases: a null or empty text has size 0 and goes along with its block; a null source is a source of its own, last in order; sources of size 0
 have target 0; equal rows are drawn together; an empty table gives no row. Input columns may have any names.
 """
 
