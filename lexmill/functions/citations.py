@@ -11,7 +11,6 @@ from pyspark.sql import Column, functions as F
 from . import constants as K
 from .text import any_of, blank_to_null, drop_space, let, strip
 
-_STRINGS = "array<string>"
 _PAIRS = "array<struct<law:string,art:string>>"
 
 
@@ -89,25 +88,38 @@ def _unnamed(law: Column, words) -> Column:
 
 
 def inherit_law(pairs: Column) -> Column:
-    """Give bare and subordinate references the last complete law seen before them."""
-
-    def step(acc, pair):
-        law, main = pair["law"], acc["main"]
-        suffix = _in(law, K.SUFFIX_LAWS)
-        bare = _in(law, K.STANDALONE_LAWS) | _unnamed(law, K.INCOMPLETE_WORDS)
-        named = (
-            F.when((main != "") & suffix, F.concat(main, F.lit(" "), strip(F.replace(law, F.lit("동법"), F.lit("")))))
-            .when((main != "") & bare, main)
+    """Give bare and subordinate references the last complete law seen before them.
+
+    The complete laws cut the list into stretches that share one law, so every pair is visited once.
+    """
+    suffix = lambda law: _in(law, K.SUFFIX_LAWS)
+    bare = lambda law: _in(law, K.STANDALONE_LAWS) | _unnamed(law, K.INCOMPLETE_WORDS)
+
+    def named(pair, main):
+        law = pair["law"]
+        full = (
+            F.when((main != "") & suffix(law), F.concat(main, F.lit(" "), strip(F.replace(law, F.lit("동법"), F.lit("")))))
+            .when((main != "") & bare(law), main)
             .otherwise(law)
         )
-        becomes_main = ~suffix & ~bare & ~_contains(law, K.SUBORDINATE_MARKS)
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(named.alias("law"), pair["art"].alias("art")))).alias("out"),
-            F.when(becomes_main, law).otherwise(main).alias("main"),
-        )
+        return F.struct(full.alias("law"), pair["art"].alias("art"))
+
+    def stretches(ps):
+        marked = F.transform(ps, lambda p, i: F.struct(
+            (i + 1).alias("end"), p["law"].alias("law"),
+            (~suffix(p["law"]) & ~bare(p["law"]) & ~_contains(p["law"], K.SUBORDINATE_MARKS)).alias("main"),
+        ))
+        start = F.array(F.struct(F.lit(0).alias("end"), F.lit("").alias("law"), F.lit(True).alias("main")))
+        mains = F.concat(start, F.filter(marked, lambda m: m["main"]))
+        return F.struct(ps.alias("ps"), mains.alias("mains"))
+
+    def spread(x):
+        upto = lambda i: F.coalesce(F.get(x["mains"], i + 1)["end"], F.size(x["ps"]))
+        return F.flatten(F.transform(x["mains"], lambda m, i: F.transform(
+            F.slice(x["ps"], m["end"] + 1, upto(i) - m["end"]), lambda p: named(p, m["law"])
+        )))
 
-    start = F.struct(F.array().cast(_PAIRS).alias("out"), F.lit("").alias("main"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return let(let(pairs, stretches), spread).cast(_PAIRS)
 
 
 def filter_citations(pairs: Column) -> Column:
@@ -168,42 +180,29 @@ def law_name_candidates(text: Column, pattern: str = K.LAW_NAME_BODY) -> Column:
 
 def law_mode(text: Column, pattern: str = K.LAW_NAME_BODY) -> Column:
     """The law a text is about: its most frequent law name, the earliest on ties."""
-    # Value, first position and count live in one array of structs, sorted once.
     names = F.transform(law_name_candidates(text, pattern), lambda n, i: F.struct(n.alias("n"), i.alias("i")))
 
-    def run(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        same = last["n"] == x["n"]
-        return F.when(
-            F.coalesce(same, F.lit(False)),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(last["n"].alias("n"), last["i"].alias("i"), (last["c"] + 1).alias("c"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["n"].alias("n"), x["i"].alias("i"), F.lit(1).alias("c")))))
-
-    runs = F.aggregate(
-        F.array_sort(names), F.array().cast("array<struct<n:string,i:int,c:int>>"), run
-    )
-    ranked = F.transform(runs, lambda r: F.struct(r["c"].alias("c"), (-r["i"]).alias("p"), r["n"].alias("n")))
-    return F.coalesce(F.array_max(ranked)["n"], F.lit(""))
+    def ranked(s):
+        starts = _run_starts(s, "n")
+        upto = lambda j: F.coalesce(F.get(starts, j + 1)["at"], F.size(s))
+        return F.transform(starts, lambda r, j: F.struct((upto(j) - r["at"]).alias("c"), (-r["x"]["i"]).alias("p"), r["x"]["n"].alias("n")))
+
+    return F.coalesce(F.array_max(let(F.array_sort(names), ranked))["n"], F.lit(""))
+
+
+def _run_starts(ordered: Column, field: str) -> Column:
+    """``struct(at, x)`` of every element of a sorted array whose field differs from the one before."""
+    placed = F.transform(ordered, lambda x, i: F.struct(i.alias("at"), x.alias("x")))
+    return F.filter(placed, lambda p: (p["at"] == 0) | (F.get(ordered, p["at"] - 1)[field] != p["x"][field]))
 
 
 def law_refs(text: Column, pattern: str = K.LAW_REF) -> Column:
     """Ordered law references of a text, one per spelling-free form, first spelling kept."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
-    def step(acc, ref):
-        key = drop_space(ref)
-        return F.when(F.array_contains(acc["keys"], key), acc).otherwise(
-            F.struct(
-                F.array_append(acc["keys"], key).alias("keys"),
-                F.array_append(acc["refs"], ref).alias("refs"),
-            )
-        )
-
-    start = F.struct(F.array().cast(_STRINGS).alias("keys"), F.array().cast(_STRINGS).alias("refs"))
-    return F.aggregate(found, start, step, lambda acc: acc["refs"])
+    keyed = F.transform(found, lambda r, i: F.struct(drop_space(r).alias("key"), i.alias("at"), r.alias("ref")))
+    firsts = let(F.array_sort(keyed), lambda s: F.transform(_run_starts(s, "key"), lambda r: F.struct(r["x"]["at"].alias("at"), r["x"]["ref"].alias("ref"))))
+    return F.transform(F.array_sort(firsts), lambda r: r["ref"])
 
 
 def article_header(section: Column) -> Column:

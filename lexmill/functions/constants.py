@@ -64,7 +64,6 @@ POINTER_WORDS = ("전단", "후단", "따라", "의해", "종전")
 LEADING_CITATION = rf"^([{LAW_CHARS}{WS_CLASS}]+제{D}+조(?:의{D}+)?)"
 VALID_LAW_SUFFIX = rf"(?:법|법률|규칙|규정|령|칙|조례|헌법|제{D}+조(?:의{D}+)?)$"
 ARTICLE_START = rf"^제{D}+조"
-CITATION_HEAD_CHARS = 800
 
 LAW_NAME_BODY = (
     rf"[가-힣]+(?:{S}+[가-힣]+){{0,5}}{S}+에{S}+관한{S}+[가-힣]*(?:법|법률)"
@@ -98,7 +97,7 @@ DATE_PATTERNS = (
     rf"({D}{{4}})-({D}{{2}})-({D}{{2}})",
     rf"({D}{{4}})/({D}{{2}})/({D}{{2}})",
 )
-KEYWORD_BEFORE, KEYWORD_AFTER, DATE_HEAD_CHARS = 50, 150, 500
+KEYWORD_BEFORE, KEYWORD_AFTER = 50, 150
 
 # --- fixed values: document kinds ---------------------------------------------------------
 DOC_TYPES = ("pdf", "pptx", "docx", "hwp", "hwpx", "ppt", "txt", "xlsx")
@@ -142,8 +141,6 @@ GATE_THRESHOLD, SYNC_THRESHOLD = 0.6, 0.75
 GATE_PROBE_K = 3
 DOCUMENT_SHARE = 0.6
 
-# --- fixed values: answers and prompts ----------------------------------------------------
-REFUSAL = "죄송합니다. 법률 관련 질문에만 답변할 수 있습니다."
 WARNING_TAIL = "'는 참고 자료에서 직접 확인되지 않았습니다. 정확하지 않을 수 있습니다."
 REFERENCE_TITLE = "[참고자료]"
 NO_REFERENCE = "관련 자료를 찾을 수 없습니다."

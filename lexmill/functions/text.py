@@ -120,8 +120,8 @@ def _first_date(window: Column) -> Column:
     return let(window, lambda w: F.coalesce(*[_iso(w, p) for p in K.DATE_PATTERNS]))
 
 
-def revised_date(c) -> Column:
-    """First date near a revision keyword, else the first one at the head of the text.
+def revised_date(c, head: int | None = None) -> Column:
+    """First date near a revision keyword, else the first one of the text (of its first ``head`` characters, if given).
 
     The look-ahead tests the keyword before the look-behind gathers what precedes it,
     so positions without a keyword cost one comparison.
@@ -136,7 +136,7 @@ def revised_date(c) -> Column:
     after = F.regexp_extract_all(c, F.lit(near), F.lit(2))
     found = F.zip_with(before, after, lambda b, a: _first_date(F.concat(b, a)))
     first = F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
-    return F.coalesce(first, _first_date(F.substring(c, 1, K.DATE_HEAD_CHARS)))
+    return F.coalesce(first, _first_date(F.substring(c, 1, head) if head else c))
 
 
 def safe_str(c, strict: bool = False) -> Column:

@@ -59,11 +59,12 @@ def _order_page(threshold: float):
     return lambda blocks: F.array_sort(F.aggregate(blocks, start, step, lambda acc: acc["out"]))
 
 
-def reading_order(blocks: DataFrame, threshold: float = K.LINE_THRESHOLD) -> DataFrame:
+def reading_order(blocks: DataFrame, threshold: float = K.LINE_THRESHOLD, drop_repeated: bool = False) -> DataFrame:
     """One row per page with ``blocks`` in reading order (line, then left to right).
 
     ``blocks`` has ``doc_id, page, pos, x0, y0, x1, y1, text, source``. Only the blocks of one
-    page meet in a task.
+    page meet in a task. ``drop_repeated`` leaves out OCR blocks whose text a native block of the
+    page holds, in the row where the page's blocks meet anyway.
     """
     source_rank = F.when(F.col("source") == "native", 0).otherwise(1)
     item = F.struct(
@@ -71,6 +72,11 @@ def reading_order(blocks: DataFrame, threshold: float = K.LINE_THRESHOLD) -> Dat
         source_rank.alias("s"), "pos", F.col("y1").cast("double").alias("y1"), "source", "text",
     )
     pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("_b"))
+    if drop_repeated:
+        native = F.array_distinct(F.transform(F.filter("_b", lambda b: b["s"] == 0), lambda b: block_key(b["text"])))
+        pages = pages.withColumn("_native", native).withColumn(
+            "_b", F.filter("_b", lambda b: (b["s"] == 0) | ~F.coalesce(F.array_contains("_native", block_key(b["text"])), F.lit(False)))
+        )
     return pages.select(*PAGE, _order_page(threshold)(F.col("_b")).alias("blocks"))
 
 

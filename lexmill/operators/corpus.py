@@ -28,24 +28,23 @@ def ordered_concat(sentences: DataFrame, keys: tuple[str, ...] = ("docu_type", "
 def join_source(labels: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("docu_type", "rid")) -> DataFrame:
     """Valid labels with their source text; the cleaned label output stands in where none is found.
 
-    Labels without an id match nothing; a salt spreads them so that they do not share one task.
+    Labels without an id match nothing and stay out of the join. The texts are already spread by the join's keys.
     """
-    missing = F.col("rid").isNull() | (F.col("rid") == K.MISSING_ID)
-    spread = F.when(missing, F.pmod(F.xxhash64("output"), F.lit(4096)) + 1).otherwise(0)
-    matched = (
-        labels.withColumn("_salt", spread)
-        .join(texts.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left").drop("_salt")
-    )
+    missing = F.coalesce(F.col("rid") == K.MISSING_ID, F.lit(True))
+    named = labels.filter(~missing).join(texts, list(keys), "left")
+    matched = named.unionByName(labels.filter(missing).withColumn("joined_text", F.lit(None).cast("string")))
     blank = strip(F.coalesce("joined_text", F.lit(""))) == ""
-    output = clean_text(F.col("output"))
+    matched = matched.withColumn("_blank", blank).withColumn(
+        "_output", clean_text(F.when(F.col("_blank"), F.col("output")))  # nothing to clean where a source text stands
+    )
     return (
-        matched.withColumn("source_text", F.when(blank, output).otherwise(F.col("joined_text")))
-        .withColumn("is_fallback", blank & (output != ""))
-        .drop("joined_text")
+        matched.withColumn("source_text", F.when(F.col("_blank"), F.col("_output")).otherwise(F.col("joined_text")))
+        .withColumn("is_fallback", F.col("_blank") & (F.col("_output") != ""))
+        .drop("joined_text", "_blank", "_output")
     )
 
 
-def add_citations(records: DataFrame, head: int | None = K.CITATION_HEAD_CHARS, strict: bool = False) -> DataFrame:
+def add_citations(records: DataFrame, head: int | None = None, strict: bool = False) -> DataFrame:
     """Add cleaned ``law_name`` and ``article`` (from ``title, sm_class, docu_type, source_text``).
 
     Only the cited document types are parsed. ``head`` is the part of the text that is read for
@@ -76,7 +75,7 @@ def label_columns(labels: DataFrame) -> DataFrame:
     )
 
 
-def build_corpus(labels: DataFrame, sentences: DataFrame, head: int | None = K.CITATION_HEAD_CHARS,
+def build_corpus(labels: DataFrame, sentences: DataFrame, head: int | None = None,
                  strict: bool = False) -> DataFrame:
     """Corpus rows ``info, label, docu_type, task_type, law_name, article, source_text``."""
     flat = label_columns(labels).filter("is_valid")

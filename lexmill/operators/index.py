@@ -71,14 +71,27 @@ def skip_reasons(df: DataFrame, order: str = "doc_id") -> DataFrame:
     return df.join(first, order, "left").withColumn("reason", reason).drop("_first")
 
 
-def index_stats(records: DataFrame, cfg: ChunkConfig, malformed: DataFrame | None = None) -> DataFrame:
-    """``(reason, records, chunks)``: what a run loads and why it skips."""
-    tagged = skip_reasons(records)
-    kept = F.col("reason") == "kept"
-    n_chunks = F.when(kept, F.size(chunk_array(F.col("text"), cfg, True))).otherwise(0)
-    stats = tagged.groupBy("reason").agg(
-        F.count("*").alias("records"), F.sum(n_chunks).alias("chunks")
+def index_stats(records: DataFrame, cfg: ChunkConfig, malformed: DataFrame | None = None, order: str = "doc_id") -> DataFrame:
+    """``(reason, records, chunks)``: what a run loads and why it skips.
+
+    Texts are hashed and chunked where they lie, once; only numbers and hashes are shuffled.
+    """
+    usable = is_indexable("article", "text")
+    state = (
+        F.when(F.coalesce(F.col("article"), F.lit("")) == "", "no_article").when(~usable, "short_text").otherwise("kept")
     )
+    narrow = records.select(
+        order, state.alias("reason"), F.when(usable, text_hash("text")).alias("_h"),
+        F.when(usable, F.size(chunk_array(F.col("text"), cfg, True))).alias("_n"),
+    )
+    texts = narrow.groupBy("reason", "_h").agg(F.count("*").alias("rows"), F.min_by("_n", order).alias("_n"))
+    sums = texts.groupBy("reason").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"), F.sum("_n").alias("n"))
+    line = lambda reason, records, chunks: F.struct(
+        reason.alias("reason"), records.cast("long").alias("records"), chunks.cast("long").alias("chunks"))
+    lines = F.when(F.col("reason") == "kept", F.array(
+        line(F.lit("kept"), F.col("texts"), F.col("n")), line(F.lit("duplicate"), F.col("rows") - F.col("texts"), F.lit(0)),
+    )).otherwise(F.array(line(F.col("reason"), F.col("rows"), F.lit(0))))
+    stats = sums.select(F.explode(lines).alias("s")).select("s.*").filter("records > 0")
     if malformed is not None:
         bad = malformed.agg(F.count("*").alias("records")).select(
             F.lit("malformed").alias("reason"), "records", F.lit(0).cast("long").alias("chunks")
@@ -125,11 +138,19 @@ def record_article(given: Column, law: Column, category: Column, article: Column
     return article_key(given, law, category, bare)
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str | list[str]) -> DataFrame:
-    """Insert or replace by key."""
+def last_of(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the one with the greatest ``order``, or the last one in the order of the input."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    row = F.struct(*[F.col(f"`{c}`") for c in updates.columns])
+    placed = updates.select(*keys, row.alias("_row"), at.alias("_at"))
+    return placed.groupBy(*keys).agg(F.max_by("_row", "_at").alias("_row")).select("_row.*")
+
+
+def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
+    """Insert or replace by key; of several updates with one key the last counts."""
     keys = [key] if isinstance(key, str) else key
     return base.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(
-        updates, allowMissingColumns=True
+        last_of(updates, keys, order), allowMissingColumns=True
     )
 
 
@@ -145,9 +166,9 @@ def drop_namespace(base: DataFrame, user) -> DataFrame:
     return delete_by_value(base, "namespace", f"{K.USER_NAMESPACE_PREFIX}{user}")
 
 
-def update_chunk_text(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace text by id; the date only where a new one is given."""
-    new = updates.select(
+def update_chunk_text(base: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace text by id; the date only where a new one is given. The last of several updates of an id counts."""
+    new = last_of(updates, ["vector_id"], order).select(
         "vector_id", F.col("new_text"), blank_to_null("new_law_date").alias("new_law_date"), F.lit(True).alias("_hit")
     )
     return (
@@ -158,6 +179,14 @@ def update_chunk_text(base: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+def update_hits(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """``vector_id, existed`` of every id that an update names."""
+    known = base.select("vector_id").distinct().withColumn("existed", F.lit(True))
+    return updates.select("vector_id").distinct().join(known, "vector_id", "left").select(
+        "vector_id", F.coalesce("existed", F.lit(False)).alias("existed")
+    )
+
+
 def sync_newer(user_chunks: DataFrame, public: DataFrame, threshold: float = K.SYNC_THRESHOLD,
                alpha: float = K.ALPHA) -> DataFrame:
     """Updates to public records that a newer user chunk of the same article replaces.

@@ -57,7 +57,7 @@ def search(questions: DataFrame, vectors: DataFrame, mode: str = "general", k: i
 
 
 def attach_text(hits: DataFrame, public_chunks: DataFrame, user_chunks: DataFrame) -> DataFrame:
-    """Add ``text`` to hits carrying ``vector_id`` and optional ``meta_text`` / ``source_text``.
+    """Add ``text`` to hits carrying ``vector_id`` and optional ``meta_text`` / ``source_text`` / ``qa_text``.
 
     The chunk tables ``(vector_id, chunk_text)`` are first reduced to the ids that were hit; at run
     time the small id side is broadcast, so the chunk tables are not shuffled.
@@ -72,7 +72,7 @@ def attach_text(hits: DataFrame, public_chunks: DataFrame, user_chunks: DataFram
         tagged(public_chunks, PUBLIC_SOURCE).unionByName(tagged(user_chunks, USER_SOURCE))
         .join(wanted, keys, "left_semi")
     )
-    fallback = [blank_to_null(F.col(c)) for c in ("meta_text", "source_text") if c in hits.columns]
+    fallback = [blank_to_null(F.col(c)) for c in ("meta_text", "source_text", "qa_text") if c in hits.columns]
     return (
         hits.join(texts, keys, "left")
         .withColumn("text", F.coalesce(blank_to_null("chunk_text"), *fallback))

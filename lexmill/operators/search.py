@@ -30,6 +30,9 @@ VECTOR_COLUMNS = ("vec_id", "key", "dense", "idx", "val")
 MAX_BROADCAST_TARGETS = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 TARGET_BLOCK, VECTOR_BLOCK = 1024, 16384
+# Digits kept for ranking and gates: enough to tell scores apart, few enough that equal vectors stay ties
+# whatever the order of summation.
+SCORE_DIGITS = 12
 _VECTOR_SLICE, _MATCH_SLICE = 2048, 4_000_000
 
 
@@ -51,6 +54,16 @@ def _postings(idx, val) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, idx.flatten().to_numpy(zero_copy_only=False), val.flatten().to_numpy(zero_copy_only=False)
 
 
+def _by_value(values: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
+    """Each value of an array of texts with the positions that hold it, in one sort; nulls are left out."""
+    at = np.array([i for i, v in enumerate(values) if v is not None], dtype=int)
+    found, code = np.unique(values[at].astype(str), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    ends = np.searchsorted(code[order], np.arange(len(found) + 1))
+    for value, lo, hi in zip(found.tolist(), ends, ends[1:]):
+        yield value, at[order[lo:hi]]
+
+
 class _Targets:
     """Target rows of a block, grouped by key, with their sparse side sorted by token."""
 
@@ -59,16 +72,17 @@ class _Targets:
         self.keys = np.asarray(table.column("key").to_pylist(), dtype=object)
         self.dense = _dense(table.column("dense"))
         rows, tokens, weights = _postings(table.column("idx"), table.column("val"))
-        self.by_key = {}
-        for key in set(self.keys):
-            members = np.flatnonzero(self.keys == key)
-            local = np.full(len(self.keys), -1)
-            local[members] = np.arange(len(members))
-            mine = local[rows] >= 0
-            order = np.argsort(tokens[mine], kind="stable")
-            self.by_key[key] = (
-                members, tokens[mine][order], local[rows[mine]][order], weights[mine][order]
-            )
+        groups = list(_by_value(self.keys))
+        group, local = np.zeros(len(self.keys), int), np.zeros(len(self.keys), int)
+        for g, (_, members) in enumerate(groups):
+            group[members], local[members] = g, np.arange(len(members))
+        order = np.lexsort((tokens, group[rows]))  # all postings by key and token, sorted once
+        rows, tokens, weights = rows[order], tokens[order], weights[order]
+        ends = np.searchsorted(group[rows], np.arange(len(groups) + 1))
+        self.by_key = {
+            key: (members, tokens[lo:hi], local[rows[lo:hi]], weights[lo:hi])
+            for (key, members), lo, hi in zip(groups, ends, ends[1:])
+        }
 
 
 def _scores(targets: _Targets, key, dense: np.ndarray, postings, alpha: float) -> np.ndarray:
@@ -91,7 +105,7 @@ def _scores(targets: _Targets, key, dense: np.ndarray, postings, alpha: float) -
                 owner[hit] * width + rows[rep], weight[hit] * values[rep], minlength=score.size
             ).reshape(score.shape)
             at = to
-    return np.round(score, 6)
+    return np.round(score, SCORE_DIGITS)
 
 
 def _keep_top(table: pa.Table, k: int) -> pa.Table:
@@ -108,8 +122,9 @@ def _block_top(targets: _Targets, vectors: pa.Table | pa.RecordBatch, k: int, al
     """Best ``k`` vectors of a block for every target of the same key."""
     found = []
     keys = np.asarray(vectors.column("key").to_pylist(), dtype=object)
-    for key in set(keys) & set(targets.by_key):
-        mine = np.flatnonzero(keys == key)
+    for key, mine in _by_value(keys):
+        if key not in targets.by_key:
+            continue
         for at in range(0, len(mine), _VECTOR_SLICE):
             part = vectors.take(pa.array(mine[at : at + _VECTOR_SLICE]))
             postings = _postings(part.column("idx"), part.column("val"))
@@ -168,8 +183,7 @@ def _by_broadcast(targets: pa.Table, queries: DataFrame, vectors: DataFrame, k:
             yield from _emit(mine, _keep_top(pa.concat_tables(kept), k)).to_batches()
 
     keys = [key for key in pc.unique(targets.column("key")).to_pylist() if key is not None]
-    if len(keys) <= 1000:  # prunes namespaces before Python sees a row
-        vectors = vectors.filter(F.col("key").isin(keys))
+    vectors = vectors.filter(F.col("key").isin(keys))  # prunes namespaces before Python sees a row
     return vectors.mapInArrow(scan, _result_schema(queries, vectors))
 
 
@@ -229,11 +243,13 @@ def top_k(
 ) -> DataFrame:
     """``(query_id, key, vec_id, score, rank)``: the k best vectors of each target's key.
 
-    Score: ``alpha * dense dot + (1 - alpha) * sparse dot``, rounded to 6 decimals; ties go to the
-    lower vector id.
+    Score: ``alpha * dense dot + (1 - alpha) * sparse dot``, kept to 12 decimals for ranks and gates; ties
+    go to the lower vector id. Vectors and targets without a dense side of the usual length take no part.
     """
-    queries = queries.select(*TARGET_COLUMNS)
-    vectors = vectors.select(*VECTOR_COLUMNS)
+    dims = queries.agg(F.mode(F.size("dense"))).first()[0]
+    whole = (F.size("dense") == (dims or 0)) & F.forall("dense", lambda x: x.isNotNull())
+    queries = queries.select(*TARGET_COLUMNS).filter(whole)
+    vectors = vectors.select(*VECTOR_COLUMNS).filter(whole)
     head = queries.limit(max_broadcast + 1).toArrow()
     if len(head) <= max_broadcast and head.nbytes <= MAX_BROADCAST_BYTES:
         found = _by_broadcast(head, queries, vectors, k, alpha)

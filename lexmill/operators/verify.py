@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.citations import law_refs
-from ..functions.text import drop_space
+from ..functions.text import drop_space, let
 
 
 def evidence_refs(article: Column, text: Column, strict: bool = False, pattern: str = K.LAW_REF) -> Column:
@@ -36,14 +36,29 @@ def verify_answers(answers: DataFrame, hits: DataFrame, strict: bool = False, pa
         .withColumn("answer_refs", law_refs(F.col("answer"), pattern))
         .withColumn("valid", F.coalesce("valid", F.array().cast("array<string>")))
     )
-    backed = lambda r: F.array_contains(F.col("valid"), drop_space(r))
     return (
-        checked.withColumn("verified_refs", F.filter("answer_refs", backed))
-        .withColumn("unverified_refs", F.filter("answer_refs", lambda r: ~backed(r)))
+        checked.withColumn("_checked", _marked(F.col("answer_refs"), F.col("valid")))
+        .withColumn("verified_refs", F.transform(F.filter("_checked", lambda r: r["backed"]), lambda r: r["ref"]))
+        .withColumn("unverified_refs", F.transform(F.filter("_checked", lambda r: ~r["backed"]), lambda r: r["ref"]))
         .withColumn("verified", F.size("unverified_refs") == 0)
         .withColumn(
             "warnings",
             F.transform("unverified_refs", lambda r: F.concat(F.lit("'"), r, F.lit(K.WARNING_TAIL))),
         )
-        .drop("valid")
+        .drop("valid", "_checked")
     )
+
+
+def _marked(refs: Column, valid: Column) -> Column:
+    """``struct(at, ref, backed)`` of each reference in order: sorted together, a valid form stands right before its reference."""
+    known = F.transform(valid, lambda v: F.struct(v.alias("key"), F.lit(-1).alias("at"), F.lit("").alias("ref")))
+    asked = F.transform(refs, lambda r, i: F.struct(drop_space(r).alias("key"), i.alias("at"), r.alias("ref")))
+
+    def mark(s):
+        all_marked = F.transform(s, lambda x, i: F.struct(
+            x["at"].alias("at"), x["ref"].alias("ref"),
+            F.coalesce((F.get(s, i - 1)["key"] == x["key"]) & (F.get(s, i - 1)["at"] == -1), F.lit(False)).alias("backed"),
+        ))
+        return F.array_sort(F.filter(all_marked, lambda x: x["at"] >= 0))
+
+    return let(F.array_sort(F.concat(known, asked)), mark)

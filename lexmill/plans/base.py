@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..sources.files import read_table, spread
 
 TYPES = {
-    "long": ("bigint", "BIGINT"), "str": ("string", "VARCHAR"), "dbl": ("double", "DOUBLE"),
+    "long": ("bigint", "BIGINT"), "str": ("string", "VARCHAR"), "dbl": ("double", "DOUBLE"), "dbl6": ("double", "DOUBLE"),
     "bool": ("boolean", "BOOLEAN"), "ts": ("timestamp_ntz", "TIMESTAMP"),
 }
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,17 +34,23 @@ def register(name: str, columns: str, sql: str | None = None):
     def wrap(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(spark, sf_dir)
-            return df.select(*[F.col(c).cast(TYPES[t][0]).alias(c) for c, t in spec])
+            return df.select(*[_shown(F.col(c).cast(TYPES[t][0]), t).alias(c) for c, t in spec])
 
         QUERIES[name] = run
         if sql is not None:
-            cols = ", ".join(f"cast({c} as {TYPES[t][1]}) as {c}" for c, t in spec)
+            cast = lambda c, t: f"cast({c} as {TYPES[t][1]})"
+            cols = ", ".join((f"round({cast(c, t)}, 6)" if t == "dbl6" else cast(c, t)) + f" as {c}" for c, t in spec)
             ORACLE[name] = f"select {cols} from ({sql}) as result"
         return build
 
     return wrap
 
 
+def _shown(c, kind: str):
+    """Scores are ranked at full precision and shown with six decimals."""
+    return F.round(c, 6) if kind == "dbl6" else c
+
+
 def q(text: str) -> str:
     """SQL string literal."""
     return "'" + text.replace("'", "''") + "'"

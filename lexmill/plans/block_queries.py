@@ -57,14 +57,14 @@ def ocr_dedup(spark, sf):
 
 @register("reading_order", "doc_id long, page long, place long, source str, text str", ORDERED)
 def reading_order(spark, sf):
-    ordered = B.reading_order(B.merge_blocks(*split_blocks(spark, sf)))
+    ordered = B.reading_order(page_blocks(spark, sf), drop_repeated=True)
     rows = explode_positions(ordered, ["doc_id", "page"], F.col("blocks"), "i", "b")
     return rows.select("doc_id", "page", (F.col("i") + 1).alias("place"), "b.source", "b.text")
 
 
 @register("page_text", "doc_id long, page long, page_text str", PAGE_TEXT)
 def page_text(spark, sf):
-    return B.page_text(B.reading_order(B.merge_blocks(*split_blocks(spark, sf))))
+    return B.page_text(B.reading_order(page_blocks(spark, sf), drop_repeated=True))
 
 
 @register("pages_to_doc", "doc_id long, text str", f"""

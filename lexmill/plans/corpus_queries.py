@@ -63,7 +63,7 @@ def source_join(spark, sf):
 
 
 PARSED = sql_metadata(
-    f"select doc_id, case when {sql_in('docu_type', K.CITED_TYPES)} then source_text else '' end as t from ({SOURCED}) as sc", K.CITATION_HEAD_CHARS)
+    f"select doc_id, case when {sql_in('docu_type', K.CITED_TYPES)} then source_text else '' end as t from ({SOURCED}) as sc")
 COMPOSED = f"""select s.doc_id, case when laws <> '' then laws else title end as law,
     case when laws <> '' then {sql_filled('cits', 'sm_class')} else trim(concat(title, ' ', sm_class)) end as art
     from ({SOURCED}) as s join ({PARSED}) as p on p.doc_id = s.doc_id"""

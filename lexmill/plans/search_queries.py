@@ -64,7 +64,7 @@ def sql_scored(alpha: float = K.ALPHA) -> str:
     """``query_id, user_ns, vec_id, namespace, score`` of every pair."""
     return f"""
       select a.vec_id as query_id, concat('user_', a.vec_id % 5 + 5) as user_ns, b.vec_id, b.namespace,
-        round({alpha}::double * list_inner_product(a.dense, b.dense) + (1 - {alpha}::double) * coalesce(s.x, 0), 6) as score
+        round({alpha}::double * list_inner_product(a.dense, b.dense) + (1 - {alpha}::double) * coalesce(s.x, 0), 12) as score
       from ({ALL}) as a cross join ({ALL}) as b left join (
         select l.vec_id as qi, r.vec_id as vi, sum(l.x * r.x) as x from ({WEIGHTS}) as l join ({WEIGHTS}) as r on l.w = r.w
         group by l.vec_id, r.vec_id) as s on s.qi = a.vec_id and s.vi = b.vec_id"""
@@ -84,7 +84,7 @@ HYBRID = f"""
   select query_id, source_type, vec_id, score, row_number() over (partition by query_id order by score desc, source_type, vec_id) as rank
   from (select *, row_number() over (partition by query_id order by case when rank <= case source_type when 'document' then 3 else 2 end then 0 else 1 end,
           score desc, source_type, vec_id) as pick from ({BOTH}) as b) as p where pick <= {K.TOP_K}"""
-HIT_COLUMNS = "query_id long, source_type str, vec_id long, score dbl, rank long"
+HIT_COLUMNS = "query_id long, source_type str, vec_id long, score dbl6, rank long"
 
 
 def sql_evidence(k: int = K.TOP_K) -> str:
@@ -143,10 +143,10 @@ def dense_embed(spark, sf):
     )
 
 
-@register("topk_dense", "query_id long, vec_id long, score dbl, rank long", f"""
+@register("topk_dense", "query_id long, vec_id long, score dbl6, rank long", f"""
     select query_id, vec_id, score, rank from (
-      select a.vec_id as query_id, b.vec_id, round(list_inner_product(a.dense, b.dense), 6) as score,
-        row_number() over (partition by a.vec_id order by round(list_inner_product(a.dense, b.dense), 6) desc, b.vec_id) as rank
+      select a.vec_id as query_id, b.vec_id, round(list_inner_product(a.dense, b.dense), 12) as score,
+        row_number() over (partition by a.vec_id order by round(list_inner_product(a.dense, b.dense), 12) desc, b.vec_id) as rank
       from ({ALL}) as a cross join ({ALL}) as b) as r where rank <= 10""")
 def topk_dense(spark, sf):
     none = F.array()
@@ -156,7 +156,7 @@ def topk_dense(spark, sf):
     return search.top_k(base.withColumnRenamed("vec_id", "query_id"), base, 10, alpha=1.0)
 
 
-@register("hybrid_score", "query_id long, vec_id long, score dbl, rank long", f"""
+@register("hybrid_score", "query_id long, vec_id long, score dbl6, rank long", f"""
     select query_id, vec_id, score, rank from ({sql_hits("namespace = 'public'", "''", 10)}) as h""")
 def hybrid_score(spark, sf):
     return hits(spark, sf, k=10)
@@ -198,14 +198,14 @@ def attach_text(spark, sf):
     return retrieval.attach_text(found, rows("doc_id % 3 <> 0"), rows("doc_id % 4 <> 0"))
 
 
-@register("legal_gate", "query_id long, best_score dbl, is_legal bool", f"""
+@register("legal_gate", "query_id long, best_score dbl6, is_legal bool", f"""
     select a.vec_id as query_id, best_score, coalesce(best_score >= 0.6, false) as is_legal from embeddings as a left join (
       select query_id, max(score) as best_score from ({PRIVATE}) as h group by query_id) as b on b.query_id = a.vec_id""")
 def legal_gate(spark, sf):
     return retrieval.legal_gate(questions(spark, sf), hits(spark, sf, "document"))
 
 
-@register("legal_file", "query_id long, best_score dbl, is_legal bool", f"""
+@register("legal_file", "query_id long, best_score dbl6, is_legal bool", f"""
     select a.vec_id as query_id, best_score, coalesce(best_score >= 0.6, false) as is_legal from embeddings as a left join (
       select query_id, max(score) as best_score from ({GENERAL}) as h where rank <= 3 group by query_id) as b on b.query_id = a.vec_id""")
 def legal_file(spark, sf):
@@ -220,7 +220,7 @@ def prompt_hits(spark, sf):
 EXCERPT = f"case when length(t) > 120 then concat({sql_strip('translate(substr(t, 1, 120), chr(10), chr(32))')}, '...') else {sql_strip('translate(t, chr(10), chr(32))')} end"
 
 
-@register("sources", "query_id long, rank long, title str, category str, article str, law_date str, excerpt str, score dbl", f"""
+@register("sources", "query_id long, rank long, title str, category str, article str, law_date str, excerpt str, score dbl6", f"""
     select query_id, rank, coalesce(nullif(doc_title, ''), category, '법령/판례') as title, category, article, law_date, {EXCERPT} as excerpt,
       round_even(score, 4) as score from (select *, coalesce(text, '') as t from ({sql_evidence()}) as e) as z""")
 def sources(spark, sf):
@@ -231,7 +231,7 @@ SYNC_ARTICLE = "concat('형법 제', cast(vec_id % 20 as string), '조')"
 SYNC_DATE = BY_VEC(f"case when doc_id % 9 = 0 then '' else {LAW_DATE} end")
 
 
-@register("sync_newer", "vec_id long, chunk_ord long, score dbl, new_law_date str, public_date str", f"""
+@register("sync_newer", "vec_id long, chunk_ord long, score dbl6, new_law_date str, public_date str", f"""
     with u as (select *, {SYNC_DATE} as d from embeddings where label >= 5 and {SYNC_DATE} <> ''),
     best as (select * from (select s.*, row_number() over (partition by query_id order by score desc, vec_id) as rn from ({sql_scored()}) as s
       where namespace = 'public' and query_id in (select vec_id from u) and query_id % 20 = vec_id % 20) as r where rn = 1 and score >= 0.75),

@@ -110,7 +110,7 @@ KW = q("(?i)" + K.REVISION_KEYWORDS)
 def sql_revised_date(source: str) -> str:
     """``doc_id, law_date`` over ``source(doc_id, t)``."""
     return f"""
-    select d.doc_id, coalesce(near, {sql_first_date(f"substr(d.t, 1, {K.DATE_HEAD_CHARS})")}) as law_date
+    select d.doc_id, coalesce(near, {sql_first_date("d.t")}) as law_date
     from ({source}) as d left join (
       select doc_id, arg_min(found, i) as near from (
         select doc_id, i, {sql_first_date('w')} as found from (

@@ -29,22 +29,27 @@ def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_source_csv(spark: SparkSession, root: str, docu_type: str, max_columns: int = 64) -> DataFrame:
+def read_source_csv(spark: SparkSession, root: str, docu_type: str) -> DataFrame:
     """Source sentences of one document type from every CSV file below its folder.
 
     Files may order their columns differently and lack some. All are read in one pass as bare
     positions; each file's own header row, found by its id and content column names, then says which
-    position holds what. Files without both names contribute nothing.
+    position holds what. Files without both names contribute nothing. The widest header decides how many
+    positions are read: cells beyond a file's own header have no name.
     """
     id_name = K.SOURCE_ID_COLUMN[docu_type]
-    cells = [f"c{i}" for i in range(max_columns)]
+    folder = f"{root}/{K.SOURCE_FOLDER_PREFIX}{docu_type}"
 
     def load():
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder)
+        named = F.contains("value", F.lit(id_name)) & F.contains("value", F.lit(K.CONTENT_COLUMN))
+        width = lines.filter(named).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+        cells = [f"c{i}" for i in range(width)]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
         raw = (
             spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
             .option("header", False).option("multiLine", True).option("escape", '"')
-            .csv(f"{root}/{K.SOURCE_FOLDER_PREFIX}{docu_type}")
+            .csv(folder)
         )
         rows = raw.select(
             F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),

@@ -40,7 +40,9 @@ def stream_context(turns: DataFrame, keep: str | None = None) -> DataFrame:
 
     The state holds one question per session; ``keep`` drops it after that long without a turn. A
     timed state asks for a batch again and again, so it suits a running trigger, not ``availableNow``.
-    Turns of one session that arrive in the same micro-batch are put in order first.
+    Turns of one session that arrive in the same micro-batch are put in order first; a turn that
+    arrives after a later one follows the question that arrived last. A missing question counts as
+    empty, as in the batch form.
     """
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
 
@@ -51,8 +53,12 @@ def stream_context(turns: DataFrame, keep: str | None = None) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("turn")
         last = state.get[0] if state.exists else None
         previous = [last, *rows["question"].iloc[:-1]]
-        rows["search_text"] = [f"{p} {t}" if p else t for p, t in zip(previous, rows["question"])]
-        state.update((rows["question"].iloc[-1],))
+        given = lambda t: t is not None and t == t
+        rows["search_text"] = [
+            " ".join(x for x in (p if given(p) and p else None, t) if given(x)) for p, t in zip(previous, rows["question"])
+        ]
+        final = rows["question"].iloc[-1]
+        state.update((final if given(final) else None,))
         if keep_ms:
             state.setTimeoutDuration(keep_ms)
         yield rows[["session_id", "turn", "search_text"]]

@@ -94,3 +94,20 @@ def test_verification(spark):
     assert got[3]["unverified_refs"] == ["상법 제9조"]
     strict = {r["query_id"]: r for r in verify_answers(answers, hits, strict=True).collect()}
     assert strict[1]["verified_refs"] == []
+
+
+@pytest.mark.parametrize("build", [C.law_refs, C.law_mode, lambda t: C.legal_metadata(t)["citations"]])
+def test_long_texts_take_time_in_proportion(one, build):
+    """Four times the text may take some eight times as long, not sixteen."""
+    import time
+
+    def text(n):
+        return " ".join(f"개인정보 보호법 제{i}조에 따라 동법 제{i + 1}조와 시행령 제{i}조의2" for i in range(n))
+
+    def seconds(n):
+        start = time.perf_counter()
+        one(lambda t: F.xxhash64(build(t)), t=text(n))
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(6000) < 8 * max(0.25, seconds(1500))

@@ -30,7 +30,7 @@ def brute(targets, vectors, k, alpha):
             if vkey == key:
                 weights = dict(zip(vi, vv))
                 sparse = sum(w * weights.get(t, 0.0) for t, w in zip(qi, qv))
-                scored.append((-round(alpha * float(np.dot(qd, vd)) + (1 - alpha) * sparse, 6), vid))
+                scored.append((-round(alpha * float(np.dot(qd, vd)) + (1 - alpha) * sparse, 12), vid))
         best[qid, key] = [vid for _, vid in sorted(scored)[:k]]
     return {q: v for q, v in best.items() if v}
 
@@ -112,3 +112,49 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == want
     empty = spark.createDataFrame([], "id long")
     assert sorted(map(tuple, index.delete_by_ids(base, empty, "id").collect())) == [(1, "a"), (2, "b")]
+
+
+def test_last_update_of_a_key_counts(spark):
+    base = spark.createDataFrame([(1, "old"), (3, "kept")], "id long, v string")
+    updates = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "d", 9), (2, "c", 3)], "id long, v string, at int").coalesce(1)
+    got = index.upsert(base, updates.drop("at"), "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "b"), (2, "c"), (3, "kept")]
+    by_order = index.upsert(base.withColumn("at", F.lit(0)), updates, "id", order="at").select("id", "v")
+    assert sorted(map(tuple, by_order.collect())) == [(1, "b"), (2, "d"), (3, "kept")]
+
+
+def test_repeated_text_updates_keep_one_row(spark):
+    base = spark.createDataFrame([("x", "old", "2020-01-01"), ("y", "other", None)], "vector_id string, chunk_text string, law_date string")
+    updates = spark.createDataFrame([("x", "one", ""), ("x", "two", ""), ("z", "new", "")], "vector_id string, new_text string, new_law_date string").coalesce(1)
+    got = index.update_chunk_text(base, updates)
+    assert sorted(map(tuple, got.select("vector_id", "chunk_text", "law_date").collect())) == [("x", "two", "2020-01-01"), ("y", "other", None)]
+    assert sorted(map(tuple, index.update_hits(base, updates).collect())) == [("x", True), ("z", False)]
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_close_scores_are_told_apart_and_gated_raw(spark, limit):
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0], [], [])], "query_id bigint, " + SCHEMA)
+    v = spark.createDataFrame([(5, "a", [0.5999996, 0.0], [], []), (9, "a", [0.5999997, 0.0], [], [])], "vec_id bigint, " + SCHEMA)
+    hits = search.top_k(q, v, 2, 1.0, max_broadcast=limit)
+    assert [r["vec_id"] for r in hits.orderBy("rank").collect()] == [9, 5]
+    assert not retrieval.legal_gate(q, hits).first()["is_legal"]
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_malformed_vectors_take_no_part(spark, limit):
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0], [], []), (2, "a", None, [], [])], "query_id bigint, " + SCHEMA)
+    v = spark.createDataFrame([(5, "a", [0.5, 0.0], [], []), (6, "a", None, [], []), (7, "a", [1.0], [], []), (8, "a", [None, 1.0], [], [])], "vec_id bigint, " + SCHEMA)
+    assert [(r["query_id"], r["vec_id"]) for r in search.top_k(q, v, 3, 1.0, max_broadcast=limit).collect()] == [(1, 5)]
+
+
+def test_many_keys_are_set_up_in_one_pass():
+    import time
+
+    import pyarrow as pa
+
+    n = 4000
+    table = pa.table({"query_id": list(range(n)), "key": [f"k{i}" for i in range(n)], "dense": [[1.0] * 4] * n,
+                      "idx": [list(range(200))] * n, "val": [[1.0] * 200] * n})
+    start = time.perf_counter()
+    assert len(search._Targets(table).by_key) == n
+    assert time.perf_counter() - start < 3

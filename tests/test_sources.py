@@ -44,6 +44,13 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert files.read_source_csv(spark, str(tmp_path), "법령").count() == 0
 
 
+def test_wide_csv_is_read_whole(spark, tmp_path):
+    names = [f"비고{i}" for i in range(71)]
+    write(tmp_path / "TS_판결문" / "wide.csv", ",".join(["판례일련번호", *names, "내용"]) + "\n7," + "," * 71 + "끝 열의 글\n")
+    rows = files.read_source_csv(spark, str(tmp_path), "판결문").collect()
+    assert [(r["rid"], r["content"]) for r in rows] == [("000007", "끝 열의 글")]
+
+
 def test_labels_skip_broken_files(spark, tmp_path):
     make_labels(tmp_path)
     rows = files.read_labels(spark, str(tmp_path))

@@ -37,6 +37,15 @@ def test_context_follows_sessions_across_batches(spark, turns, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "session_id", "turn", "search_text") == want
 
 
+def test_context_of_missing_questions(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "c"), (2, 0, None), (2, 1, ""), (2, 2, "z")], "session_id long, turn long, question string")
+    stream = feed(spark, turns, str(tmp_path / "in"), 2, F.when(F.col("turn") < 2, 0).otherwise(1))
+    jobs.write_batches(jobs.stream_context(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    batch = sessions.expand_questions(turns, F.floor(F.col("turn") / 1000), at="turn", tie="turn")
+    want = rows(batch, "session_id", "turn", "search_text")
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "session_id", "turn", "search_text") == want
+
+
 def test_sessions_latest_version(spark, turns, tmp_path):
     stream = feed(spark, turns, str(tmp_path / "in"), 2, F.col("turn") % 2)
     jobs.write_batches(jobs.stream_sessions(stream, at="turn"), str(tmp_path / "out"), str(tmp_path / "cp"), "update").awaitTermination()

@@ -51,12 +51,16 @@ def test_parse_law_date(one, raw, want):
     ("2020/05/06 " + "x" * 60 + "Amended 2021.7.8.", "2021-07-08"),
     ("개정 없음 " + "x" * 200 + " 시행 2022-09-09", "2022-09-09"),
     ("2018-01-01 개정 2019년1월2일", "2019-01-02"),
-    ("x" * 510 + " 2011-11-11", None),
+    ("x" * 510 + " 2011-11-11", "2011-11-11"),
 ])
 def test_revised_date(one, raw, want):
     assert one(X.revised_date("t"), t=raw) == want
 
 
+def test_revised_date_within_a_given_head(one):
+    assert one(X.revised_date("t", head=500), t="x" * 510 + " 2011-11-11") is None
+
+
 @pytest.mark.parametrize("raw, loose, strict", [("None", "", ""), ("no", "no", ""), (" one ", "one", ""), (None, "", ""), ("nones", "nones", "nones")])
 def test_safe_str(one, raw, loose, strict):
     assert one(X.safe_str("t"), t=raw) == loose
