@@ -28,8 +28,8 @@ from .tokens import Encoder
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``doc_id, n_tokens, crc, ids``: each whole text's ids with the end id, packed and compressed."""
+def encode(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u4") -> DataFrame:
+    """``doc_id, n_tokens, crc, ids``: each whole text's ids with the end id, as numbers of ``dtype``, compressed."""
     import zstandard
 
     end = end_id.to_bytes(4, "little")
@@ -38,9 +38,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder, squeeze = Encoder.of(tokenizer), zstandard.ZstdCompressor(level=1)
         for rows in slices:
             ids = [x + end for x in encoder.encode(rows["text"])]
+            packed = ids if dtype == "<u4" else [np.frombuffer(x, "<u4").astype(dtype) for x in ids]
             yield {
                 "doc_id": rows["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "crc": [zlib.crc32(x) for x in ids],
-                "ids": [squeeze.compress(_narrow(x)) for x in ids],
+                "ids": [squeeze.compress(x) for x in packed],
             }
 
     return common.map_batches(
@@ -50,17 +51,6 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     )
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Low halves, then high halves: the high ones of a small vocabulary vanish in compression."""
-    halves = np.frombuffer(ids, "<u2")
-    return halves[0::2].tobytes() + halves[1::2].tobytes()
-
-
-def _wide(packed: bytes) -> np.ndarray:
-    low, high = np.split(np.frombuffer(packed, "<u2"), 2)
-    return low.astype("<u4") | (high.astype("<u4") << 16)
-
-
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 2048, rows_per_batch: int = 256,
     narrow: bool = True,
@@ -76,11 +66,11 @@ def write_token_files(
     cuts = sorted(set(cuts or []))
     part = F.lit(0) if not cuts else F.coalesce(
         F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0))
+    dtype, arrow_id = ("<u2", pa.uint16()) if narrow else ("<u4", pa.uint32())
     ordered = (
-        encode(docs, tokenizer, end_id).withColumn("part", part.cast("int"))
+        encode(docs, tokenizer, end_id, dtype).withColumn("part", part.cast("int"))
         .repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "crc")
     )
-    dtype, arrow_id = ("<u2", pa.uint16()) if narrow else ("<u4", pa.uint32())
     shape = pa.schema([("input_ids", pa.list_(arrow_id, length)), ("mask", pa.list_(pa.bool_(), length))])
     index_shape = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
     step = length * rows_per_batch
@@ -113,7 +103,7 @@ def write_token_files(
                 starts.append(at)
                 at += n_tokens
                 held += n_tokens
-                pending.append(_wide(unpack.decompress(packed)).astype(dtype))
+                pending.append(np.frombuffer(unpack.decompress(packed), dtype))
                 if held >= step:
                     flat = np.concatenate(pending)
                     for k in range(0, held - held % step, step):
@@ -177,14 +167,21 @@ def ids_between(reader, start: int, stop: int, rows_per_batch: int):
 
 
 def _digests(file: str):
+    """Index batches with the check sum of every document's ids as 32-bit numbers; one batch of ids is widened at a time."""
     reader, index = open_file(f"{file}.arrow"), open_file(f"{file}.index.arrow")
     rows_per_batch = reader.get_batch(0).num_rows if reader.num_record_batches else 1
+    step, at, wide = rows_per_batch * reader.schema.field("input_ids").type.list_size, -1, memoryview(b"")
     for i in range(index.num_record_batches):
         batch = index.get_batch(i)
         crcs = []
         for start, n in zip(batch["start"].to_pylist(), batch["n_tokens"].to_pylist()):
-            crc = 0
-            for view in ids_between(reader, start, start + n, rows_per_batch):
-                crc = zlib.crc32(view.astype("<u4").tobytes(), crc)
+            crc, stop = 0, start + n
+            while start < stop:
+                k = start // step
+                if k != at:
+                    at, wide = k, memoryview(next(ids_between(reader, k * step, (k + 1) * step, rows_per_batch)).astype("<u4")).cast("B")
+                end = min(stop, (k + 1) * step)
+                crc = zlib.crc32(wide[4 * (start - k * step):4 * (end - k * step)], crc)
+                start = end
             crcs.append(crc)
         yield batch, crcs

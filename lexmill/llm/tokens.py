@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 
 from tokenizers import Tokenizer
 
@@ -14,6 +15,9 @@ _REGULAR = re.compile(f"[^{SPACES}](?:.*[^{SPACES}])?", re.DOTALL)
 _PLAIN = re.compile("[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
 
 
+IDLE_S = 20
+
+
 class Encoder:
     """Encodes with a tokenizer file, word by word.
 
@@ -25,12 +29,12 @@ class Encoder:
     letter is a pre-token of its own. ``keep`` bounds the memory: a full one is emptied.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.keep = keep
+        self.keep, self.timer = keep, None
         self.known: dict[str, bytes] = {}
         self.marks = {m: self._whole([m])[0] for m in ".,"}
         self.space, self.lower, self.letters = "", False, {}
@@ -38,13 +42,31 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """The encoder of this worker process: later tasks find the words of earlier ones."""
+        """The encoder of this worker process: later tasks find the words of earlier ones.
+
+        A worker outlives its stage, so an encoder that no task has asked for in ``IDLE_S`` seconds is let go.
+        """
         if getattr(cls, "_own", (None,))[0] != path:
             cls._own = (path, cls(path))
+        cls._own[1]._stay()
         return cls._own[1]
 
+    def _stay(self) -> None:
+        if self.timer:
+            self.timer.cancel()
+        self.timer = threading.Timer(IDLE_S, self._leave)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def _leave(self) -> None:
+        cls = type(self)
+        if getattr(cls, "_own", (None, None))[1] is self:
+            cls._own = (None, None)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.timer:
+            self._stay()
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
