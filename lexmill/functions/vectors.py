@@ -21,10 +21,6 @@ def sparse_weights(raw: Column, threshold: float = K.SPARSE_THRESHOLD) -> Column
     return F.map_from_entries(pairs)
 
 
-def sparse_from_lists(indices: Column, values: Column) -> Column:
-    return F.map_from_arrays(indices, values)
-
-
 def namespace_of_user(user: Column) -> Column:
     return F.concat(F.lit(K.USER_NAMESPACE_PREFIX), user.cast("string"))
 

@@ -16,6 +16,8 @@ from ..functions import constants as K
 # An encoder takes a batch of texts and returns (dense matrix, list of {token id: weight}).
 Encoder = Callable[[Sequence[str]], tuple[np.ndarray, list[dict[int, float]]]]
 LEXICAL_DIM = 64
+# Words whose ids a task keeps at hand.
+KNOWN_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,6 +35,8 @@ def lexical_encoder(dim: int = LEXICAL_DIM) -> Callable[[], Encoder]:
 
         def token(word: str) -> int:
             if word not in ids:
+                if len(ids) >= KNOWN_WORDS:
+                    ids.clear()
                 ids[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
             return ids[word]
 
@@ -54,9 +58,9 @@ def lexical_encoder(dim: int = LEXICAL_DIM) -> Callable[[], Encoder]:
 
 def embed(
     df: DataFrame, text_col: str = "text", load: Callable[[], Encoder] | None = None,
-    threshold: float = K.SPARSE_THRESHOLD,
+    threshold: float = K.SPARSE_THRESHOLD, batch_size: int = 256,
 ) -> DataFrame:
-    """Append ``dense``, ``idx`` and ``val``. The encoder is loaded once per task, fed by Arrow batch.
+    """Append ``dense``, ``idx`` and ``val``. The encoder is loaded once per task and gets ``batch_size`` texts at a time.
 
     Row-preserving, so a text can neither lose nor gain an embedding. Filters belong before it:
     they are not pushed through Python.
@@ -71,11 +75,13 @@ def embed(
         encode = load()
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            dense, sparse = encode(texts)
+            parts = [encode(texts[at:at + batch_size]) for at in range(0, len(texts), batch_size)]
+            dense = [row for d, _ in parts for row in d]
+            sparse = [w for _, ws in parts for w in ws]
             sparse = [keep_strong(s, threshold) for s in sparse]
             columns = [batch.column(n) for n in names]
             columns += [
-                pa.array(list(dense), pa.list_(pa.float64())),
+                pa.array(dense, pa.list_(pa.float64())),
                 pa.array([list(s) for s in sparse], pa.list_(pa.int64())),
                 pa.array([list(s.values()) for s in sparse], pa.list_(pa.float64())),
             ]
