@@ -73,8 +73,9 @@ def prepare_prompts(questions: DataFrame, messages: DataFrame, documents: DataFr
     ``questions``: query_id (the message id), session_id, user_id. ``messages``: session_id, message_id, turn,
     question, answer. Each question is searched with the session's previous one before it, in its own
     documents too where the session has a usable one; ``evidence`` adds article, law_name, category and
-    text to hits.
+    text to hits. Only messages of the sessions asked in are looked at.
     """
+    messages = messages.join(questions.select("session_id").distinct(), "session_id", "left_semi")
     asked = (
         sessions.expand_questions(messages, block, at="turn")
         .join(questions.select(F.col("query_id").alias("message_id"), "user_id"), "message_id")

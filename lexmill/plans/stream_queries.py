@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..functions.chunking import ChunkConfig
+from ..sources import files
 from ..streaming import jobs as J
 from .base import register, sql_strip, table
 from .chunk_queries import sql_chunks
@@ -83,10 +84,12 @@ def stream_log_window(spark, sf):
     select vec_id, case when label = 3 then label + 100 else label end as label from ({EMB}) as e""")
 def stream_upsert(spark, sf):
     out, checkpoint = places(spark)
-    table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label")).write.parquet(f"{out}/batch_id=-1")
-    changed = stream_table(spark, sf, "embeddings").filter("label = 3").select("vec_id", (F.col("label") + 100).cast("long").alias("label"))
-    J.write_batches(changed, out, checkpoint).awaitTermination()
-    return J.latest(spark, out, ["vec_id"])
+    rows = lambda df: df.select("vec_id", F.col("label").cast("long").alias("label"), F.lit("public").alias("namespace"))
+    files.write_vectors(rows(table(spark, sf, "embeddings")), out)
+    changed = rows(stream_table(spark, sf, "embeddings").filter("label = 3"))
+    twice = changed.withColumn("version", F.explode(F.array(F.lit(100), F.lit(50)))).withColumn("label", F.col("label") + F.col("version"))
+    J.upsert_batches(twice, out, checkpoint, order="version").awaitTermination()
+    return files.read_vectors(spark, out)
 
 
 @register("stream_retrieve", Q.HIT_COLUMNS + ", is_legal bool", f"""

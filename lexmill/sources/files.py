@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import constants as K
 from ..functions.text import base_name, decode_text, detect_doc_type, file_type, strip, zfill
-from ..operators.index import upsert
+from ..operators.index import last_of, upsert
 
 _MAP = T.MapType(T.StringType(), T.StringType())
 CORPUS_SCHEMA = T.StructType([
@@ -174,15 +174,19 @@ def read_vectors(spark: SparkSession, path: str, namespace: str | None = None) -
 
 
 def upsert_vectors(spark: SparkSession, path: str, updates: DataFrame, key: str = "vec_id",
-                   buckets: int = VECTOR_BUCKETS) -> None:
+                   buckets: int = VECTOR_BUCKETS, order: str | None = None) -> None:
     """Insert or replace by id; only the buckets that hold an updated id are read and rewritten.
 
+    Of several updates of an id the one with the greatest ``order`` counts, else the last in the input; the
+    order column itself is not stored.
+
     Replaced folders are swapped in when the whole job commits, so a lost executor leaves the table as it was.
     """
     new = _with_bucket(updates, key, buckets)
     touched = new.select(*_PLACE).distinct()
     base = spark.read.parquet(path).join(touched, list(_PLACE), "left_semi")
-    merged = upsert(base, new, [*_PLACE, key])
+    last = last_of(new, [*_PLACE, key], order)
+    merged = upsert(base, last.drop(order) if order else last, [*_PLACE, key])
     (
         merged.repartition(*_PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*_PLACE).parquet(path)

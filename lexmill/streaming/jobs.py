@@ -20,6 +20,7 @@ from ..functions.text import has_min_text, text_hash
 from ..operators import retrieval
 from ..operators.rows import explode_positions
 from ..session import cut
+from ..sources import files
 from ..operators.sessions import document_errors, session_rollup
 
 
@@ -117,6 +118,18 @@ def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     )
 
 
+def upsert_batches(df: DataFrame, path: str, checkpoint: str, key: str = "vec_id", order: str | None = None, **trigger) -> StreamingQuery:
+    """Insert or replace every micro-batch's rows in a vector table; a repeated batch gives the same table."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        files.upsert_vectors(batch.sparkSession, path, batch, key, order=order)
+
+    return (
+        df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
+    )
+
+
 def append_files(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append to Parquet with the file sink's exactly-once log."""
     return (
