@@ -68,10 +68,10 @@ def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 class Classes:
-    """Size classes and their segment counts for a threshold of percent / 100."""
+    """Size classes and their segment counts for a threshold of percent / 100; without ``deletion`` all by whole segments."""
 
-    def __init__(self, percent: int, ratio: float = 1.25):
-        self.p = percent
+    def __init__(self, percent: int, ratio: float = 1.25, deletion: bool = True):
+        self.p, self.ways = percent, (False, True) if deletion else (False,)
         first = 1
         while self.differences(2 * first + 1) == 0:  # smaller sets link only with equal ones or the next size
             first += 1
@@ -100,7 +100,7 @@ class Classes:
         if not most:
             return 0, 0, False  # only equal sets link, and these are one class already
         options = []
-        for deletion in (False, True):
+        for deletion in self.ways:
             m = most // 2 + 1 if deletion else most + 1
             for _ in range(8):  # E depends on m, and m on E
                 t = low / m
@@ -150,11 +150,11 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
-def sets_and_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def sets_and_keys(docs: DataFrame, n: int, percent: int, deletion: bool = True) -> DataFrame:
     """``doc_id, n_shingles, k1, k2, keys``: a set's size, its 128-bit identity and its keys."""
 
     def work(slices):
-        classes, known = Classes(percent), {}
+        classes, known = Classes(percent, deletion=deletion), {}
         for rows in slices:
             sets = ngram_sets(rows["text"], n)
             with np.errstate(over="ignore"):
@@ -171,10 +171,14 @@ def sets_and_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
         "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>", work)
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per input row."""
+def join(docs: DataFrame, n: int = 3, percent: int = 90, deletion: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per input row.
+
+    Without ``deletion`` sets have the keys of whole segments only: the same rows from fewer, less selective keys, for
+    lower thresholds and n-grams that few texts share.
+    """
     spark = docs.sparkSession
-    every = common.stage(sets_and_keys(docs, n, percent), "jaccard-sets")
+    every = common.stage(sets_and_keys(docs, n, percent, deletion), "jaccard-sets")
     same = ["n_shingles", "k1", "k2"]
     rows = every.filter("doc_id is not null and n_shingles > 0")
     copies = rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")

@@ -32,6 +32,18 @@ def test_linked_sets_share_a_key(percent):
     assert linked > 100
 
 
+def test_linked_sets_share_a_whole_segment():
+    rng = np.random.default_rng(80)
+    classes, known = jaccard.Classes(80, deletion=False), {}
+    with np.errstate(over="ignore"):
+        for n in [5, 9, 10, 14, 30, 45, 60, 120, 400] * 60:
+            pool = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+            gone = n // 9  # 8/10 of all elements are in both
+            a, b = (jaccard.keys(np.unique(s), classes, known) for s in (pool[:n], np.r_[pool[gone:n], pool[n:n + gone]]))
+            assert np.intersect1d(a, b).size, n
+    assert not any(deletion for _, _, deletion in known.values())
+
+
 def test_sets_with_many_empty_segments_share_a_key():
     """Elements chosen to fall into few segments of the first partition."""
     classes, known, rng = jaccard.Classes(90), {}, np.random.default_rng(1)

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from lexmill.llm import common, jaccard
 
@@ -30,6 +32,34 @@ def test_labels_that_are_good_stay(spark):
     assert sum(d in kept for d in good) >= 0.95 * len(good)
 
 
+def test_near_copies_by_five_words(spark):
+    """The smallest id of each group of 5-word similarity 0.8 stays; most pairs here lie between 0.7 and 1."""
+    rng, texts = np.random.default_rng(5), []
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    for n in (3, 5, 8, 30, 48, 49, 54, 58, 59, 100, 150, 400):
+        for _ in range(3):
+            seed = [word() for _ in range(n)]
+            texts.append(seed)
+            for changes in range(1, 2 + n // 40):
+                own = list(seed)
+                for at in rng.choice(n, changes, replace=False):
+                    own[at] = word()
+                texts.append(own)
+            texts.append(seed + [word() for _ in range(n // 6)])
+    sets = [{tuple(t[i:i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    group, between = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            between += 80 * either <= 100 * both < 90 * either
+            if 100 * both >= 80 * either and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.keep_one(spark, docs, SF).collect())
+    assert between > 20 and kept == [i for i, g in enumerate(group) if i == g]
+
+
 def test_odd_rows(spark, odd):
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
