@@ -4,11 +4,13 @@ The pages of a host are merged into one tree: equal paths of elements (tag with
 A node's content importance is the entropy of the texts that stand directly in it over the host's pages, its
 presentation importance that of the sequences of its children; both are over their greatest possible value. A
 node whose importance and all whose descendants' stay under ``threshold`` on at least ``min_pages`` pages is
-site decoration, and its branch is removed from every page. Elements whose tag, role, class or id names them as
+site decoration, and its branch is removed from every page, but for blocks inside an article. Equal pages of a host
+count as one page in all of this. Elements whose tag, role, class or id names them as
 menus, headers, footers, sidebars, notices, adverts, forms, comments or code have no presentation importance at
 all. What is left of the page's article (or main element, or else of the whole page, without blocks that are mostly links) is its text.
 
-Node counts are grouped before they are shuffled, so a host of any size spreads; a page meets its host's short list
+Node counts are grouped before they are shuffled, so a host of any size spreads; only nodes of pages that have copies
+are first told apart by page, and pages themselves are not shuffled for it. A page meets its host's short list
 of removed nodes in a join that Spark broadcasts by measured size or splits.
 
 Cases: null or empty html gives an empty text; a page without a host takes part in no tree; unclosed and stray tags
@@ -21,6 +23,7 @@ import html as entities
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -131,8 +134,8 @@ class Page:
         flush()
 
     def text(self, removed: set[int]) -> str:
-        """The main text, without decoration and the branches of removed nodes."""
-        kept = [b for b in self.blocks if not b[2] and not removed.intersection(b[1])]
+        """The main text, without decoration and, outside articles, the branches of removed nodes."""
+        kept = [b for b in self.blocks if not b[2] and (b[3] or not removed.intersection(b[1]))]
         for rule in (lambda b: b[3], lambda b: b[4]):
             inner = [b for b in kept if rule(b)]
             if inner:
@@ -162,18 +165,26 @@ def host(url: Column) -> Column:
 
 def decoration(pages: DataFrame, threshold: float = 0.2, min_pages: int = 8) -> DataFrame:
     """``host, removed array<long>``: the style nodes of low importance of every host that has some."""
+    rows = pages.select(host(F.col("url")).alias("host"), common.text_or_empty("html").alias("html")).filter("host is not null")
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
+    copied = common.stage(rows.groupBy("page").agg(F.count("*").alias("n")).filter("n > 1").select("page"), "site-copies")
+    bitmap = common.members(copied, "page")
 
     def work(slices):
         for rows in slices:
-            found = [(h, *n) for h, html in zip(rows["host"], rows["html"]) for n in Page(html).nodes()]
-            yield {k: [f[i] for f in found] for i, k in enumerate(("host", "node", "parent", "content", "shape"))}
+            copy = common.is_member(bitmap, np.array(rows["page"], np.int64))
+            pages = zip(rows["host"], rows["page"], copy, rows["html"])
+            found = [(h, page if c else None, *n) for h, page, c, html in pages for n in Page(html).nodes()]
+            yield {k: [f[i] for f in found] for i, k in enumerate(("host", "page", "node", "parent", "content", "shape"))}
 
     nodes = common.map_batches(
-        pages.select(host(F.col("url")).alias("host"), common.text_or_empty("html").alias("html")).filter("host is not null"),
-        {"host": pa.string(), "node": pa.int64(), "parent": pa.int64(), "content": pa.int64(), "shape": pa.int64()},
-        "host string, node long, parent long, content long, shape long", work)
-    kinds = nodes.select("host", "node", "parent", F.posexplode(F.array("content", "shape")).alias("kind", "value"))
-    counts = kinds.groupBy("host", "node", "parent", "kind", "value").agg(F.count("*").alias("n"))
+        rows, {"host": pa.string(), **{c: pa.int64() for c in ("page", "node", "parent", "content", "shape")}},
+        "host string, page long, node long, parent long, content long, shape long", work)
+    kinds = nodes.select("host", "page", "node", "parent", F.posexplode(F.array("content", "shape")).alias("kind", "value"))
+    # pages without copies have no page here and are counted at once; of the others each page counts once
+    value = ("host", "node", "parent", "kind", "value")
+    counts = kinds.groupBy(*value, "page").agg(F.count("*").alias("n"))
+    counts = counts.groupBy(*value).agg(F.sum(F.when(F.col("page").isNull(), F.col("n")).otherwise(1)).alias("n"))
     entropy = counts.groupBy("host", "node", "parent", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("values"))
     weight = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(1.0)
     importance = entropy.groupBy("host", "node", "parent").agg(F.max(weight).alias("own"), F.max("m").alias("m"))

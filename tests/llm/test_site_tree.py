@@ -34,6 +34,28 @@ def test_repeated_branches_of_a_site_go(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [8, 1000])
+def test_equal_pages_of_a_site_count_once(spark, copies):
+    page = "<body><div class=box><p>menu words</p></div><{0}><h2>Title</h2><p>{1}</p></{0}></body>"
+    rows = [(i, "https://copies.example/a", page.format("article", "same text")) for i in range(copies)]
+    rows += [(2000 + i, "https://copies.example/b", page.format("article", f"own text {i}")) for i in range(3)]
+    rows += [(3000 + i, "https://plain.example/", page.format("div", "same text")) for i in range(copies)]
+    rows += [(5000 + i, "https://plain.example/c", page.format("div", f"own text {i}")) for i in range(3)]
+    rows += [(6000 + i, "https://pairs.example/", page.format("div", f"own text {i // 2}")) for i in range(24)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "Title\nsame text" and got[3000 + i] == "menu words\nTitle\nsame text" for i in range(copies))
+    assert all(got[2000 + i] == f"Title\nown text {i}" and got[5000 + i] == f"menu words\nTitle\nown text {i}" for i in range(3))
+    assert all(got[6000 + i] == f"own text {i // 2}" for i in range(24))  # twelve pages: what all of them have goes
+
+
+def test_articles_keep_what_other_pages_have_too(spark):
+    page = "<body><div class=box><p>same words</p></div><article><h2>Same title</h2><p>{}</p></article></body>"
+    df = spark.createDataFrame([(i, "https://site.example/", page.format(f"own words {i}")) for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(df).collect()}
+    assert got == {i: f"Same title\nown words {i}" for i in range(12)}
+
+
 def test_pages_of_the_driver_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = site_tree.extract(pages).collect()
