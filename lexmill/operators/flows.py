@@ -95,6 +95,15 @@ def prepare_prompts(questions: DataFrame, messages: DataFrame, documents: DataFr
     return prompts.prompt_messages(legal.select("query_id", "question"), references, history, system), gate
 
 
+def legal_files(files: DataFrame, vectors: DataFrame, load: Callable | None = None) -> DataFrame:
+    """``(query_id, best_score, is_legal)`` of every file: its whole text is embedded and searched in general mode.
+
+    ``files``: query_id, text. Without a hit a file does not pass.
+    """
+    embedded = cut(E.embed(files.select("query_id", "text"), load=load).drop("text"))
+    return retrieval.legal_gate(embedded, retrieval.search(embedded, vectors, "general", K.GATE_PROBE_K))
+
+
 def history_before(questions: DataFrame, messages: DataFrame, block: Column, n: int = K.HISTORY_TURNS) -> DataFrame:
     """``query_id, recency, question, answer``: the newest ``n`` turns before each question.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K, vectors as V
 from ..session import cut
-from ..operators import embed as E, index, prompts, retrieval, search, verify, windows
+from ..operators import embed as E, flows, index, prompts, retrieval, search, verify, windows
 from .base import q, register, sql_drop_space, sql_strip, table
 from .chunk_queries import CHUNK_ROWS
 from .fixtures import CATEGORY, KDOCS, KTEXT, LAW, LAW_DATE, NAMESPACE, TURNS, kdocs, turns
@@ -212,6 +212,23 @@ def legal_file(spark, sf):
     return retrieval.legal_gate(questions(spark, sf), hits(spark, sf, "general", K.GATE_PROBE_K))
 
 
+@register("legal_file_text", "query_id long, best_score dbl6, is_legal bool", f"""
+    with t as ({DOC_TOKENS}),
+    sparse as (select doc_id, idx, x / max(x) over (partition by doc_id) as x from t),
+    buckets as (select doc_id, idx % 64 as b, sum(x) as v from t group by doc_id, idx % 64),
+    files as (select d.doc_id, list(coalesce(v, 0.0::double) order by r.b) as dense from documents as d cross join (select unnest(range(0, 64)) as b) as r
+      left join (select doc_id, b, v / sqrt(sum(v * v) over (partition by doc_id)) as v from buckets) as u on u.doc_id = d.doc_id and u.b = r.b group by d.doc_id),
+    public as (select * from ({ALL}) as a where namespace = 'public'),
+    met as (select l.doc_id, r.doc_id as vec_id, sum(l.x * r.x) as x from sparse as l join sparse as r on l.idx = r.idx
+      where r.doc_id in (select vec_id from public) group by l.doc_id, r.doc_id),
+    best as (select f.doc_id, max(round({K.ALPHA}::double * list_inner_product(f.dense, p.dense) + (1 - {K.ALPHA}::double) * coalesce(m.x, 0), 12)) as best_score
+      from files as f cross join public as p left join met as m on m.doc_id = f.doc_id and m.vec_id = p.vec_id group by f.doc_id)
+    select d.doc_id as query_id, best_score, coalesce(best_score >= 0.6, false) as is_legal from documents as d left join best as b on b.doc_id = d.doc_id""")
+def legal_file_text(spark, sf):
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return flows.legal_files(files, vectors(spark, sf))
+
+
 @register("prompt_hits", HIT_COLUMNS, f"select * from ({GENERAL}) as h where rank <= 3")
 def prompt_hits(spark, sf):
     return retrieval.prompt_hits(hits(spark, sf))

@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 from lexmill.functions import constants as K
 from lexmill.functions.chunking import ChunkConfig
 from lexmill.functions.sql import register_sql
-from lexmill.operators import flows, index
+from lexmill.operators import embed, flows, index
 from lexmill.plans import fixtures
 from lexmill.plans.base import table
+from lexmill.plans.catalog import QUERIES
 
 from .conftest import SF
 
@@ -77,3 +78,18 @@ def test_prompts_from_questions_to_messages(spark):
             assert sent[0]["content"] == "규칙" and len(sent) == 2 + 2 * len(earlier)
             assert [m["content"] for m in sent[1:-1:2]] == [b["question"] for b in earlier]
             assert sent[-1]["content"].endswith("[질문]\n" + r["question"]) and "[조문: 형법 제1조]" in sent[-1]["content"]
+
+
+def test_every_file_is_gated_by_its_whole_text(spark):
+    law = "관세법 제1조 목적 이 법은 관세의 부과 징수 를 정한다"
+    stored = embed.embed(spark.createDataFrame([(900, "public", law), (901, "user_5", "eigen text")], "vec_id long, namespace string, text string")).drop("text")
+    files = spark.createDataFrame([(1, law), (2, " ".join(["x"] * 300) + " " + " ".join([law] * 60)), (3, "eigen text"), (4, ""), (5, None)], "query_id long, text string")
+    got = {r["query_id"]: (r["best_score"], r["is_legal"]) for r in flows.legal_files(files, stored).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1][0] > 0.99
+    assert [got[i][1] for i in sorted(got)] == [True, True, False, False, False]
+    assert not any(r["is_legal"] for r in flows.legal_files(files, stored.filter("namespace <> 'public'")).collect())
+
+
+def test_gate_has_a_row_for_every_document(spark):
+    got = [r["query_id"] for r in QUERIES["legal_file_text"](spark, SF).select("query_id").collect()]
+    assert sorted(got) == sorted(r["doc_id"] for r in table(spark, SF, "documents").select("doc_id").collect())
