@@ -28,6 +28,10 @@ from .training import labelled_sample
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 RUN = 64
+#: What str.isdigit holds for: decimal digits and those in circles, above the line and the like.
+DIGIT = re.compile(
+    r"[\d\xb2\xb3\xb9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff"
+    r"\u2776-\u277e\u2780-\u2788\u278a-\u2792\U00010a40-\U00010a43\U00010e60-\U00010e68\U00011052-\U0001105a\U0001f100-\U0001f10a]")
 #: Words of notices, menus and licences.
 NOTICE = re.compile(
     r"\b(?:copyright|rights reserved|licensed?|licen[cs]e|cookies?|privacy|terms of|subscribe|newsletter|sign (?:up|in)|log ?in|"
@@ -90,7 +94,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         rows.append((
             1.0, min(n, 60) / 30, n < 4, min(1.0, 4 * symbols / chars), line.count("|") >= 0.2 * n, upper >= 0.6 * n,
             line.count("!") >= 0.4 * n, distinct < 0.5 and n >= 6, distinct < 0.2 and n >= 6, line in seen,
-            bool(NOTICE.search(line)), line[-1] in ".!?…:;\"'»”", chars / n > 14, any(map(str.isdigit, line[:200])),
+            bool(NOTICE.search(line)), line[-1] in ".!?…:;\"'»”", chars / n > 14, bool(DIGIT.search(line)),
         ))
         sizes.append(n)
         seen.add(line)

@@ -142,3 +142,10 @@ def test_phrase_places():
     scanner = licenses.Scanner([], {})
     words = licenses.words_of("MIT-License; mit license mit license\nthe GNU General  Public License, apache licenses")
     assert scanner.places(words) == [(0, "mit"), (2, "mit"), (4, "mit"), (8, "gpl")]
+
+
+def test_digits_of_a_whole_line_count():
+    digit = lambda line: line_crf.line_features(line)[0][0, 13]
+    assert digit("word " * 100 + "7") == digit("7 word") == digit("x\u00b2 " + "word " * 100) == 1 and digit("word " * 100) == 0
+    every = [chr(c) for c in range(0x110000)]
+    assert [c for c in every if line_crf.DIGIT.search(c)] == [c for c in every if c.isdigit()]
