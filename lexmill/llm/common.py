@@ -43,20 +43,22 @@ def drop(spark: SparkSession, *staged: DataFrame) -> None:
 
 
 def map_batches(
-    df: DataFrame, columns: dict[str, pa.DataType], schema: str, work: Callable[[Iterator[dict]], Iterator[dict]]
+    df: DataFrame, columns: dict[str, pa.DataType], schema: str, work: Callable[[Iterator[dict]], Iterator[dict]],
+    rows_at_once: int = 0,
 ) -> DataFrame:
     """``mapInArrow`` over some columns: ``work`` turns dicts of column lists into dicts of output columns.
 
     ``columns`` names the output's Arrow types, ``schema`` the same as Spark DDL. Batches are cut to
-    ``SLICE`` rows before they become Python objects, so memory follows the slice.
+    ``rows_at_once`` rows (``SLICE`` by default) before they become Python objects, so memory follows the slice.
     """
     out = pa.schema(list(columns.items()))
+    step = rows_at_once or SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slices():
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    yield {k: v.to_pylist() for k, v in zip(batch.schema.names, batch.slice(at, SLICE).columns)}
+                for at in range(0, batch.num_rows, step):
+                    yield {k: v.to_pylist() for k, v in zip(batch.schema.names, batch.slice(at, step).columns)}
 
         for rows in work(slices()):
             yield pa.RecordBatch.from_pydict({k: rows[k] for k in out.names}, schema=out)

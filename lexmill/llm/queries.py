@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, jaccard, licenses, line_crf, mixing, packing, quality, site_tree, token_files, topk, toxicity
+from . import audit, common, jaccard, licenses, line_crf, merkle, mixing, packing, prefix_bpe, quality, site_tree, token_files, topk, toxicity
 from .training import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,106 @@ def op10(spark, sf_dir):
     manifest = token_files.write_token_files(
         docs, common.scratch(spark, "token-files"), tokenizer("byte_bpe_50k.json"), end_id=0)
     return token_files.read_token_files(manifest)
+
+
+@query("op11_prefix_bpe")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    return prefix_bpe.digests(
+        common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _field(column: str, shown: str | None = None) -> str:
+    v = shown or f"cast({column} as varchar)"
+    return f"case when {column} is null then '-' else strlen({v}) || ':' || {v} end"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query("op12_merkle_manifest", f"""
+with recursive c as (
+  select doc_id as cid, list_reduce(list_prepend(cast(4294967295 as bigint), flatten([[cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]
+    for x in string_split(cast(doc_id as varchar), '')])),
+    lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) & 1 as odd
+  from (select distinct doc_id from documents where doc_id is not null)
+), l as (
+  select d.doc_id, d.source, sha256({_LEAF} || {_field("text")}) as leaf,
+    case when c.odd = 1 then sha256({_LEAF} || {_field("text", "replace(text, chr(10), '')")})
+      else sha256({_LEAF} || {_field("text")}) end as changed
+  from documents d left join c on c.cid = d.doc_id
+), p as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, dense_rank() over (order by source nulls first) - 1 as s from l
+), t(s, level, pos, value) as (
+  select s, 0, pos, leaf from p
+  union all
+  select s, level + 1, pos // 3, sha256(string_agg(value, '' order by pos)) from (select *, count(*) over (partition by s) as n from t) where n > 1
+  group by s, level, pos // 3
+), top as (select s, level, value from (select *, row_number() over (partition by s order by level desc) as r from t) where r = 1
+), u(level, pos, value) as (
+  select 0, s, value from top
+  union all
+  select level + 1, pos // 3, sha256(string_agg(value, '' order by pos)) from (select *, count(*) over () as n from u) where n > 1 group by level, pos // 3
+), root as (select value, level from u order by level desc limit 1
+), f(doc, s, level, pos, value, proof) as (
+  select row_number() over (), s, 0, pos, changed, '' from p
+  union all
+  select f.doc, f.s, f.level + 1, f.pos // 3,
+    sha256(coalesce(string_agg(t.value, '' order by t.pos) filter (t.pos < f.pos), '') || any_value(f.value)
+      || coalesce(string_agg(t.value, '' order by t.pos) filter (t.pos > f.pos), '')),
+    any_value(f.proof) || coalesce(string_agg(t.value, '' order by t.pos) filter (t.pos <> f.pos), '')
+  from f join t on t.s = f.s and t.level = f.level and t.pos // 3 = f.pos // 3 join top on top.s = f.s where f.level < top.level
+  group by f.doc, f.s, f.level, f.pos
+), g(doc, level, pos, value, proof) as (
+  select f.doc, 0, f.s, f.value, f.proof from f join top on top.s = f.s and top.level = f.level
+  union all
+  select g.doc, g.level + 1, g.pos // 3,
+    sha256(coalesce(string_agg(u.value, '' order by u.pos) filter (u.pos < g.pos), '') || any_value(g.value)
+      || coalesce(string_agg(u.value, '' order by u.pos) filter (u.pos > g.pos), '')),
+    any_value(g.proof) || coalesce(string_agg(u.value, '' order by u.pos) filter (u.pos <> g.pos), '')
+  from g join u on u.level = g.level and u.pos // 3 = g.pos // 3 where g.level < (select level from root)
+  group by g.doc, g.level, g.pos
+)
+select p.doc_id, p.source, p.leaf, top.value as subroot, root.value as root, cast(strlen(g.proof) // 64 as bigint) as n_siblings,
+  sha256(g.proof) as proof_sha256, g.value as folded_root, g.value = root.value as verified
+from (select *, row_number() over () as doc from p) p join top on top.s = p.s cross join root join g on g.doc = p.doc and g.level = root.level
+""")
+def op12(spark, sf_dir):
+    return merkle.manifest(common.table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", """
+with recursive d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), lab as (select doc_id, max(quality) as q, max(toxic) as t from labels group by 1
+), m as (
+  select part, coalesce(lab.q = 1, false) as good, coalesce(lab.t = 1, false) as toxic,
+    {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+     'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+     'E': coalesce(d.doc_id > min(d.doc_id) over (partition by text), false)} as fails
+  from d left join lab on lab.doc_id = d.doc_id
+), o(filter_order) as (
+  select '' union all select filter_order || f from o, (select unnest(['A', 'B', 'C', 'D', 'E']) as f) where not contains(filter_order, f) and length(filter_order) < 5
+), k as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by 1, 2
+), x as (
+  select part, filter_order, n, good, toxic, fails,
+    [case substr(filter_order, i, 1) when 'A' then fails.A when 'B' then fails.B when 'C' then fails.C when 'D' then fails.D else fails.E end for i in range(1, 6)] as hit
+  from k, o where length(filter_order) = 5
+), y as (select *, coalesce(list_position(hit, true), 99) as gone, len([1 for h in hit if h]) as n_hit from x
+), r as (
+  select part, filter_order, cast(step as integer) as step, substr(filter_order, cast(step as integer), 1) as f,
+    sum(case when gone > step then n else 0 end) as kept, sum(case when gone = step then n else 0 end) as removed,
+    sum(case when hit[step] and gone < step then n else 0 end) as redundant, sum(case when hit[step] and n_hit = 1 then n else 0 end) as unique_fails,
+    sum(case when gone = step then good else 0 end) as good_lost, sum(case when gone = step then toxic else 0 end) as toxic_lost
+  from y, (select unnest(range(1, 6)) as step) group by 1, 2, 3
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, f) as bigint) as shapley from r
+""")
+def op13(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return audit.audit(docs, labels)
