@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as K
 from ..functions.text import drop_space, strip, strip_commas
@@ -33,51 +36,87 @@ def merge_blocks(native: DataFrame, ocr: DataFrame) -> DataFrame:
     return tag(native, "native", 0).unionByName(tag(drop_repeated_ocr(native, ocr), "ocr", 1))
 
 
-def _order_page(threshold: float):
-    """Fold over blocks from top to bottom: join the first line whose mean centre is near, else open one."""
-    lines_type = "array<struct<total:double,n:int>>"
-    out_type = "array<struct<line:int,x0:double,seq:int,source:string,text:string>>"
-
-    def step(acc, b):
-        lines, centre = acc["lines"], (b["y0"] + b["y1"]) / 2
-        near = F.transform(lines, lambda l: F.abs(centre - l["total"] / l["n"]) < threshold)
-        at = F.array_position(near, True).cast("int")
-        grown = F.transform(lines, lambda l, i: F.when(
-            i == at - 1, F.struct((l["total"] + centre).alias("total"), (l["n"] + 1).alias("n"))
-        ).otherwise(l))
-        opened = F.array_append(lines, F.struct(centre.alias("total"), F.lit(1).alias("n")))
-        placed = F.struct(
-            F.when(at > 0, at).otherwise(F.size(lines) + 1).alias("line"), b["x0"].alias("x0"),
-            F.size(acc["out"]).alias("seq"), b["source"].alias("source"), b["text"].alias("text"),
-        )
-        return F.struct(
-            F.when(at > 0, grown).otherwise(opened).alias("lines"),
-            F.array_append(acc["out"], placed).alias("out"),
-        )
-
-    start = F.struct(F.array().cast(lines_type).alias("lines"), F.array().cast(out_type).alias("out"))
-    return lambda blocks: F.array_sort(F.aggregate(blocks, start, step, lambda acc: acc["out"]))
-
-
-def reading_order(blocks: DataFrame, threshold: float = K.LINE_THRESHOLD, drop_repeated: bool = False) -> DataFrame:
+def drop_repeated(blocks: DataFrame) -> DataFrame:
+    """Native blocks, and the OCR blocks whose text no native block of their page holds; blocks without text stay.
+
+    Rows meet by page, which later steps by page use again, and equal texts of a page stand together in one sort.
+    """
+    native = F.col("source") == "native"
+    same = Window.partitionBy(*PAGE, "_key")
+    marked = blocks.repartition(*PAGE).withColumn("_key", block_key(F.col("text"))).withColumn("_known", F.max(native).over(same))
+    return marked.filter(native | F.col("_key").isNull() | ~F.col("_known")).drop("_key", "_known")
+
+
+def line_numbers(tops: list[float | None], bottoms: list[float | None], threshold: float) -> list[int]:
+    """The line (from 1) of every block of a page, blocks given from top to bottom.
+
+    A block joins the first line whose mean centre is nearer than ``threshold``, else it opens one. Lines lie in cells
+    as high as the threshold, so a block looks only into its own cell and those beside it.
+    """
+    total: list[float] = []
+    count: list[int] = []
+    cells: dict[int, set[int]] = {}
+    out = []
+    for top, bottom in zip(tops, bottoms):
+        if top is None or bottom is None or not math.isfinite(top + bottom):
+            total.append(math.nan)
+            count.append(1)
+            out.append(len(total))
+            continue
+        centre = (top + bottom) / 2
+        cell = math.floor(centre / threshold)
+        near = [
+            line for c in (cell - 1, cell, cell + 1) for line in cells.get(c, ())
+            if abs(centre - total[line] / count[line]) < threshold
+        ]
+        if near:
+            line = min(near)
+            before = math.floor(total[line] / count[line] / threshold)
+            total[line] += centre
+            count[line] += 1
+            now = math.floor(total[line] / count[line] / threshold)
+            if now != before:
+                cells[before].discard(line)
+                cells.setdefault(now, set()).add(line)
+        else:
+            line = len(total)
+            total.append(centre)
+            count.append(1)
+            cells.setdefault(cell, set()).add(line)
+        out.append(line + 1)
+    return out
+
+
+def _lines(threshold: float):
+    """Line numbers of whole pages; only coordinates go to Python, texts stay where they are."""
+
+    @F.pandas_udf("array<int>")
+    def lines(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
+        return pd.Series([line_numbers(list(t), list(b), threshold) for t, b in zip(tops, bottoms)])
+
+    return lines
+
+
+def reading_order(blocks: DataFrame, threshold: float = K.LINE_THRESHOLD, unique: bool = False) -> DataFrame:
     """One row per page with ``blocks`` in reading order (line, then left to right).
 
     ``blocks`` has ``doc_id, page, pos, x0, y0, x1, y1, text, source``. Only the blocks of one
-    page meet in a task. ``drop_repeated`` leaves out OCR blocks whose text a native block of the
-    page holds, in the row where the page's blocks meet anyway.
+    page meet in a task, in time that grows with n log n. ``unique`` leaves out OCR blocks whose text a native
+    block of the page holds.
     """
+    if unique:
+        blocks = drop_repeated(blocks)
     source_rank = F.when(F.col("source") == "native", 0).otherwise(1)
     item = F.struct(
         F.col("y0").cast("double").alias("y0"), F.col("x0").cast("double").alias("x0"),
         source_rank.alias("s"), "pos", F.col("y1").cast("double").alias("y1"), "source", "text",
     )
     pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("_b"))
-    if drop_repeated:
-        native = F.array_distinct(F.transform(F.filter("_b", lambda b: b["s"] == 0), lambda b: block_key(b["text"])))
-        pages = pages.withColumn("_native", native).withColumn(
-            "_b", F.filter("_b", lambda b: (b["s"] == 0) | ~F.coalesce(F.array_contains("_native", block_key(b["text"])), F.lit(False)))
-        )
-    return pages.select(*PAGE, _order_page(threshold)(F.col("_b")).alias("blocks"))
+    lined = pages.withColumn(
+        "_line", _lines(threshold)(F.transform("_b", lambda b: b["y0"]), F.transform("_b", lambda b: b["y1"])))
+    placed = F.transform("_b", lambda b, i: F.struct(
+        F.get("_line", i).alias("line"), b["x0"].alias("x0"), i.alias("seq"), b["source"].alias("source"), b["text"].alias("text")))
+    return lined.select(*PAGE, F.array_sort(placed).alias("blocks"))
 
 
 def page_text(ordered: DataFrame) -> DataFrame:

@@ -1,16 +1,14 @@
 """Exact top-k retrieval by hybrid score, without a cross join.
 
-A *target* is a question aimed at one key (a namespace, or an article inside one). A target
-meets only vectors of its key. Scores are computed block against block inside tasks and only
-the best ``k`` rows per target and block ever leave a task, so pairs are never materialised.
-
-Two physical forms give the same rows:
-
-* few targets (a checked bound): they are broadcast and the vectors are scanned where they lie,
-  no shuffle of the vectors;
-* more targets: both sides are laid out on a grid. A key larger than a block is cut into several
-  target blocks and vector blocks, so a key holding a third of all rows is spread over many tasks;
-  small keys share a cell.
+A *target* is a question aimed at one key (a namespace, or an article inside one). A target meets only vectors of
+its key and length. Both sides are packed into blocks with bounds (``vector_blocks``), and only summaries meet first, by equality of key
+and length: one narrow row per pair of blocks. Every block of targets is scored against the few blocks of vectors with the
+highest bounds; from then on the k-th best score of each of its targets is known, and of the other pairs
+only those go on whose bound reaches the least of them. So vectors are copied only to target blocks that they can matter
+to, scores live only inside tasks, and at most k rows per target and pair leave them.
+
+Nothing is collected but a bounded sample of vectors for the cuts of large keys, and there is one plan for any number of targets:
+small block tables are broadcast by their measured size, others meet in joins that Spark splits.
 """
 
 from __future__ import annotations
@@ -19,88 +17,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import constants as K
-from ..session import cut
+from ..session import staged
+from .vector_blocks import blocks, bounds, flat, summaries
 
-TARGET_COLUMNS = ("query_id", "key", "dense", "idx", "val")
-VECTOR_COLUMNS = ("vec_id", "key", "dense", "idx", "val")
-MAX_BROADCAST_TARGETS = 4096
-MAX_BROADCAST_BYTES = 64 << 20
-TARGET_BLOCK, VECTOR_BLOCK = 1024, 16384
+TARGET_BLOCK, VECTOR_BLOCK = 1024, 2048
+#: Blocks of vectors that a block of targets meets before bounds decide.
+FIRST_BLOCKS = 2
 # Digits kept for ranking and gates: enough to tell scores apart, few enough that equal vectors stay ties
 # whatever the order of summation.
 SCORE_DIGITS = 12
-_VECTOR_SLICE, _MATCH_SLICE = 2048, 4_000_000
-
-
-def _plain(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
-def _dense(column) -> np.ndarray:
-    column = _plain(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
+_MATCH_SLICE = 4_000_000
 
-def _postings(idx, val) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token, weight) of a sparse column pair."""
-    idx, val = _plain(idx), _plain(val)
-    lengths = pc.fill_null(pc.list_value_length(idx), 0).to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(idx)), lengths)
-    return rows, idx.flatten().to_numpy(zero_copy_only=False), val.flatten().to_numpy(zero_copy_only=False)
 
+def _postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, weight) of a block's sparse side in the order of tokens."""
+    rows, tokens, weights = (row[c].values.to_numpy(zero_copy_only=False) for c in ("rows", "tokens", "weights"))
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], rows[order], weights[order]
 
-def _by_value(values: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
-    """Each value of an array of texts with the positions that hold it, in one sort; nulls are left out."""
-    at = np.array([i for i, v in enumerate(values) if v is not None], dtype=int)
-    found, code = np.unique(values[at].astype(str), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    ends = np.searchsorted(code[order], np.arange(len(found) + 1))
-    for value, lo, hi in zip(found.tolist(), ends, ends[1:]):
-        yield value, at[order[lo:hi]]
 
-
-class _Targets:
-    """Target rows of a block, grouped by key, with their sparse side sorted by token."""
-
-    def __init__(self, table: pa.Table | pa.RecordBatch):
-        self.ids = _plain(table.column("query_id"))
-        self.keys = np.asarray(table.column("key").to_pylist(), dtype=object)
-        self.dense = _dense(table.column("dense"))
-        rows, tokens, weights = _postings(table.column("idx"), table.column("val"))
-        groups = list(_by_value(self.keys))
-        group, local = np.zeros(len(self.keys), int), np.zeros(len(self.keys), int)
-        for g, (_, members) in enumerate(groups):
-            group[members], local[members] = g, np.arange(len(members))
-        order = np.lexsort((tokens, group[rows]))  # all postings by key and token, sorted once
-        rows, tokens, weights = rows[order], tokens[order], weights[order]
-        ends = np.searchsorted(group[rows], np.arange(len(groups) + 1))
-        self.by_key = {
-            key: (members, tokens[lo:hi], local[rows[lo:hi]], weights[lo:hi])
-            for (key, members), lo, hi in zip(groups, ends, ends[1:])
-        }
-
-
-def _scores(targets: _Targets, key, dense: np.ndarray, postings, alpha: float) -> np.ndarray:
-    members, tok, owner, weight = targets.by_key[key]
-    score = alpha * (targets.dense[members] @ dense.T)
-    rows, tokens, values = postings
+def _scores(targets: dict, vectors: dict, dim: int, alpha: float) -> np.ndarray:
+    a, b = (x["dense"].values.to_numpy(zero_copy_only=False).reshape(-1, dim) for x in (targets, vectors))
+    score = alpha * (a @ b.T)
+    tok, owner, weight = _postings(targets)
+    tokens, rows, values = _postings(vectors)
     if len(tok) and len(tokens):
         lo, hi = np.searchsorted(tok, tokens, "left"), np.searchsorted(tok, tokens, "right")
-        matches = hi - lo
-        ends = np.cumsum(matches)
-        at, width = 0, len(dense)
+        ends, at, width = np.cumsum(hi - lo), 0, len(b)
         while at < len(tokens):
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + _MATCH_SLICE, "right")))
-            n = matches[at:to]
+            n = (hi - lo)[at:to]
             rep = np.repeat(np.arange(at, to), n)
-            first = np.repeat(lo[at:to] - (np.cumsum(n) - n), n)
-            hit = first + np.arange(len(rep))
+            hit = np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(len(rep))
             score += (1.0 - alpha) * np.bincount(
                 owner[hit] * width + rows[rep], weight[hit] * values[rep], minlength=score.size
             ).reshape(score.shape)
@@ -108,152 +60,74 @@ def _scores(targets: _Targets, key, dense: np.ndarray, postings, alpha: float) -
     return np.round(score, SCORE_DIGITS)
 
 
-def _keep_top(table: pa.Table, k: int) -> pa.Table:
-    """Best ``k`` rows per target: highest score, then lowest vector id."""
-    table = table.sort_by([("target", "ascending"), ("score", "descending"), ("vec_id", "ascending")])
-    target = table.column("target").to_numpy()
-    at = np.arange(len(target))
-    first = np.ones(len(target), dtype=bool)
-    first[1:] = target[1:] != target[:-1]
-    return table.filter(pa.array(at - np.maximum.accumulate(np.where(first, at, 0)) < k))
-
-
-def _block_top(targets: _Targets, vectors: pa.Table | pa.RecordBatch, k: int, alpha: float) -> list[pa.Table]:
-    """Best ``k`` vectors of a block for every target of the same key."""
-    found = []
-    keys = np.asarray(vectors.column("key").to_pylist(), dtype=object)
-    for key, mine in _by_value(keys):
-        if key not in targets.by_key:
-            continue
-        for at in range(0, len(mine), _VECTOR_SLICE):
-            part = vectors.take(pa.array(mine[at : at + _VECTOR_SLICE]))
-            postings = _postings(part.column("idx"), part.column("val"))
-            score = _scores(targets, key, _dense(part.column("dense")), postings, alpha)
-            if score.shape[1] > k:  # every row that reaches the k-th best score, ties included
-                cut = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                row, col = np.nonzero(score >= cut[:, None])
-            else:
-                row, col = (a.ravel() for a in np.indices(score.shape))
-            table = pa.table({
-                "target": targets.by_key[key][0][row],
-                "vec_id": _plain(part.column("vec_id")).take(pa.array(col)),
-                "score": score[row, col],
-            })
-            found.append(_keep_top(table, k))
-    return found
-
-
-def _emit(targets: _Targets, found: pa.Table) -> pa.Table:
-    at = found.column("target").to_numpy()
-    return pa.table({
-        "query_id": targets.ids.take(pa.array(at)),
-        "key": pa.array(targets.keys[at], type=pa.string()),
-        "vec_id": found.column("vec_id").combine_chunks(),
-        "score": found.column("score").combine_chunks(),
-    })
-
-
-def _result_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("key", T.StringType()),
-        T.StructField("vec_id", vectors.schema["vec_id"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
-
-
-def _by_broadcast(targets: pa.Table, queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> DataFrame:
-    spark = vectors.sparkSession
-    targets = targets.combine_chunks()
-    shared = spark.sparkContext.broadcast(targets)  # a plain Arrow table: tasks need no class of ours to load it
-    bound = 4 * k * max(1, len(targets))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = _Targets(shared.value)
-        kept: list[pa.Table] = []
-        size = 0
+def _best(score: np.ndarray, vec_ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(target, vector) places of the best k per target: highest score, then lowest vector id."""
+    width = score.shape[1]
+    if width > k:  # every vector that reaches the k-th best score, ties included
+        least = np.partition(score, width - k, axis=1)[:, width - k]
+        row, col = np.nonzero(score >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(score.shape))
+    by_id = np.empty(width, np.int64)
+    by_id[pa.compute.sort_indices(vec_ids).to_numpy()] = np.arange(width)
+    order = np.lexsort((by_id[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row, "left")
+    kept = np.arange(len(row)) - first < k
+    return row[kept], col[kept]
+
+
+def _scored(pairs: DataFrame, targets: DataFrame, vectors: DataFrame, k: int, alpha: float) -> DataFrame:
+    """``a_block, query_id, key, vec_id, score``: the best k of every pair of blocks for each target."""
+    payload = ("ids", "dense", "rows", "tokens", "weights")
+    left, right = (
+        df.select(F.col("block").alias(f"{p}block"), *[F.col(c).alias(f"{p}{c}") for c in payload], *more)
+        for df, p, more in ((targets, "a_", ("key", "dim")), (vectors, "b_", ())))
+    # the smaller side is joined first, so that what is copied to pairs are targets
+    met = pairs.select("a_block", "b_block").join(left, "a_block").join(right, "b_block")
+    id_types = [df.schema["ids"].dataType.elementType for df in (targets, vectors)]
+    schema = T.StructType([
+        T.StructField("a_block", T.LongType()), T.StructField("query_id", id_types[0]), T.StructField("key", T.StringType()),
+        T.StructField("vec_id", id_types[1]), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = _block_top(mine, batch, k, alpha)
-            kept.extend(new)
-            size += sum(len(t) for t in new)
-            if size > bound:
-                kept = [_keep_top(pa.concat_tables(kept), k)]
-                size = len(kept[0])
-        if size:
-            yield from _emit(mine, _keep_top(pa.concat_tables(kept), k)).to_batches()
-
-    keys = [key for key in pc.unique(targets.column("key")).to_pylist() if key is not None]
-    vectors = vectors.filter(F.col("key").isin(keys))  # prunes namespaces before Python sees a row
-    return vectors.mapInArrow(scan, _result_schema(queries, vectors))
-
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for at in range(batch.num_rows):
+                a, b = ({c: column[p + c][at] for c in payload} for p in ("a_", "b_"))
+                score = _scores(a, b, column["dim"][at].as_py(), alpha)
+                query_ids, vec_ids = a["ids"].values, b["ids"].values
+                row, col = _best(score, vec_ids, k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(row), column["a_block"][at].as_py())), query_ids.take(pa.array(row)),
+                    pa.array([column["key"][at].as_py()] * len(row), pa.string()), vec_ids.take(pa.array(col)), pa.array(score[row, col])],
+                    names=schema.names)
 
-def _by_grid(queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> DataFrame:
-    sizes = (
-        queries.groupBy("key").agg(F.count("*").alias("n_targets"))
-        .join(vectors.groupBy("key").agg(F.count("*").alias("n_vectors")), "key")
-        .select(
-            "key", "n_targets", "n_vectors",
-            F.ceil(F.col("n_targets") / TARGET_BLOCK).cast("int").alias("q_blocks"),
-            F.ceil(F.col("n_vectors") / VECTOR_BLOCK).cast("int").alias("v_blocks"),
-        )
-    )
-    sizes = cut(sizes)  # one row per key; used for the sums and on both sides of the grid
-    small = (F.col("q_blocks") == 1) & (F.col("v_blocks") == 1)
-    # two sums, so that a cell of many small keys stays about one block large on either side
-    sums = sizes.filter(small).agg(F.sum("n_targets").alias("t"), F.sum("n_vectors").alias("v")).first()
-    buckets = max((sums["t"] or 0) // TARGET_BLOCK, (sums["v"] or 0) // VECTOR_BLOCK) + 1
-    layout = sizes.select(
-        "key", "q_blocks", "v_blocks",
-        F.when(small, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key")).alias("cell"),
-    )
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda c, n: F.pmod(F.xxhash64(c, F.lit(17)), F.col(n)).cast("int")
-    left = (
-        queries.join(layout, "key")
-        .select("cell", *TARGET_COLUMNS, part("query_id", "q_blocks").alias("qb"), span("v_blocks").alias("vb"))
-    )
-    right = (
-        vectors.join(layout, "key")
-        .select("cell", *VECTOR_COLUMNS, part("vec_id", "v_blocks").alias("vb"), span("q_blocks").alias("qb"))
-    )
-    schema = _result_schema(queries, vectors)
-
-    def score(targets: pa.Table, block: pa.Table) -> pa.Table:
-        if len(targets) and len(block):
-            mine = _Targets(targets)
-            found = _block_top(mine, block, k, alpha)
-            if found:
-                return _emit(mine, _keep_top(pa.concat_tables(found), k))
-        return pa.table({
-            "query_id": targets.column("query_id").slice(0, 0), "key": pa.array([], pa.string()),
-            "vec_id": block.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64()),
-        })
-
-    # both sides descend from one layout; fresh names keep their columns apart
-    right = right.withColumnsRenamed({"cell": "v_cell", "qb": "v_qb", "vb": "v_vb"})
-    return (
-        left.groupBy("cell", "qb", "vb").cogroup(right.groupBy("v_cell", "v_qb", "v_vb"))
-        .applyInArrow(score, schema)
-    )
+    return met.mapInArrow(run, schema)
 
 
 def top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA,
-    max_broadcast: int = MAX_BROADCAST_TARGETS,
+    queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, target_block: int = TARGET_BLOCK,
+    vector_block: int = VECTOR_BLOCK, first: int = FIRST_BLOCKS,
 ) -> DataFrame:
-    """``(query_id, key, vec_id, score, rank)``: the k best vectors of each target's key.
+    """``(query_id, key, vec_id, score, rank)``: the k best vectors of each target's key and length.
 
     Score: ``alpha * dense dot + (1 - alpha) * sparse dot``, kept to 12 decimals for ranks and gates; ties
-    go to the lower vector id. Vectors and targets without a dense side of the usual length take no part.
+    go to the lower vector id. Vectors and targets without a key or a dense side of finite numbers take no part
+    (``vector_blocks.malformed`` lists them).
     """
-    dims = queries.agg(F.mode(F.size("dense"))).first()[0]
-    whole = (F.size("dense") == (dims or 0)) & F.forall("dense", lambda x: x.isNotNull())
-    queries = queries.select(*TARGET_COLUMNS).filter(whole)
-    vectors = vectors.select(*VECTOR_COLUMNS).filter(whole)
-    head = queries.limit(max_broadcast + 1).toArrow()
-    if len(head) <= max_broadcast and head.nbytes <= MAX_BROADCAST_BYTES:
-        found = _by_broadcast(head, queries, vectors, k, alpha)
-    else:
-        found = _by_grid(queries, vectors, k, alpha)
+    asked, stored = blocks(queries, "query_id", target_block), blocks(vectors, "vec_id", vector_block, compact=True)
+    pairs = bounds(summaries(asked, "a_").join(summaries(stored, "b_"), ["key", "dim"]), alpha)
+    nearest = Window.partitionBy("a_block").orderBy(F.desc("bound"), "b_block")
+    pairs = staged(pairs.withColumn("place", F.row_number().over(nearest)), "block-pairs")
+    found = _scored(pairs.filter(F.col("place") <= first), asked, stored, k, alpha)
+    rest = pairs.filter(F.col("place") > first)
+    if not rest.isEmpty():
+        found = staged(found, "first-hits")
+        kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))  # of at most first * k scores
+        reached = found.groupBy("a_block", "query_id").agg(kth.alias("kth")).groupBy("a_block").agg(
+            F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("least"))
+        open_ = rest.join(reached, "a_block").filter(F.col("bound") >= F.col("least"))
+        found = found.unionByName(_scored(open_, asked, stored, k, alpha))
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.drop("a_block").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.text import chat_title, strip
+from .positions import positions
 from .windows import lag_by_blocks, most_recent
 
 READY_STATES = ("READY", "EMBEDDED")
@@ -80,7 +81,7 @@ def nonblank(messages: DataFrame, text="text") -> DataFrame:
 
 
 def timeline(messages: DataFrame, documents: DataFrame) -> DataFrame:
-    """Messages and documents of a session as one tagged, time-ordered list."""
+    """Messages and documents of a session as one tagged list; ``position`` (from 1) is a row's place by time in its session."""
     msg = messages.select(
         "session_id", F.lit("message").alias("type"), F.col("question_at").alias("created_at"),
         F.struct("message_id", "question", "answer").alias("message"),
@@ -90,7 +91,8 @@ def timeline(messages: DataFrame, documents: DataFrame) -> DataFrame:
         F.struct("document_id", "file_name", "status").alias("document"),
     )
     both = msg.unionByName(doc, allowMissingColumns=True)
-    return both.orderBy("session_id", "created_at", F.desc("type"), "message.message_id", "document.document_id")
+    order = [F.asc("created_at"), F.desc("type"), F.asc("message.message_id"), F.asc("document.document_id")]
+    return positions(both, order, by=("session_id",)).withColumn("position", F.col("position") + 1)
 
 
 def info_logs(logs: DataFrame) -> DataFrame:

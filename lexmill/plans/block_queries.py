@@ -37,11 +37,6 @@ def page_blocks(spark, sf):
         F.regexp_extract("piece", "(?s)>(.*)$", 1).alias("text"))
 
 
-def split_blocks(spark, sf):
-    rows = page_blocks(spark, sf)
-    return rows.filter("source = 'native'"), rows.filter("source = 'ocr'")
-
-
 BLOCK_COLUMNS = "doc_id long, page long, pos long, text str"
 
 
@@ -52,19 +47,19 @@ def region_filter(spark, sf):
 
 @register("ocr_dedup", BLOCK_COLUMNS, KEPT)
 def ocr_dedup(spark, sf):
-    return B.drop_repeated_ocr(*split_blocks(spark, sf))
+    return B.drop_repeated(page_blocks(spark, sf)).filter("source = 'ocr'")
 
 
 @register("reading_order", "doc_id long, page long, place long, source str, text str", ORDERED)
 def reading_order(spark, sf):
-    ordered = B.reading_order(page_blocks(spark, sf), drop_repeated=True)
+    ordered = B.reading_order(page_blocks(spark, sf), unique=True)
     rows = explode_positions(ordered, ["doc_id", "page"], F.col("blocks"), "i", "b")
     return rows.select("doc_id", "page", (F.col("i") + 1).alias("place"), "b.source", "b.text")
 
 
 @register("page_text", "doc_id long, page long, page_text str", PAGE_TEXT)
 def page_text(spark, sf):
-    return B.page_text(B.reading_order(page_blocks(spark, sf), drop_repeated=True))
+    return B.page_text(B.reading_order(page_blocks(spark, sf), unique=True))
 
 
 @register("pages_to_doc", "doc_id long, text str", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.chunking import ChunkConfig
 from ..functions import constants as K
 from ..operators import index as I
+from ..operators.positions import positions
 from .base import register, sql_strip, table
 from .chunk_queries import CHUNK_ROWS, sql_chunks
 from .fixtures import KDOCS, LAW_DATE, NAMESPACE, kdocs
@@ -55,10 +56,12 @@ def chunk_ids(spark, sf):
     return I.chunk_rows(I.chunk_documents(kdocs(spark, sf), text="ktext"))
 
 
-@register("doc_chunks", "doc_id long, chunk_index long, vector_id str", f"""
-    select doc_id, chunk_index, {UUID} as vector_id from (select *, md5(concat(doc_id, ':', chunk_index)) as h from ({CHUNK_ROWS}) as c) as z""")
+@register("doc_chunks", "position long, doc_id long, chunk_index long, vector_id str", f"""
+    select doc_id, chunk_index, {UUID} as vector_id, row_number() over (order by doc_id, chunk_index) as position
+    from (select *, md5(concat(doc_id, ':', chunk_index)) as h from ({CHUNK_ROWS}) as c) as z""")
 def doc_chunks(spark, sf):
-    return chunk_ids(spark, sf).orderBy("doc_id", "chunk_index")
+    rows = positions(chunk_ids(spark, sf), [F.asc("doc_id"), F.asc("chunk_index")])
+    return rows.withColumn("position", F.col("position") + 1)
 
 
 @register("chunk_lookup", "doc_id long, vector_id str, chunk_text str", f"""

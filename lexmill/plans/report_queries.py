@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import sessions as S
+from ..operators.positions import positions
 from .base import register, sql_in, sql_strip, table
 from .fixtures import CATEGORY, FILE_NAME, LOGS, STATUS, TURNS, documents, logs, turns
 
@@ -56,30 +57,40 @@ def scan_logs(spark, sf):
     return logs(spark, sf)
 
 
-@register("list_users", "user_id long, user_name str, balance dbl",
-          "select c_custkey as user_id, c_name as user_name, c_acctbal as balance from customer")
+def placed(df, *order):
+    """A listing: every row with its place (from 1) in the order, instead of a sort that a reader of the table cannot see."""
+    return positions(df, list(order)).withColumn("position", F.col("position") + 1)
+
+
+def sql_placed(sql: str, order: str, by: str = "") -> str:
+    return f"select *, row_number() over ({by} order by {order}) as position from ({sql}) as listed"
+
+
+@register("list_users", "position long, user_id long, user_name str, balance dbl", sql_placed(
+    "select c_custkey as user_id, c_name as user_name, c_acctbal as balance from customer", "balance desc, user_id"))
 def list_users(spark, sf):
-    return users(spark, sf).orderBy(F.desc("balance"), "user_id")
+    return placed(users(spark, sf), F.desc("balance"), F.asc("user_id"))
 
 
-@register("list_documents", "document_id long, status str, created_at ts",
-          f"select document_id, status, created_at from ({DOCS_SQL}) as d")
+@register("list_documents", "position long, document_id long, status str, created_at ts", sql_placed(
+    f"select document_id, status, created_at from ({DOCS_SQL}) as d", "created_at, document_id"))
 def list_documents(spark, sf):
-    return documents(spark, sf).orderBy("created_at", "document_id")
+    return placed(documents(spark, sf).select("document_id", "status", "created_at"), F.asc("created_at"), F.asc("document_id"))
 
 
-@register("sessions_users", "session_id long, user_id long, user_name str, title str, updated_at ts", """
+@register("sessions_users", "position long, session_id long, user_id long, user_name str, title str, updated_at ts", sql_placed("""
     select o_orderkey as session_id, o_custkey as user_id, c_name as user_name, o_orderpriority as title, o_orderdate as updated_at
-    from orders join customer on c_custkey = o_custkey""")
+    from orders join customer on c_custkey = o_custkey""", "updated_at desc, session_id"))
 def sessions_users(spark, sf):
-    return chats(spark, sf).join(users(spark, sf), "user_id").orderBy(F.desc("updated_at"), "session_id")
+    return placed(chats(spark, sf).join(users(spark, sf), "user_id"), F.desc("updated_at"), F.asc("session_id"))
 
 
-@register("messages_users", "message_id long, user_id long, user_name str, question_at ts",
-          "select event_id as message_id, user_id, c_name as user_name, ts as question_at from events join customer on c_custkey = user_id")
+@register("messages_users", "position long, message_id long, user_id long, user_name str, question_at ts", sql_placed(
+    "select event_id as message_id, user_id, c_name as user_name, ts as question_at from events join customer on c_custkey = user_id",
+    "question_at, message_id"))
 def messages_users(spark, sf):
     asked = logs(spark, sf).select(F.col("log_id").alias("message_id"), "user_id", F.col("created_at").alias("question_at"))
-    return asked.join(users(spark, sf), "user_id").orderBy("question_at", "message_id")
+    return placed(asked.join(users(spark, sf), "user_id"), F.asc("question_at"), F.asc("message_id"))
 
 
 @register("owned_docs", "document_id long, session_id long, owner long, status str", f"""
@@ -90,12 +101,13 @@ def owned_docs(spark, sf):
     return documents(spark, sf).filter("status <> 'DELETED'").join(owners, "session_id")
 
 
-@register("docs_by_user", "user_id long, session_id long, document_id long, created_at ts", f"""
+@register("docs_by_user", "position long, user_id long, session_id long, document_id long, created_at ts", sql_placed(f"""
     select user_id, session_id, document_id, created_at from ({DOCS_SQL}) as d where exists (
-      select 1 from orders where o_orderkey = d.session_id and o_custkey % 31 = d.user_id)""")
+      select 1 from orders where o_orderkey = d.session_id and o_custkey % 31 = d.user_id)""", "user_id, created_at, document_id"))
 def docs_by_user(spark, sf):
     mine = chats(spark, sf).select("session_id", (F.col("user_id") % 31).alias("user_id")).distinct()
-    return documents(spark, sf).join(mine, ["session_id", "user_id"], "left_semi").orderBy("user_id", "created_at")
+    found = documents(spark, sf).join(mine, ["session_id", "user_id"], "left_semi")
+    return placed(found, F.asc("user_id"), F.asc("created_at"), F.asc("document_id"))
 
 
 @register("context_mode", "session_id long, context_mode str", f"""
@@ -138,25 +150,27 @@ def cascade_delete(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@register("timeline", "session_id long, type str, created_at ts, item_id long, label str", f"""
+@register("timeline", "session_id long, position long, type str, created_at ts, item_id long, label str", sql_placed(f"""
     select session_id, 'message' as type, {TURN_AT} as created_at, message_id as item_id, question as label from ({TURNS}) as t
-    union all select session_id, 'document', created_at, document_id, file_name from ({DOCS_SQL}) as d""")
+    union all select session_id, 'document', created_at, document_id, file_name from ({DOCS_SQL}) as d""",
+    "created_at, type desc, item_id", "partition by session_id"))
 def timeline(spark, sf):
     rows = S.timeline(timed_turns(spark, sf), documents(spark, sf))
     return rows.select(
-        "session_id", "type", "created_at", F.coalesce("message.message_id", "document.document_id").alias("item_id"),
+        "session_id", "position", "type", "created_at", F.coalesce("message.message_id", "document.document_id").alias("item_id"),
         F.coalesce("message.question", "document.file_name").alias("label"))
 
 
-@register("log_info", "log_id long, level str, endpoint str, created_at ts", f"select * from ({LOGS}) as l where level = 'INFO'")
+@register("log_info", "position long, log_id long, level str, endpoint str, created_at ts", sql_placed(
+    f"select * from ({LOGS}) as l where level = 'INFO'", "created_at desc, log_id"))
 def log_info(spark, sf):
-    return S.info_logs(logs(spark, sf)).orderBy(F.desc("created_at"), "log_id")
+    return placed(S.info_logs(logs(spark, sf)), F.desc("created_at"), F.asc("log_id"))
 
 
-@register("log_errors", "log_id long, level str, endpoint str, created_at ts",
-          f"select * from ({LOGS}) as l where level in ('WARN', 'ERROR') and endpoint ilike '%document%'")
+@register("log_errors", "position long, log_id long, level str, endpoint str, created_at ts", sql_placed(
+    f"select * from ({LOGS}) as l where level in ('WARN', 'ERROR') and endpoint ilike '%document%'", "created_at desc, log_id"))
 def log_errors(spark, sf):
-    return S.document_errors(logs(spark, sf)).orderBy(F.desc("created_at"), "log_id")
+    return placed(S.document_errors(logs(spark, sf)), F.desc("created_at"), F.asc("log_id"))
 
 
 @register("log_window", "start ts, level str, n long", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, vectors as V
-from ..session import cut
+from ..session import cut, staged
 from ..operators import embed as E, flows, index, prompts, retrieval, search, verify, windows
 from .base import q, register, sql_drop_space, sql_strip, table
 from .chunk_queries import CHUNK_ROWS
@@ -30,14 +30,19 @@ def vectors(spark, sf):
     )
 
 
-def questions(spark, sf):
+def asked(stored):
     """Every stored vector asked as a question by one of five users."""
-    return vectors(spark, sf).select(
+    return stored.select(
         F.col("vec_id").alias("query_id"), (F.col("vec_id") % 5 + 5).alias("user_id"), "dense", "idx", "val")
 
 
+def question_ids(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"))
+
+
 def hits(spark, sf, mode="general", k=K.TOP_K):
-    return retrieval.search(questions(spark, sf), vectors(spark, sf), mode, k)
+    stored = staged(vectors(spark, sf), "embedded")  # one table for both sides: texts are embedded once
+    return retrieval.search(asked(stored), stored, mode, k)
 
 
 def evidence(spark, sf, k=K.TOP_K):
@@ -202,14 +207,7 @@ def attach_text(spark, sf):
     select a.vec_id as query_id, best_score, coalesce(best_score >= 0.6, false) as is_legal from embeddings as a left join (
       select query_id, max(score) as best_score from ({PRIVATE}) as h group by query_id) as b on b.query_id = a.vec_id""")
 def legal_gate(spark, sf):
-    return retrieval.legal_gate(questions(spark, sf), hits(spark, sf, "document"))
-
-
-@register("legal_file", "query_id long, best_score dbl6, is_legal bool", f"""
-    select a.vec_id as query_id, best_score, coalesce(best_score >= 0.6, false) as is_legal from embeddings as a left join (
-      select query_id, max(score) as best_score from ({GENERAL}) as h where rank <= 3 group by query_id) as b on b.query_id = a.vec_id""")
-def legal_file(spark, sf):
-    return retrieval.legal_gate(questions(spark, sf), hits(spark, sf, "general", K.GATE_PROBE_K))
+    return retrieval.legal_gate(question_ids(spark, sf), hits(spark, sf, "document"))
 
 
 @register("legal_file_text", "query_id long, best_score dbl6, is_legal bool", f"""
@@ -323,7 +321,7 @@ REFERENCE = f"""
 
 def references(spark, sf):
     rows = evidence(spark, sf, K.PROMPT_K).withColumn("law_name", F.lit(None).cast("string"))
-    return prompts.reference_block(questions(spark, sf), rows)
+    return prompts.reference_block(question_ids(spark, sf), rows)
 
 
 @register("reference_block", "query_id long, reference str", REFERENCE)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import constants as K
 from ..functions.text import base_name, decode_text, detect_doc_type, file_type, strip, zfill
-from ..operators.index import last_of, upsert
+from .vector_store import VectorStore
 
 _MAP = T.MapType(T.StringType(), T.StringType())
 CORPUS_SCHEMA = T.StructType([
@@ -152,45 +152,23 @@ def upload_texts(uploads: DataFrame) -> DataFrame:
     return uploads.filter("doc_type = 'txt'").withColumn("text", decode_text("content")).drop("content")
 
 
-# Vectors lie in namespace folders cut into buckets by id: an update rewrites the buckets it touches,
-# not a whole namespace. Raise the count with the size of the largest namespace.
-VECTOR_BUCKETS = 64
-_PLACE = ("namespace", "bucket")
+def write_vectors(df: DataFrame, path: str, key: str = "vec_id", order: str | None = None) -> None:
+    """Add records to a vector table, which need not exist yet; a known key's record is replaced."""
+    VectorStore(df.sparkSession, path, ("namespace", key)).upsert(df, order)
 
 
-def _with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+def read_vectors(spark: SparkSession, path: str, namespace: str | None = None, key: str = "vec_id") -> DataFrame:
+    return VectorStore(spark, path, ("namespace", key)).read(namespace)
 
 
-def write_vectors(df: DataFrame, path: str, key: str = "vec_id", buckets: int = VECTOR_BUCKETS) -> None:
-    """Append new records. A hot namespace is written by as many tasks as it has buckets."""
-    placed = _with_bucket(df, key, buckets).repartition(*_PLACE)
-    placed.write.mode("append").partitionBy(*_PLACE).parquet(path)
+def upsert_vectors(spark: SparkSession, path: str, updates: DataFrame, key: str = "vec_id", order: str | None = None,
+                   batch: tuple[str, int] | None = None) -> None:
+    """Insert or replace by id; only the updates themselves are written. Where ids repeat, ``order`` says which row counts."""
+    VectorStore(spark, path, ("namespace", key)).upsert(updates, order, batch)
 
 
-def read_vectors(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path).drop("bucket")
-    return rows if namespace is None else rows.filter(F.col("namespace") == namespace)
-
-
-def upsert_vectors(spark: SparkSession, path: str, updates: DataFrame, key: str = "vec_id",
-                   buckets: int = VECTOR_BUCKETS, order: str | None = None) -> None:
-    """Insert or replace by id; only the buckets that hold an updated id are read and rewritten.
-
-    Of several updates of an id the one with the greatest ``order`` counts, else the last in the input; the
-    order column itself is not stored.
-
-    Replaced folders are swapped in when the whole job commits, so a lost executor leaves the table as it was.
-    """
-    new = _with_bucket(updates, key, buckets)
-    touched = new.select(*_PLACE).distinct()
-    base = spark.read.parquet(path).join(touched, list(_PLACE), "left_semi")
-    last = last_of(new, [*_PLACE, key], order)
-    merged = upsert(base, last.drop(order) if order else last, [*_PLACE, key])
-    (
-        merged.repartition(*_PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_PLACE).parquet(path)
-    )
+def delete_vectors(spark: SparkSession, path: str, ids: DataFrame, key: str = "vec_id") -> None:
+    VectorStore(spark, path, ("namespace", key)).delete(ids)
 
 
 def append_chunks(rows: DataFrame, path: str) -> None:

@@ -119,10 +119,10 @@ def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 
 
 def upsert_batches(df: DataFrame, path: str, checkpoint: str, key: str = "vec_id", order: str | None = None, **trigger) -> StreamingQuery:
-    """Insert or replace every micro-batch's rows in a vector table; a repeated batch gives the same table."""
+    """Insert or replace every micro-batch's rows in a vector table, which the first batch makes; a repeated batch changes nothing."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        files.upsert_vectors(batch.sparkSession, path, batch, key, order=order)
+        files.upsert_vectors(batch.sparkSession, path, batch, key, order, (checkpoint, batch_id))
 
     return (
         df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import index, retrieval, search
+from lexmill.operators import index, retrieval, search, vector_blocks
 
 RNG = np.random.default_rng(42)
 DIM = 8
@@ -35,16 +35,17 @@ def brute(targets, vectors, k, alpha):
     return {q: v for q, v in best.items() if v}
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+SIZES = [dict(), dict(target_block=16, vector_block=40, first=2), dict(target_block=1, vector_block=1, first=1)]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
 @pytest.mark.parametrize("ties", [False, True])
-def test_both_forms_match_brute_force(spark, monkeypatch, limit, ties):
-    monkeypatch.setattr(search, "TARGET_BLOCK", 16)
-    monkeypatch.setattr(search, "VECTOR_BLOCK", 40)
+def test_all_block_sizes_match_brute_force(spark, sizes, ties):
     targets, vectors = rows(60, ["hot", "a", "b", "none"], ties=ties), rows(300, ["hot", "a", "b", "c"], 1000, ties)
     q = spark.createDataFrame(targets, "query_id bigint, " + SCHEMA)
     v = spark.createDataFrame(vectors, "vec_id bigint, " + SCHEMA).repartition(5)
     got = {}
-    for r in search.top_k(q, v, 4, 0.7, max_broadcast=limit).orderBy("rank").collect():
+    for r in search.top_k(q, v, 4, 0.7, **sizes).orderBy("rank").collect():
         got.setdefault((r["query_id"], r["key"]), []).append(r["vec_id"])
     assert got == brute(targets, vectors, 4, 0.7)
 
@@ -52,8 +53,8 @@ def test_both_forms_match_brute_force(spark, monkeypatch, limit, ties):
 def test_plan_has_no_cross_join(spark):
     q = spark.createDataFrame(rows(5, ["a"]), "query_id bigint, " + SCHEMA)
     v = spark.createDataFrame(rows(50, ["a"]), "vec_id bigint, " + SCHEMA)
-    for limit in (100, 0):
-        plan = search.top_k(q, v, 3, max_broadcast=limit)._jdf.queryExecution().executedPlan().toString()
+    for sizes in SIZES:
+        plan = search.top_k(q, v, 3, **sizes)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
 
 
@@ -131,30 +132,83 @@ def test_repeated_text_updates_keep_one_row(spark):
     assert sorted(map(tuple, index.update_hits(base, updates).collect())) == [("x", True), ("z", False)]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_close_scores_are_told_apart_and_gated_raw(spark, limit):
+@pytest.mark.parametrize("sizes", SIZES)
+def test_close_scores_are_told_apart_and_gated_raw(spark, sizes):
     q = spark.createDataFrame([(1, "a", [1.0, 0.0], [], [])], "query_id bigint, " + SCHEMA)
     v = spark.createDataFrame([(5, "a", [0.5999996, 0.0], [], []), (9, "a", [0.5999997, 0.0], [], [])], "vec_id bigint, " + SCHEMA)
-    hits = search.top_k(q, v, 2, 1.0, max_broadcast=limit)
+    hits = search.top_k(q, v, 2, 1.0, **sizes)
     assert [r["vec_id"] for r in hits.orderBy("rank").collect()] == [9, 5]
     assert not retrieval.legal_gate(q, hits).first()["is_legal"]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_malformed_vectors_take_no_part(spark, limit):
+@pytest.mark.parametrize("sizes", SIZES)
+def test_malformed_vectors_take_no_part(spark, sizes):
     q = spark.createDataFrame([(1, "a", [1.0, 0.0], [], []), (2, "a", None, [], [])], "query_id bigint, " + SCHEMA)
-    v = spark.createDataFrame([(5, "a", [0.5, 0.0], [], []), (6, "a", None, [], []), (7, "a", [1.0], [], []), (8, "a", [None, 1.0], [], [])], "vec_id bigint, " + SCHEMA)
-    assert [(r["query_id"], r["vec_id"]) for r in search.top_k(q, v, 3, 1.0, max_broadcast=limit).collect()] == [(1, 5)]
+    v = spark.createDataFrame([
+        (5, "a", [0.5, 0.0], [], []), (6, "a", None, [], []), (7, "a", [1.0], [], []), (8, "a", [None, 1.0], [], []),
+        (9, None, [1.0, 1.0], [], []), (10, "a", [float("nan"), 1.0], [], []), (11, "a", [], [], [])], "vec_id bigint, " + SCHEMA)
+    assert [(r["query_id"], r["vec_id"]) for r in search.top_k(q, v, 3, 1.0, **sizes).collect()] == [(1, 5)]
+    assert sorted(r["vec_id"] for r in vector_blocks.malformed(v).collect()) == [6, 8, 9, 10, 11]
+    assert search.top_k(q.limit(0), v, 3).count() == search.top_k(q, v.limit(0), 3).count() == 0
+
 
+def test_every_vector_length_is_searched(spark):
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0], [], []), (2, "a", [1.0, 0.0], [], []), (3, "a", [1.0, 0.0, 0.0], [3], [1.0])], "query_id bigint, " + SCHEMA)
+    v = spark.createDataFrame([(5, "a", [1.0, 0.0], [], []), (6, "a", [1.0, 0.0, 0.0], None, None), (7, "a", [0.5, 0.0, 0.0], [3], [2.0])], "vec_id bigint, " + SCHEMA)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in search.top_k(q, v, 2, 0.5).collect()}
+    assert got == {(1, 1): (5, 0.5), (2, 1): (5, 0.5), (3, 1): (7, 1.25), (3, 2): (6, 0.5)}
 
-def test_many_keys_are_set_up_in_one_pass():
-    import time
 
-    import pyarrow as pa
+def test_bounds_prune_and_stay_exact(spark):
+    """Clustered vectors under one hot key: few pairs of blocks reach a target's k-th score."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, DIM)) * 4
 
+    def near(i, base):
+        c = i % 24
+        tokens = sorted({100 * c + int(t) for t in rng.integers(0, 40, 4)})
+        return (base + i, "hot" if i % 5 else "cold", (centres[c] + 0.1 * rng.normal(size=DIM)).tolist(), tokens, rng.random(len(tokens)).tolist())
+
+    targets, vectors = [near(i, 0) for i in range(0, 120, 3)], [near(i, 1000) for i in range(2400)]
+    q = spark.createDataFrame(targets, "query_id bigint, " + SCHEMA)
+    v = spark.createDataFrame(vectors, "vec_id bigint, " + SCHEMA)
+    got = {}
+    for r in search.top_k(q, v, 3, 0.6, target_block=4, vector_block=50).orderBy("rank").collect():
+        got.setdefault((r["query_id"], r["key"]), []).append(r["vec_id"])
+    assert got == brute(targets, vectors, 3, 0.6)
+    a, b = vector_blocks.blocks(q, "query_id", 1), vector_blocks.blocks(v, "vec_id", 50, compact=True)
+    pairs = vector_blocks.bounds(vector_blocks.summaries(a, "a_").join(vector_blocks.summaries(b, "b_"), ["key", "dim"]), 0.6).collect()
+    best = {}
+    for qid, key, qd, qi, qv in targets:
+        best[qid] = sorted((0.6 * float(np.dot(qd, vd)) + 0.4 * sum(w * dict(zip(vi, vv)).get(t, 0.0) for t, w in zip(qi, qv))
+                            for _, vkey, vd, vi, vv in vectors if vkey == key), reverse=True)[2]
+    of = {r["block"]: r["ids"][0] for r in a.select("block", "ids").collect()}
+    open_ = [p for p in pairs if p["bound"] >= best[of[p["a_block"]]]]
+    assert len(open_) < 0.35 * len(pairs)
+
+
+@pytest.mark.parametrize("alpha", [-0.5, 0.0, 0.7, 1.0, 1.4])
+def test_no_score_is_above_its_bound(spark, alpha):
+    rng = np.random.default_rng(int(10 * alpha) + 50)
+    data = [(i, "k", (rng.normal(size=3) * rng.choice([0.01, 1, 50])).tolist(), [int(t) for t in rng.choice(600, 6, replace=False)], rng.normal(size=6).tolist())
+            for i in range(60)]
+    v = spark.createDataFrame(data, "vec_id bigint, " + SCHEMA)
+    packed = vector_blocks.blocks(v, "vec_id", 7, compact=True)
+    members = {r["block"]: r["ids"] for r in packed.select("block", "ids").collect()}
+    assert sorted(i for ids in members.values() for i in ids) == list(range(60))
+    for p in vector_blocks.bounds(vector_blocks.summaries(packed, "a_").join(vector_blocks.summaries(packed, "b_"), ["key", "dim"]), alpha).collect():
+        for i in members[p["a_block"]]:
+            for j in members[p["b_block"]]:
+                sparse = sum(w * dict(zip(data[j][3], data[j][4])).get(t, 0.0) for t, w in zip(data[i][3], data[i][4]))
+                assert alpha * float(np.dot(data[i][2], data[j][2])) + (1 - alpha) * sparse <= p["bound"]
+
+
+def test_many_keys(spark):
     n = 4000
-    table = pa.table({"query_id": list(range(n)), "key": [f"k{i}" for i in range(n)], "dense": [[1.0] * 4] * n,
-                      "idx": [list(range(200))] * n, "val": [[1.0] * 200] * n})
-    start = time.perf_counter()
-    assert len(search._Targets(table).by_key) == n
-    assert time.perf_counter() - start < 3
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("k"), "id").alias("key"), F.expr("array(1.0D, id % 7)").alias("dense"),
+                              F.expr("array(id % 5)").alias("idx"), F.expr("array(0.5D)").alias("val"))
+    v = spark.range(2 * n).select(F.col("id").alias("vec_id"), F.concat(F.lit("k"), F.col("id") % n).alias("key"), F.expr("array(2.0D, id % 3)").alias("dense"),
+                                  F.expr("array(id % 5)").alias("idx"), F.expr("array(0.5D)").alias("val"))
+    got = {r["query_id"]: (r["vec_id"], r["score"]) for r in search.top_k(q, v, 1, 0.5).collect()}
+    score = lambda i, j: 0.5 * (2.0 + (i % 7) * (j % 3)) + 0.5 * (0.25 if i % 5 == j % 5 else 0.0)
+    assert got == {i: max(((j, score(i, j)) for j in (i, i + n)), key=lambda x: (x[1], -x[0])) for i in range(n)}

@@ -109,12 +109,12 @@ def test_vector_table_upsert_touches_named_namespaces(spark, tmp_path):
     path = str(tmp_path / "vectors")
     base = spark.createDataFrame([(1, "a", "public"), (2, "b", "public"), (1, "c", "user_1")], "vec_id long, v string, namespace string")
     files.write_vectors(base, path)
-    before = {p.name for p in (tmp_path / "vectors" / "namespace=user_1").iterdir()}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "vectors" / "data").glob("base-*/part-*")}
     new = spark.createDataFrame([(2, "B", "public"), (3, "d", "user_2")], "vec_id long, v string, namespace string")
     files.upsert_vectors(spark, path, new)
     files.upsert_vectors(spark, path, new)
     got = sorted((r["namespace"], r["vec_id"], r["v"]) for r in files.read_vectors(spark, path).collect())
     assert got == [("public", 1, "a"), ("public", 2, "B"), ("user_1", 1, "c"), ("user_2", 3, "d")]
-    assert {p.name for p in (tmp_path / "vectors" / "namespace=user_1").iterdir()} == before
+    assert before and all(p.stat().st_mtime_ns == t for p, t in before.items())
     plan = files.read_vectors(spark, path, "public")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(namespace" in plan
+    assert "PushedFilters: [IsNotNull(namespace), EqualTo(namespace,public)]" in plan
