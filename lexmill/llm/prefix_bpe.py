@@ -27,6 +27,7 @@ from bisect import bisect_left
 from collections.abc import Callable
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -92,24 +93,24 @@ class Vocabulary:
 
     def extend(self, last: list[int], data: bytes, enough: Callable[[], bool] | None = None) -> None:
         """Add to ``last`` the last tokens of the prefixes of ``data`` that it still lacks, until there are ``enough``."""
-        stable, stands, start = self.stable, self.stands, len(last)
-        base = max(0, start - self.longest + 1)  # tokens that end from start on begin here or later
+        stable, stands, done, full = self.stable, self.stands, len(last), len(data)
+        base = max(0, done - self.longest + 1)  # tokens that end behind what is done begin here or later
         for end, (rank, size) in self.ending(data[base:].decode("latin-1")):
             end += base
-            if end != len(last):  # that prefix has its token
-                if end > len(last):
-                    break
+            if end < done:  # that prefix has its token
                 continue
-            begin = end + 1 - size
-            if begin:
-                pair = (last[begin - 1], rank)
+            if end > done:
+                break
+            if size <= end:
+                pair = (last[end - size], rank)
                 if not (stable[pair] if pair in stable else stands(*pair)):
                     continue
             last.append(rank)
-            if enough and enough():
+            done += 1
+            if enough is not None and enough():
                 return
-        if len(last) < len(data):
-            raise ValueError(f"no token ends at byte {len(last)}")
+        if done < full:
+            raise ValueError(f"no token ends at byte {done}")
 
     def spell(self, last: list[int]) -> list[int]:
         """The ids that a full list of last tokens stands for."""
@@ -219,17 +220,21 @@ class Encoder:
     """Ids of whole texts, with a bounded memory of chunks met before.
 
     A chunk starts at a space or line end, and the pattern ends a piece there: always behind a character that is no white
-    space, and else if another such follows. Texts with other white space are matched as a whole.
+    space, and else if another such follows. Texts with other white space are matched as a whole. Ids are kept as packed
+    numbers; of two generations of chunks the older goes when the younger is full, so frequent chunks stay.
     """
 
-    def __init__(self, ranks: str, pattern: str, keep: int = 500_000):
+    def __init__(self, ranks: str, pattern: str, keep: int = 600_000):
         import regex
 
         self.vocabulary, self.keep = Vocabulary(read_ranks(ranks)), keep
+        self.dtype = np.dtype("<u2" if max(self.vocabulary.token) < 1 << 16 else "<u4")
+        self.packed = {rank: rank.to_bytes(self.dtype.itemsize, "little") for rank in self.vocabulary.token}
         self.pieces = regex.compile(pattern).findall
         self.irregular = regex.compile(r"\s[ \n](?:\s|\Z)").search
-        self.chunks: dict[str, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
+        #: By a chunk without its space; one that starts with a line end has no space before it.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, ranks: str, pattern: str) -> Encoder:
@@ -238,27 +243,41 @@ class Encoder:
             cls._own = ((ranks, pattern), cls(ranks, pattern))
         return cls._own[1]
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
+    def _meet(self, chunk: str) -> bytes:
+        """The ids of a chunk, put among the young."""
+        ids = self.young.get(chunk)
         if ids is None:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            ids = self.known[piece] = self.vocabulary.encode(piece.encode())
+            ids = self.old.get(chunk)
+            if ids is None:
+                pieces = self.pieces(chunk if chunk[:1] == "\n" else " " + chunk)
+                ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._known, pieces))
+            self.young[chunk] = ids
         return ids
 
-    def _whole(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._piece, self.pieces(text))))
+    def _known(self, piece: str) -> bytes:
+        """The ids of a piece; one behind a space shares the entry of its chunk."""
+        return self._meet(piece[1:]) if piece[:1] == " " and piece[1:2] not in ("", "\n") else self._piece(piece)
 
-    def encode(self, text: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
+        ids, packed = self.vocabulary.encode(piece.encode()), self.packed
+        return packed[ids[0]] if len(ids) == 1 else b"".join([packed[i] for i in ids])
+
+    def encode(self, text: str) -> np.ndarray:
         if self.irregular(text):
-            return self._whole(text)
+            found = [*map(self._known, self.pieces(text))]
+            self._age()
+            return np.frombuffer(b"".join(found), self.dtype)
         first, *words = text.replace("\n", " \n").split(" ")
-        chunks = self.chunks
-        if len(chunks) >= self.keep:
-            chunks.clear()
-        for word in set(words).difference(chunks):
-            chunks[word] = self._whole(word if word[:1] == "\n" else " " + word)
-        return self._whole(first) + list(chain.from_iterable(map(chunks.__getitem__, words)))
+        young, meet = self.young, self._meet
+        for word in set(words).difference(young):
+            meet(word)
+        found = [*map(self._piece, self.pieces(first)), *map(young.__getitem__, words)]
+        self._age()
+        return np.frombuffer(b"".join(found), self.dtype)
+
+    def _age(self) -> None:
+        if len(self.young) >= self.keep:
+            self.old, self.young = self.young, {}
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -270,7 +289,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for rows in slices:
             out = {k: [] for k in ("n_tokens", "n_bytes", "ids_sha256", "decoded_sha256")}
             for text in rows["text"]:
-                ids = encoder.encode(text)
+                ids = encoder.encode(text).tolist()
                 data = decode(ids)
                 for column, v in zip(out.values(), (
                         len(ids), len(data), hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest())):
