@@ -14,7 +14,12 @@ the most that are expected to be that short in one set. A set in which more are
 meets it only in such segments is such a set too) adds the keys of another partition of the universe, up to
 ``LEVELS`` times; only then do keys of no elements stand.
 
-Copies of one set are one class from the start. Keys meet as grouped minima: every set under a key that others
+Copies of one set are one class from the start, and only the first of a class makes keys. Nearly all keys are met once, so
+(id, key) rows are not what is shuffled first: a task sends the sorted, gap-coded key numbers of many sets, one packed
+value per range of numbers, and ranges answer with the numbers met twice; only (id, key) rows of those follow. A number has
+12 bits more than the count of keys asks for, so few keys meet by chance, and none that is shared is missed.
+
+Keys meet as grouped minima: every set under a key that others
 share is first compared with the smallest id there. A set's elements that no other candidate has bound what any other
 can share with it,
 so many sets that only resemble each other drop out before any comparison. Links join components; only keys that still hold several
@@ -146,15 +151,10 @@ def keys(grams: np.ndarray, classes: Classes, known: dict) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
-
-
-def sets_and_keys(docs: DataFrame, n: int, percent: int, deletion: bool = True) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, keys``: a set's size, its 128-bit identity and its keys."""
+def identities(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n_shingles, k1, k2``: a set's size and its 128-bit identity."""
 
     def work(slices):
-        classes, known = Classes(percent, deletion=deletion), {}
         for rows in slices:
             sets = ngram_sets(rows["text"], n)
             with np.errstate(over="ignore"):
@@ -162,13 +162,115 @@ def sets_and_keys(docs: DataFrame, n: int, percent: int, deletion: bool = True)
                     "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets],
                     "k1": [int(mix(s + _A).sum(dtype=U).view(np.int64)) for s in sets],
                     "k2": [int(mix(s + _B).sum(dtype=U).view(np.int64)) for s in sets],
-                    "keys": [_signed(keys(s, classes, known)) if len(s) else [] for s in sets],
                 }
 
     return common.map_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")),
-        {"doc_id": pa.int64(), "n_shingles": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "keys": pa.list_(pa.int64())},
-        "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>", work)
+        {c: pa.int64() for c in ("doc_id", "n_shingles", "k1", "k2")}, "doc_id long, n_shingles long, k1 long, k2 long", work)
+
+
+def numbers_of(packed: bytes, width: int) -> np.ndarray:
+    """Key numbers of ``width`` bytes each."""
+    wide = np.zeros((len(packed) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return wide.reshape(-1).view("<u8")
+
+
+def key_sets(docs: DataFrame, firsts: DataFrame, n: int, percent: int, deletion: bool, bits: int) -> DataFrame:
+    """``id, size, keys``: the keys of the documents named, as numbers of ``bits`` bits in whole bytes.
+
+    A few copies may pass the bitmap of ``firsts`` too; they only add rows that a later join leaves out.
+    """
+    bitmap, width = common.members(firsts, "id"), -(-bits // 8)
+
+    def work(slices):
+        classes, known = Classes(percent, deletion=deletion), {}
+        for rows in slices:
+            met = common.is_member(bitmap, np.array(rows["id"], np.int64))
+            sets = ngram_sets([t for t, k in zip(rows["text"], met) if k], n)
+            out = {"id": [i for i, k in zip(rows["id"], met) if k], "size": [len(s) for s in sets], "keys": []}
+            with np.errstate(over="ignore"):
+                for s in sets:
+                    numbers = np.unique(keys(s, classes, known) >> U(64 - bits)) if len(s) else np.empty(0, U)
+                    out["keys"].append(numbers.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+            yield out
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), common.text_or_empty().alias("text")).filter("id is not null")
+    return common.map_batches(
+        rows, {"id": pa.int64(), "size": pa.int64(), "keys": pa.binary()}, "id long, size long, keys binary", work)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers as the first of them and gaps: the low bits of every gap, and the rest of it in unary."""
+    gaps = np.diff(values)
+    low = max(0, int((values[-1] - values[0]) // U(len(values))).bit_length() - 1) if len(values) else 0
+    ones = np.cumsum((gaps >> U(low)).astype(np.int64) + 1) - 1
+    unary = np.zeros(int(ones[-1]) + 1 if len(ones) else 0, np.uint8)
+    unary[ones] = 1
+    lows = (gaps[:, None] >> np.arange(low, dtype=U) & U(1)).astype(np.uint8)
+    head = np.array([len(values), low, values[0] if len(values) else 0], "<u8").tobytes()
+    return head + np.packbits(lows).tobytes() + np.packbits(unary).tobytes()
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    count, low, first = map(int, np.frombuffer(packed[:24], "<u8"))
+    if not count:
+        return np.empty(0, U)
+    cut = 24 + ((count - 1) * low + 7) // 8
+    lows = np.unpackbits(np.frombuffer(packed[24:cut], np.uint8), count=(count - 1) * low).reshape(count - 1, low)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(packed[cut:], np.uint8)))[:count - 1]
+    gaps = (np.diff(ones, prepend=-1) - 1).astype(U) << U(low)
+    for i in range(low):
+        gaps += lows[:, i].astype(U) << U(i)
+    return np.cumsum(np.concatenate([np.array([first], U), gaps]), dtype=U)
+
+
+#: Key numbers that a task gathers before it sends them, and about how many a range takes.
+GATHERED, RANGE = 2_000_000, 2_000_000
+
+
+def shared_numbers(entries: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """``number``: the key numbers that two sets or more have."""
+    width = -(-bits // 8)
+
+    def send(slices):
+        held, n = [], 0
+
+        def flush():
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            part = np.minimum((values.astype(np.float64) * (ranges / 2.0**bits)).astype(np.int64), ranges - 1)
+            out = {"part": [], "twice": [], "numbers": []}
+            for twice, own in ((False, times == 1), (True, times > 1)):
+                v, p = values[own], part[own]
+                edges = np.flatnonzero(np.diff(p, prepend=-1, append=ranges))
+                for lo, hi in zip(edges, edges[1:]):
+                    for name, x in zip(out, (int(p[lo]), twice, pack_sorted(v[lo:hi]))):
+                        out[name].append(x)
+            return out
+
+        for rows in slices:
+            for packed in rows["keys"]:
+                held.append(numbers_of(packed, width))
+                n += len(held[-1])
+                if n >= GATHERED:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def meet(slices):
+        seen: dict[int, tuple[list, list]] = {}
+        for rows in slices:  # a task's ranges
+            for part, twice, packed in zip(rows["part"], rows["twice"], rows["numbers"]):
+                seen.setdefault(part, ([], []))[twice].append(unpack_sorted(packed))
+        for once, more in seen.values():
+            values, times = np.unique(np.concatenate([*once, *more, np.empty(0, U)]), return_counts=True)
+            yield {"number": np.union1d(values[times > 1], np.concatenate([*more, np.empty(0, U)])).view(np.int64)}
+
+    sent = common.map_batches(
+        entries.select("keys"), {"part": pa.int32(), "twice": pa.bool_(), "numbers": pa.binary()}, "part int, twice boolean, numbers binary", send)
+    return common.map_batches(
+        sent.repartitionById(ranges, F.col("part")), {"number": pa.int64()}, "number long", meet)
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, deletion: bool = True) -> DataFrame:
@@ -178,17 +280,25 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, deletion: bool = True)
     lower thresholds and n-grams that few texts share.
     """
     spark = docs.sparkSession
-    every = common.stage(sets_and_keys(docs, n, percent, deletion), "jaccard-sets")
+    every = common.stage(identities(docs, n), "jaccard-sets")
     same = ["n_shingles", "k1", "k2"]
     rows = every.filter("doc_id is not null and n_shingles > 0")
     copies = rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = common.stage(copies, "jaccard-copies")
     firsts = rows.join(copies, same, "left").filter("first is null or first = doc_id")
-    entries = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "keys")
-    entries = common.stage(entries, "jaccard-entries")
-    shared = entries.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shared = common.stage(shared.filter("least < most").select("key", "least"), "jaccard-shared")
-    under = common.stage(_under(entries, common.members(shared, "key")).join(shared, "key"), "jaccard-under")
+    firsts = common.stage(firsts.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_shingles").alias("size")), "jaccard-firsts")
+    elements = firsts.agg(F.sum("size")).first()[0] or 0
+    bits = min(63, 12 + (2 * elements + 64).bit_length())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), elements // RANGE)
+    entries = common.stage(key_sets(docs, firsts, n, percent, deletion, bits), "jaccard-entries")
+    numbers = common.stage(shared_numbers(entries, bits, ranges), "jaccard-numbers")
+    under = _under(entries, common.members(numbers, "number"), bits).join(firsts.select("id"), "id", "left_semi")
+    under = common.stage(under, "jaccard-keys")
+    shared = under.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "least")
+    common.drop(spark, entries, numbers)
+    first_under = under
+    under = common.stage(under.join(shared, "key"), "jaccard-under")
+    common.drop(spark, first_under)
 
     fetch = common.stage(under.select("id").distinct(), "jaccard-fetch")
     sets = common.stage(_sets(docs, fetch, n), "jaccard-grams")
@@ -212,6 +322,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, deletion: bool = True)
         (F.col("part1") < F.col("part2")) & (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")) & may(1, 2) & may(2, 1)
     ).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
     more = common.stage(_linked(across, sets, percent).unionByName(_by_blocks(heavy, sets, percent)), "jaccard-links")
+    common.drop(spark, under, sets, lone, left)
     final = common.stage(components(links.unionByName(more)), "jaccard-components")
 
     named = every.select("doc_id", *same).join(copies, same, "left").withColumn("rep", F.coalesce("first", "doc_id"))
@@ -313,13 +424,15 @@ def _by_blocks(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cells.join(sets, "id").groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def _under(entries: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def _under(entries: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
     """One row per set and key, without most of the keys that no other set has."""
+    width = -(-bits // 8)
 
     def work(slices):
         for rows in slices:
-            counts = [len(k) for k in rows["keys"]]
-            flat = np.concatenate([np.array(k, np.int64) for k in rows["keys"]]) if rows["keys"] else np.empty(0, np.int64)
+            own = [numbers_of(k, width).view(np.int64) for k in rows["keys"]]
+            counts = [len(k) for k in own]
+            flat = np.concatenate([*own, np.empty(0, np.int64)])
             keep = common.is_member(bitmap, flat)
             ids, sizes = (np.repeat(np.array(rows[c], np.int64), counts)[keep] for c in ("id", "size"))
             yield {"id": ids, "size": sizes, "key": flat[keep]}

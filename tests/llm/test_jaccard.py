@@ -137,3 +137,26 @@ def test_odd_rows(spark, odd):
 def test_same_rows_as_sql(spark, name):
     line = compare(spark, duck(SF), name, queries.QUERIES[name], queries.ORACLE[name], SF)
     assert line.startswith("ok"), line
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for bits in (1, 13, 40, 62):
+        for n in (0, 1, 2, 3, 1000):
+            values = np.unique(rng.integers(0, 2**bits, n, dtype=np.uint64))
+            packed = jaccard.pack_sorted(values)
+            assert (jaccard.unpack_sorted(packed) == values).all()
+    dense = np.arange(10**6, 10**6 + 50_000, dtype=np.uint64)
+    assert len(jaccard.pack_sorted(dense)) < 20_000
+
+
+def test_numbers_met_twice_are_found_in_any_order_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GATHERED", 50)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**12, int(rng.integers(0, 60)), dtype=np.uint64)) for _ in range(90)]
+    rows = [(i, len(s), s.view(np.uint8).reshape(-1, 8)[:, :2].tobytes()) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "id long, size long, keys binary").repartition(7)
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    for ranges in (1, 5, 64):
+        got = sorted(r["number"] for r in jaccard.shared_numbers(entries, 12, ranges).collect())
+        assert got == values[times > 1].tolist()
