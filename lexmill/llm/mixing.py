@@ -117,30 +117,51 @@ def plan(
     return Mix(counted, sources, per_block, shards)
 
 
+#: Documents that may fill a last block's rest, and steps into which its words are divided for that.
+FILLERS, STEPS = 64, 1 << 17
+
+
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
     """Take a block's documents in hash order up to a few documents' words below the room, then those of the next that fill it best.
 
-    Returns the last hash of the run and the few hashes of the others.
+    Returns the last hash of the run and the hashes of the others: small documents behind a large one that ended the run, as far
+    as they fit, and of the next ``FILLERS`` those whose sum is nearest. Sums of sizes are kept as bits of one number of two times
+    ``STEPS`` bits: exactly while the rest is up to ``STEPS`` words, else in steps of its ``STEPS``-th part. Documents of
+    more than twice the rest cannot come near it and are left out, so work does not depend on sizes.
     """
     block = block.sort_values("h")
     room, h, size = float(block["room"].iloc[0]), block["h"].to_numpy(), block["size"].to_numpy()
-    spare = min(room, 32 * size.mean())
+    spare = min(room, 32 * size[size <= room].mean()) if (size <= room).any() else room
     run = int((np.cumsum(size) <= room - spare).sum())
-    left = round(room - size[:run].sum())
-    rest = [(int(x), int(n)) for x, n in zip(h[run:run + 64], size[run:run + 64]) if n]
-    sums = [1]  # bit s: some of the rest so far have s words together
+    left, extras, rest = max(0, round(room - size[:run].sum())), [], []
+    for x, n in zip(h[run:].tolist(), size[run:].tolist()):
+        if 0 < n <= min(left - spare, spare):
+            extras.append(x)
+            left -= n
+        elif n:
+            rest.append((x, n))
+    unit = -(-left // STEPS) or 1
+    rest = [(x, n) for x, n in rest if n <= 2 * left][:FILLERS]
+    inside, sums = (1 << 2 * (left // unit) + 1) - 1, [1]  # bit s: some of the rest so far have s steps together
     for _, n in rest:
-        sums.append(sums[-1] | sums[-1] << n)
-    s = next(s for d in range(left + 1) for s in (left - d, left + d) if sums[-1] >> s & 1)
-    extras = []
+        sums.append((sums[-1] | sums[-1] << round(n / unit)) & inside)
+    s = _nearest(sums[-1], left // unit)
     for (x, n), before in zip(reversed(rest), reversed(sums[:-1])):
         if not before >> s & 1:
             extras.append(x)
-            s -= n
+            s -= round(n / unit)
     first = int(h[run - 1]) if run else None
     return pd.DataFrame({"sid": [block["sid"].iloc[0]], "cut": pd.array([first], dtype="Int64"), "extras": [extras]})
 
 
+def _nearest(bits: int, at: int) -> int:
+    """The place of the set bit nearest to ``at``, the lower of two; bit 0 is set."""
+    below = (bits & ((1 << at + 1) - 1)).bit_length() - 1
+    above = bits >> at
+    up = at + (above & -above).bit_length() - 1 if above else None
+    return below if up is None or at - below <= up - at else up
+
+
 def _size() -> Column:
     return F.regexp_count(common.text_or_empty(), F.lit(common.SPACE_WORD)).cast("long")
 

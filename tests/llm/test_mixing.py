@@ -1,5 +1,9 @@
+import itertools
+import random
+import time
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from lexmill.llm import mixing
@@ -70,3 +74,37 @@ def test_odd_rows(spark, odd):
     assert all(0 <= r["copies"] <= 3 for r in rows)
     assert mixing.mix(odd).columns == odd.columns
     assert mixing.plan(odd.limit(0)).rows.count() == 0 and mixing.mix(odd.limit(0)).count() == 0
+
+
+def block(sizes, room):
+    return pd.DataFrame({"sid": 1, "h": range(len(sizes)), "size": sizes, "room": float(room)})
+
+
+def taken(sizes, room):
+    out = mixing._fill(block(sizes, room)).iloc[0]
+    return sum(n for h, n in enumerate(sizes) if (out["cut"] is not pd.NA and h <= out["cut"]) or h in out["extras"])
+
+
+def test_fill_is_exact_where_sums_are():
+    rng = random.Random(2)
+    for _ in range(60):
+        sizes = [rng.randint(0, 40) for _ in range(rng.randint(1, 12))]
+        room = rng.randint(1, 100)
+        got = taken(sizes, room)
+        best = min(abs(room - sum(c)) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k))
+        assert abs(room - got) == best
+
+
+def test_fill_with_book_length_documents_ends_soon():
+    sizes = [300 + i % 90 for i in range(400)] + [20_000_000, 30_000, 100_000, 200_000] + [350] * 50
+    start = time.perf_counter()
+    for room in (5_000, 90_000, 150_000, 19_900_000):
+        got = taken(sizes, room)
+        assert abs(got - room) < max(100, 0.02 * room), (room, got)
+    assert time.perf_counter() - start < 1
+
+
+def test_a_large_document_does_not_end_the_run():
+    sizes = [10] * 500 + [9000] + [10] * 4000
+    for room in (9500, 20_000):
+        assert abs(taken(sizes, room) - room) <= 10
