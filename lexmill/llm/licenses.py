@@ -118,9 +118,10 @@ class Scanner:
         """(start word, label) of every place of a phrase."""
         joined, out = b" " + b" ".join(words) + b" ", []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, before, word = joined.find(phrase), 0, 0
             while at >= 0:
-                out.append((joined.count(b" ", 0, at), label))
+                word, before = word + joined.count(b" ", before, at), at  # words between two places are counted once
+                out.append((word, label))
                 at = joined.find(phrase, at + 1)
         return sorted(out)
 
