@@ -27,11 +27,17 @@ class Encoder:
     are one space and a word, or a line end and a word: ``known`` has the ids of these by the word, or by line
     end and word. A full stop or comma after a
     letter is a pre-token of its own. ``keep`` bounds the memory: a full one is emptied.
+
+    Strings of the file's added tokens have ids of their own wherever they stand, so a text that holds one goes through the
+    library's tokenizer whole.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # no piece holds one; in the middle of a text they are looked for first
+        self.library = Tokenizer.from_file(path)
+        added = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.holds_added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
         self.model = self.tokenizer.model
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.keep, self.timer = keep, None
@@ -67,6 +73,9 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.timer:
             self._stay()
+        whole = [i for i, t in enumerate(texts) if self.holds_added(t)]
+        if whole:
+            return self._with_added(texts, whole)
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
@@ -84,6 +93,12 @@ class Encoder:
                 out.append(self._irregular(text))
         return out
 
+    def _with_added(self, texts: list[str], whole: list[int]) -> list[bytes]:
+        held = set(whole)
+        rest = iter(self.encode([t for i, t in enumerate(texts) if i not in held]))
+        found = iter(self._whole([texts[i] for i in whole], self.library))
+        return [next(found) if i in held else next(rest) for i in range(len(texts))]
+
     def _meet(self, words: set[str]) -> None:
         odd, lines = [], []
         known, marks, of = self.known, self.marks, self.bytes_of
@@ -117,9 +132,9 @@ class Encoder:
         rest = iter(self._whole([p for p, ids in zip(pieces, found) if ids is None]))
         return b"".join([next(rest) if ids is None else ids for ids in found])
 
-    def _whole(self, pieces: list[str]) -> list[bytes]:
+    def _whole(self, pieces: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
         of = self.bytes_of
-        return [b"".join([of[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [b"".join([of[i] for i in e.ids]) for e in (tokenizer or self.tokenizer).encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn_word_rule(self) -> bool:
         """Find from probes how the steps before the model show a plain word; False: no such rule holds."""

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from lexmill.llm import common, packing, token_files
 from lexmill.llm.tokens import Encoder
@@ -16,11 +17,11 @@ FILES = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_4
 
 @pytest.mark.parametrize("path", FILES.values())
 def test_pieces_give_the_ids_of_whole_texts(path):
-    encoder, rng = Encoder(path, keep=500), random.Random(3)
+    encoder, fresh, rng = Encoder(path, keep=500), Tokenizer.from_file(path), random.Random(3)
     letters = " \n\t\r\x0b\x1c\x85\xa0 'stdéÀß漢字🙂.,!|$09Aá̇Σς İ"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 16))) for _ in range(3000)] + [t or "" for t in TEXTS]
     for at in range(0, len(texts), 100):
-        want = [e.ids for e in encoder.tokenizer.encode_batch(texts[at:at + 100], add_special_tokens=False)]
+        want = [e.ids for e in fresh.encode_batch(texts[at:at + 100], add_special_tokens=False)]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[at:at + 100])] == want
 
 
@@ -92,3 +93,11 @@ def test_token_files_round_trip(spark, odd):
         assert kept == f["n_tokens"]
     empty = token_files.write_token_files(odd.limit(0), folder, path, end_id=0)
     assert token_files.read_token_files(empty).count() == 0
+
+
+@pytest.mark.parametrize("path", FILES.values())
+def test_added_tokens_have_the_ids_of_the_library(path):
+    texts = ["a <|endoftext|> b", "<|startoftext|>x", "<|ENDOFTEXT|> y", "plain words here", "two <|endoftext|><|endoftext|>\n  lines", "<|endoftext"]
+    fresh = Tokenizer.from_file(path)
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == want
