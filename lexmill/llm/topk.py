@@ -10,8 +10,8 @@ queries, holding that block and k results per query, and sends on at most k rows
 queries / ``block``; stripes are only as many as the cores need, so copies of queries stay few. The best k over
 stripes are then ranked per query, which Spark prunes before the shuffle. No cross join, no pairs in the plan.
 
-Cases: a vector that is null, holds a null or non-finite component, or has no id takes no part; neither does a
-vector with a component of 2^22 or more in size (its scores could leave the long range). Vectors of different
+Cases: a vector that is null or empty, holds a null or non-finite component, or has no id takes no part. Components
+of any size are scored exactly; where a code or a score among the best leaves the long range, the job fails and says so. Vectors of different
 lengths are never compared. Repeated candidate rows all count; a repeated query id is one query (its smallest
 vector) and never its own candidate. Ties go to the smaller id. An empty table gives no row.
 """
@@ -30,8 +30,10 @@ SEGMENTS = (4, 16)
 def codes(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of every component as longs; null where the vector takes no part."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    ok = F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < 2.0**22))
-    return F.when(F.coalesce(ok, F.lit(False)), F.transform(x, lambda v: F.floor(v * scale).cast("long")))
+    ok = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
+    held = lambda v: F.when(F.abs(v * scale) < 2.0**63, F.floor(v * scale).cast("long")).otherwise(
+        F.raise_error(F.lit("a component's code does not fit in a long")).cast("long"))
+    return F.when(F.coalesce(ok, F.lit(False)), F.transform(x, held))
 
 
 def search(
@@ -111,8 +113,9 @@ class _Best:
         qs, vs = np.arange(len(self.ids)), np.arange(len(ids))
         alive = None
         for own, n in zip(self.stats, [n for n in self.segments if n < rows.shape[1]]):
-            bound = own[qs] @ _stats(rows, n)[vs].T
-            reach = bound + 0.5 + 1e-9 * np.abs(bound) >= self.floor[qs, None]
+            theirs = _stats(rows, n)[vs]
+            error = 1e-12 * np.outer(np.linalg.norm(own[qs], axis=1), np.linalg.norm(theirs, axis=1))  # of rounding, terms may cancel
+            reach = own[qs] @ theirs.T + 0.5 + error >= self.floor[qs, None]
             alive = reach if alive is None else alive & reach
             keep_q, keep_v = alive.any(axis=1), alive.any(axis=0)
             qs, vs, alive = qs[keep_q], vs[keep_v], alive[keep_q][:, keep_v]
@@ -123,6 +126,8 @@ class _Best:
         if alive is not None:
             hit &= alive
         a, b = np.nonzero(hit)
+        if score.dtype == object and any(not -(2**63) <= x < 2**63 for x in score[a, b]):
+            raise OverflowError("a score does not fit in a long")
         self.q, self.v = np.concatenate([self.q, qs[a]]), np.concatenate([self.v, ids[vs[b]]])
         self.score = np.concatenate([self.score, score[a, b].astype(np.int64)])
         self._cut()
@@ -150,6 +155,8 @@ def _stats(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point while every sum stays below 2^53."""
-    worst = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return a.astype(np.float64) @ b.astype(np.float64).T if worst < 2**53 else a @ b.T
+    """Exact inner products: in floating point while every sum stays below 2^53, in longs below 2^63, else in whole numbers of any size."""
+    worst = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    if worst < 2**53:
+        return a.astype(np.float64) @ b.astype(np.float64).T
+    return a @ b.T if worst < 2**62 else a.astype(object) @ b.astype(object).T

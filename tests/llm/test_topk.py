@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import topk
@@ -58,3 +59,20 @@ def test_bound_holds():
     a, b = rng.integers(-60, 60, (40, 30)), rng.integers(-60, 60, (50, 30))
     for n in (1, 4, 7):
         assert (topk._stats(a, n) @ topk._stats(b, n).T >= a @ b.T - 1e-6).all()
+
+
+def test_components_of_any_size_and_empty_vectors(spark):
+    big = [(20, [5e6, 1.0]), (2, [-3e7, 2.0]), (3, [1e8, -1e8]), (4, [1.0, 1.0]), (5, [2.0**28, 3.0]), (6, [])]
+    rows = [(i, v) for i, v in big] + [(100 + i, [float(i), 1e7]) for i in range(30)]
+    df = coded(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in topk.search(df, df.filter("id = 20"), k=40, cells=2).orderBy("rank").collect()]
+    codes = {i: [math.floor(64 * x) for x in v] for i, v in rows if v}
+    want = sorted((-(codes[20][0] * c[0] + codes[20][1] * c[1]), i) for i, c in codes.items() if i != 20)
+    assert got == [(i, -s) for s, i in want]
+
+
+@pytest.mark.parametrize("value", [2.0**58, 2.0**40])
+def test_what_a_long_cannot_hold_fails_clearly(spark, value):
+    df = coded(spark.createDataFrame([(20, [value, 1.0]), (40, [value, 1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="fit in a long"):
+        topk.search(df, df, k=2).collect()
