@@ -234,11 +234,11 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     # the subroots are the leaves of one more tree, whose name is no source's
     top = positions(own.roots, [F.asc_nulls_first("tree")], name="pos").withColumnRenamed("tree", "source")
     crown = forest(top.withColumn("tree", F.lit("")), levels, carried=("source",))
-    root = crown.roots.select(F.col("value").alias("root"))
+    root = crown.roots.first()  # one row, or none of an empty table
 
     up = crown.paths()
     crown_blocks = crown.rounds[0].blocks
-    source_paths = _source_paths(crown_blocks, up).join(F.broadcast(root))  # one row
+    source_paths = _source_paths(crown_blocks, up).withColumn("root", F.lit(root["value"] if root else None).cast("string"))
     blocks, above = own.rounds[0].blocks, own.paths()
     if above is not None:
         blocks = _with_path(blocks, above)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -19,15 +19,18 @@ def labelled_sample(
     """At most ``per_class`` whole texts of each label, in the order of a hash of the id.
 
     Ids are picked from the label table alone, outside the fold ``left_out``; texts over ``max_chars``
-    characters take no part in training, so what comes to the driver is bounded by both parameters.
+    characters take no part in training. Several labels of an id count as the greatest, several of its texts as the smallest, and
+    the bounds hold before anything comes to the driver, so that is bounded by both parameters.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-    own = own.filter(F.col("y").isin(0, 1) & (fold(F.col("id"), folds) != left_out))
+    own = own.filter(F.col("y").isin(0, 1) & (fold(F.col("id"), folds) != left_out)).groupBy("id").agg(F.max("y").alias("y"))
     picked = [own.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * per_class) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), common.text_or_empty().alias("text")).filter(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").toPandas()
-    rows = rows.assign(h=[hash_of(i) for i in rows["id"]]).sort_values(["h", "id", "text"])
-    kept = [rows[rows["y"] == y].head(per_class) for y in (0, 1)]
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # of at most 2 * per_class rows
+    rows = found.withColumn("place", place).filter(F.col("place") <= per_class).toPandas()
+    rows = rows.assign(h=[hash_of(i) for i in rows["id"]]).sort_values(["h", "id"])
+    kept = [rows[rows["y"] == y] for y in (0, 1)]
     return [(t, int(y)) for k in kept for t, y in zip(k["text"], k["y"])]
 
 

@@ -1,11 +1,14 @@
 import itertools
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexmill.llm import common, licenses, line_crf, quality, queries, toxicity
+from lexmill.llm import common, licenses, line_crf, quality, queries, toxicity, training
 from lexmill.llm.training import fit_logistic, sigmoid
 
 SF = "/root/testdata/sf0.01"
@@ -149,3 +152,40 @@ def test_digits_of_a_whole_line_count():
     assert digit("word " * 100 + "7") == digit("7 word") == digit("x\u00b2 " + "word " * 100) == 1 and digit("word " * 100) == 0
     every = [chr(c) for c in range(0x110000)]
     assert [c for c in every if line_crf.DIGIT.search(c)] == [c for c in every if c.isdigit()]
+
+
+def test_places_are_found_in_linear_time():
+    scanner = licenses.Scanner([], {})
+    seconds = []
+    for n in (80_000, 160_000):
+        words = [b"mit", b"license", b"x"] * n
+        start = time.perf_counter()
+        found = scanner.places(words)
+        seconds.append(time.perf_counter() - start)
+        assert len(found) == n and found[:2] == [(0, "mit"), (3, "mit")] and found[-1] == (3 * n - 3, "mit")
+    assert seconds[1] < 2
+
+
+def test_places_equal_a_scan_of_words():
+    rng, scanner = random.Random(5), licenses.Scanner([], {})
+    phrases = [(tuple(p.encode().split()), label) for p, label in licenses.PHRASES]
+    for _ in range(300):
+        words = [rng.choice([b"mit", b"license", b"apache", b"general", b"public", b"x"]) for _ in range(rng.randint(0, 30))]
+        want = sorted((i, label) for p, label in phrases for i in range(len(words)) if tuple(words[i:i + len(p)]) == p)
+        assert scanner.places(words) == want
+
+
+def test_an_id_of_many_rows_brings_one_text(spark):
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") + 100_000).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "other"), (3, "third"), (None, "no id")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (1, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    labels = labels.unionByName(labels)
+    assert sorted(training.labelled_sample(docs, labels, "toxic", 4, 9, 50, 100)) == [("other", 0), ("text 100000", 1), ("third", 0)]
+    assert len(training.labelled_sample(docs, labels, "toxic", 4, 9, 1, 100)) == 2
+
+
+@pytest.mark.parametrize("text", ["“idiot”", "«idiot»", "¡idiot!", "x—idiot", "a\u3000idiot", "…idiot", "9idiot", "İdiot idiot"])
+def test_words_start_after_marks_of_any_script(text):
+    counter = toxicity.HitCounter(["idiot"])
+    assert counter.counts(text)[0] == [1]
+    assert counter.counts("éidiot xidiot")[0] == [0]
