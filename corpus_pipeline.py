@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows and reads them again.
+
+Cases, in every stage: a null or empty text is a text without words, which the filters judge like any other (the line rules reject
+it); a null ``doc_id`` or source is a value of its own; rows that repeat an id are judged each, and one of them is left after
+the third stage, the one with the smallest text; further columns go along; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,8 +34,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = common.stage(jaccard.join(docs, n=5, percent=80, deletion=False), "pipeline-groups")
     first = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    repeated = common.stage(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is not null and n > 1").select("doc_id"), "pipeline-ids")
+    named = docs.join(first, "doc_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), row)).alias("row"))
+    return (
+        named.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select("row.*"))
+        .unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
