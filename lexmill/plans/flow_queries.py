@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.chunking import ChunkConfig
-from ..functions.sql import register_sql
+from ..functions.sql import register_sql, register_table_functions
 from ..operators import flows, windows
 from ..operators.rows import explode_positions
 from .base import ORACLE, register, sql_in, table
-from .chunk_queries import INSPECT, sql_chunks, sql_law_mode
+from .chunk_queries import INSPECT, sql_chunks, sql_header, sql_law_mode
 from .fixtures import KDOCS, TURNS, kdocs, turns
 from .text_queries import BODY, QUOTE, REPLY, sql_revised_date
 
@@ -62,3 +62,22 @@ def sql_chunk_array(spark, sf):
     call = F.expr(f"chunk_array(text, {INSPECT.max_chars}, {INSPECT.overlap_chars}, {INSPECT.min_chars})")
     cut = table(spark, sf, "documents").select("doc_id", call.alias("c"))
     return explode_positions(cut, ["doc_id"], F.col("c"), "chunk_index", "text")
+
+
+SECTIONED = ChunkConfig()
+
+
+@register("sql_chunks", "doc_id long, chunk_index long, article str, text str", f"""
+    select doc_id, chunk_index, {sql_header('sec')} as article, ctext as text from ({sql_chunks(f'select doc_id, ktext from ({KDOCS}) as kd', 'doc_id', 'ktext', SECTIONED, True)}) as c""")
+def sql_chunk_table(spark, sf):
+    register_table_functions(spark)
+    return spark.sql(
+        f"SELECT d.doc_id, c.* FROM {{docs}} d, LATERAL chunks_of(d.ktext, {SECTIONED.max_chars}, {SECTIONED.overlap_chars}, {SECTIONED.min_chars}) c",
+        docs=kdocs(spark, sf))
+
+
+@register("sql_citations", "doc_id long, pos long, ref str, law str, article str", f"""
+    select *, trim(regexp_extract(ref, '^(.*)제[^제]*$', 1)) as law, regexp_extract(ref, '제[^제]*$') as article from ({ORACLE['law_refs']}) as r""")
+def sql_citation_table(spark, sf):
+    register_table_functions(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL citations_of(d.ktext) c", docs=kdocs(spark, sf))

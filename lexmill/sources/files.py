@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import constants as K
 from ..functions.text import base_name, decode_text, detect_doc_type, file_type, strip, zfill
+from .records import FILE, csv_records, json_objects, text_pieces
 from .vector_store import VectorStore
 
 _MAP = T.MapType(T.StringType(), T.StringType())
@@ -32,29 +33,22 @@ def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
 def read_source_csv(spark: SparkSession, root: str, docu_type: str) -> DataFrame:
     """Source sentences of one document type from every CSV file below its folder.
 
-    Files may order their columns differently and lack some. All are read in one pass as bare
-    positions; each file's own header row, found by its id and content column names, then says which
-    position holds what. Files without both names contribute nothing. The widest header decides how many
-    positions are read: cells beyond a file's own header have no name.
+    Files may order their columns differently and lack some. Records are cut out of byte ranges (``records``), so a large
+    file is read by many tasks. Each file's own header row, found by its id and content column names, says which
+    position holds what; files without both names contribute nothing. The widest header decides how many
+    positions are parsed: cells beyond a file's own header have no name.
     """
     id_name = K.SOURCE_ID_COLUMN[docu_type]
     folder = f"{root}/{K.SOURCE_FOLDER_PREFIX}{docu_type}"
 
     def load():
-        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder)
+        found = csv_records(spark, folder, "*.[cC][sS][vV]").filter(strip("record") != "")
         named = F.contains("value", F.lit(id_name)) & F.contains("value", F.lit(K.CONTENT_COLUMN))
+        lines = text_pieces(spark, folder, "*.[cC][sS][vV]")
         width = lines.filter(named).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
         cells = [f"c{i}" for i in range(width)]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-        raw = (
-            spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
-            .option("header", False).option("multiLine", True).option("escape", '"')
-            .csv(folder)
-        )
-        rows = raw.select(
-            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
-            F.array(*cells).alias("row"),
-        )
+        parsed = F.from_csv("record", ", ".join(f"{c} string" for c in cells), {"escape": '"', "maxCharsPerColumn": "-1"})
+        rows = found.select(F.col(FILE).alias("file"), "pos", parsed.alias("_c")).select("file", "pos", F.array(*[F.col(f"_c.{c}") for c in cells]).alias("row"))
         names = F.transform("row", lambda c: strip(F.regexp_replace(c, "^﻿", "")))
         is_header = F.array_contains(names, id_name) & F.array_contains(names, K.CONTENT_COLUMN)
         headers = rows.filter(is_header).groupBy("file").agg(
@@ -82,22 +76,16 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
 def read_label_json(spark: SparkSession, root: str, docu_type: str, task: str) -> DataFrame:
     """Label records of one type and task: files hold an object or an array of objects; broken ones are skipped."""
     folder = f"{root}/{K.LABEL_FOLDER_PREFIX}{docu_type}_{task}"
+    return _or_empty(spark, LABEL_SCHEMA, lambda: _whole_files(
+        json_objects(spark, folder, "*.json"), "info map<string,string>, label map<string,string>"
+    ).withColumns({"docu_type": F.lit(docu_type), "task_type": F.lit(task)}))
 
-    def load():
-        schema = T.StructType([
-            T.StructField("info", _MAP), T.StructField("label", _MAP), T.StructField("_corrupt_record", T.StringType())
-        ])
-        rows = (
-            spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
-        )
-        # Spark refuses to read the corrupt-record column alone, as a bare count would
-        parsed = F.col("_corrupt_record").isNull() & (F.coalesce(F.size("info"), F.lit(-1)) >= -1)
-        return rows.filter(parsed).select(
-            "info", "label", F.lit(docu_type).alias("docu_type"), F.lit(task).alias("task_type")
-        )
 
-    return _or_empty(spark, LABEL_SCHEMA, load)
+def _whole_files(objects: DataFrame, schema: str) -> DataFrame:
+    """The parsed objects of files in which every object can be read."""
+    read = objects.select(FILE, "closed", F.from_json("record", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("_o"))
+    bad = read.filter(~F.col("closed") | F.col("_o._bad").isNotNull()).select(F.col(FILE).alias("_f")).distinct()
+    return read.join(bad, F.col(FILE) == F.col("_f"), "left_anti").select("_o.*").drop("_bad")
 
 
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
@@ -134,7 +122,8 @@ def bad_lines(corpus: DataFrame) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
     """Documents ``text, category, law_date`` of a file that holds one JSON array."""
-    rows = spark.read.schema("text string, category string, law_date string").option("multiLine", True).json(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    rows = _whole_files(json_objects(spark, folder, name), "text string, category string, law_date string")
     return rows.limit(max_docs) if max_docs is not None else rows
 
 

@@ -22,6 +22,16 @@ def test_sql_function_equals_the_operator(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_table_functions_are_plain_generators(spark):
+    for name, args in (("sql_chunks", "chunks_of"), ("sql_citations", "citations_of")):
+        text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in text and "Join" not in text and "Python" not in text and "hashpartitioning" not in text, args
+    spark.createDataFrame([(1, None), (2, ""), (3, "형법 제1조와 형법  제1조, 민법 제2조의3 및 형법제1조")], "doc_id long, t string").createOrReplaceTempView("odd_sql")
+    got = spark.sql("SELECT doc_id, c.* FROM odd_sql, LATERAL citations_of(t) c ORDER BY pos").collect()
+    assert [tuple(r) for r in got] == [(3, 0, "형법 제1조", "형법", "제1조"), (3, 1, "민법 제2조의3", "민법", "제2조의3")]
+    assert spark.sql("SELECT doc_id, c.* FROM odd_sql, LATERAL chunks_of(t, 800, 100, 5) c").count() == 1
+
+
 def test_index_records(spark):
     docs = spark.createDataFrame([
         (1, 7, "도로교통법 제1조(목적) 이 법은 도로에서 일어나는 위험을 막는다. 제2조(정의) 이 법에서 쓰는 말의 뜻은 다음과 같다.", "법령·규정", "2024-01-01"),
