@@ -8,7 +8,7 @@ from ..functions import constants as K
 from ..functions.text import blank_to_null, excerpt, to_uuid
 from ..functions.vectors import namespace_of_user, round4
 from ..session import cut
-from .search import top_k
+from .search import is_packed, pack, top_k
 
 PUBLIC_SOURCE, USER_SOURCE = "legal_vector", "document"
 
@@ -22,10 +22,14 @@ def _targets(questions: DataFrame, public: bool, private: bool) -> DataFrame:
     return questions.withColumn("key", F.explode(F.array(*keys)))
 
 
+def pack_index(vectors: DataFrame) -> DataFrame:
+    """An index of vectors (with ``namespace``) packed once for many searches; give it to them in place of the vectors."""
+    return pack(vectors.withColumnRenamed("namespace", "key"))
+
+
 def _hits(questions, vectors, k, alpha, public, private) -> DataFrame:
-    found = top_k(
-        _targets(questions, public, private), vectors.withColumnRenamed("namespace", "key"), k, alpha
-    )
+    stored = vectors if is_packed(vectors) else vectors.withColumnRenamed("namespace", "key")
+    found = top_k(_targets(questions, public, private), stored, k, alpha)
     source = F.when(F.col("key") == K.PUBLIC_NAMESPACE, PUBLIC_SOURCE).otherwise(USER_SOURCE)
     return found.select("query_id", source.alias("source_type"), "vec_id", "score", "rank")
 

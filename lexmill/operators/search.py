@@ -106,6 +106,25 @@ def _scored(pairs: DataFrame, targets: DataFrame, vectors: DataFrame, k: int, al
     return met.mapInArrow(run, schema)
 
 
+def pack(vectors: DataFrame, size: int = VECTOR_BLOCK) -> DataFrame:
+    """Vectors (``vec_id, key, dense, idx, val``) as blocks that any number of searches read in place of the rows."""
+    return blocks(vectors, "vec_id", size, compact=True)
+
+
+def is_packed(vectors: DataFrame) -> bool:
+    return "block" in vectors.columns
+
+
+#: Up to so many blocks are named in the scan of packed vectors, which then skips files and row groups without them.
+MOST_NAMED = 4096
+
+
+def _named(stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The packed blocks that ``pairs`` name, picked in the scan itself where they are few."""
+    ids = [r["b_block"] for r in pairs.select("b_block").distinct().limit(MOST_NAMED + 1).collect()]
+    return stored.filter(F.col("block").isin(ids)) if len(ids) <= MOST_NAMED else stored
+
+
 def top_k(
     queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, target_block: int = TARGET_BLOCK,
     vector_block: int = VECTOR_BLOCK, first: int = FIRST_BLOCKS,
@@ -114,13 +133,16 @@ def top_k(
 
     Score: ``alpha * dense dot + (1 - alpha) * sparse dot``, kept to 12 decimals for ranks and gates; ties
     go to the lower vector id. Vectors and targets without a key or a dense side of finite numbers take no part
-    (``vector_blocks.malformed`` lists them).
+    (``vector_blocks.malformed`` lists them). ``vectors`` may be ``pack``ed before: then a search reads their summaries
+    and the blocks whose bounds can matter.
     """
-    asked, stored = blocks(queries, "query_id", target_block), blocks(vectors, "vec_id", vector_block, compact=True)
+    packed = is_packed(vectors)
+    asked, stored = blocks(queries, "query_id", target_block), vectors if packed else pack(vectors, vector_block)
     pairs = bounds(summaries(asked, "a_").join(summaries(stored, "b_"), ["key", "dim"]), alpha)
     nearest = Window.partitionBy("a_block").orderBy(F.desc("bound"), "b_block")
     pairs = staged(pairs.withColumn("place", F.row_number().over(nearest)), "block-pairs")
-    found = _scored(pairs.filter(F.col("place") <= first), asked, stored, k, alpha)
+    nearest_pairs = pairs.filter(F.col("place") <= first)
+    found = _scored(nearest_pairs, asked, _named(stored, nearest_pairs) if packed else stored, k, alpha)
     rest = pairs.filter(F.col("place") > first)
     if not rest.isEmpty():
         found = staged(found, "first-hits")
@@ -128,6 +150,6 @@ def top_k(
         reached = found.groupBy("a_block", "query_id").agg(kth.alias("kth")).groupBy("a_block").agg(
             F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("least"))
         open_ = rest.join(reached, "a_block").filter(F.col("bound") >= F.col("least"))
-        found = found.unionByName(_scored(open_, asked, stored, k, alpha))
+        found = found.unionByName(_scored(open_, asked, _named(stored, open_) if packed else stored, k, alpha))
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.drop("a_block").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

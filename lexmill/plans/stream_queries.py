@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,19 @@ def stream_table(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+@contextmanager
+def settings(spark, values):
+    """Session settings for the streams started inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def places(spark):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
@@ -48,8 +62,11 @@ DISTINCT = f"""select doc_id, text from (select *, row_number() over (partition
     select md5({sql_strip('d.text')}) as text_hash, chunk_index, ctext as text
     from ({sql_chunks(DISTINCT, 'doc_id', 'text', CFG, False)}) as c join documents as d on d.doc_id = c.doc_id""")
 def stream_index(spark, sf):
+    """Event time is the document's number in seconds; a text's hash leaves the state a day after it was met."""
     out, checkpoint = places(spark)
-    J.append_files(J.stream_index(stream_table(spark, sf, "documents"), CFG, detect=False), out, checkpoint).awaitTermination()
+    docs = stream_table(spark, sf, "documents").withColumn("at", F.timestamp_seconds("doc_id"))
+    chunks = J.stream_index(docs, CFG, detect=False, event_time="at", delay="1 day")
+    J.append_files(chunks, out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -66,9 +83,15 @@ def stream_context(spark, sf):
     select session_id, substr({sql_strip('arg_min(question, turn)')}, 1, 20) as title, max(turn) as last_turn, count(*) as turns
     from ({TURNS}) as t group by session_id""")
 def stream_sessions(spark, sf):
+    """Event time is the turn in minutes; a session without a turn for a day leaves the state."""
     out, checkpoint = places(spark)
-    J.write_batches(J.stream_sessions(user_turns(spark, sf), at="turn"), out, checkpoint, "update").awaitTermination()
-    return J.latest(spark, out, ["session_id"]).withColumnRenamed("last_message_at", "last_turn")
+    zero = F.expr("timestamp '2024-01-01 00:00:00'")
+    rows = user_turns(spark, sf).withColumn("question_at", F.timestamp_add("MINUTE", F.col("turn").cast("int"), zero))
+    with settings(spark, J.KEYED_STATE):
+        J.write_batches(J.stream_sessions(rows, idle="1 day"), out, checkpoint, "update").awaitTermination()
+    newest = J.latest(spark, out, ["session_id"])
+    minutes = F.timestamp_diff("MINUTE", zero, F.col("last_message_at"))
+    return newest.select("session_id", "title", minutes.alias("last_turn"), "turns")
 
 
 @register("stream_log_window", "start ts, level str, n long", f"""

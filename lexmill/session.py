@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,32 +43,50 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lexmill-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute a small, expensive result once and keep it in the shared folder.
-
-    Several consumers then read it instead of repeating its plan, and a lost executor costs no
-    recomputation.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+_scopes = threading.local()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once: write it below the shared folder as Parquet and read it back, with statistics of its size."""
+    """Compute ``df`` once: write it below the shared folder as Parquet and read it back, with statistics of its size.
+
+    Several consumers then read it instead of repeating its plan, and a lost executor costs no recomputation of what lies
+    before. The folder stays until it is discarded or, inside ``swept``, until that block ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in getattr(_scopes, "open", [])[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute a small, expensive result once and keep it in the shared folder."""
+    return staged(df, "cut")
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete what this thread stages inside the block when it ends: for results that are written inside it, as by a micro-batch."""
+    paths: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), paths]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def ship_with_closures() -> None:

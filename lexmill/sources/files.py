@@ -75,9 +75,13 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
 
 def read_label_json(spark: SparkSession, root: str, docu_type: str, task: str) -> DataFrame:
     """Label records of one type and task: files hold an object or an array of objects; broken ones are skipped."""
-    folder = f"{root}/{K.LABEL_FOLDER_PREFIX}{docu_type}_{task}"
+    return label_objects(spark, f"{root}/{K.LABEL_FOLDER_PREFIX}{docu_type}_{task}", "*.json", docu_type, task)
+
+
+def label_objects(spark: SparkSession, folder: str, glob: str, docu_type: str, task: str) -> DataFrame:
+    """Label records of the files below one folder."""
     return _or_empty(spark, LABEL_SCHEMA, lambda: _whole_files(
-        json_objects(spark, folder, "*.json"), "info map<string,string>, label map<string,string>"
+        json_objects(spark, folder, glob), "info map<string,string>, label map<string,string>"
     ).withColumns({"docu_type": F.lit(docu_type), "task_type": F.lit(task)}))
 
 

@@ -13,13 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import constants as K
 from ..functions.chunking import ChunkConfig, chunk_array
-from ..functions.text import has_min_text, text_hash
+from ..functions.text import chat_title, has_min_text, text_hash
 from ..operators import retrieval
 from ..operators.rows import explode_positions
-from ..session import cut
+from ..session import cut, swept
 from ..sources import files
 from ..operators.sessions import document_errors, session_rollup
 
@@ -70,9 +71,56 @@ def stream_context(turns: DataFrame, keep: str | None = None) -> DataFrame:
     )
 
 
-def stream_sessions(turns: DataFrame, at: str = "question_at") -> DataFrame:
-    """Running title, last activity and turn count per session (update mode)."""
-    return session_rollup(turns, at=at)
+def stream_sessions(turns: DataFrame, at: str = "question_at", idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Running title, last activity and turn count per session (update mode).
+
+    With ``idle`` a session's state goes when the watermark (``delay`` behind the newest turn) passes its last turn
+    by that long, and turns later than the delay are dropped; a turn after that starts the session anew. That form keeps its
+    state in RocksDB (see ``KEYED_STATE``) and asks for a timestamp in ``at``. Without it the state stays.
+    """
+    if idle is None:
+        return session_rollup(turns, at=at)
+    rows = turns.select("session_id", F.col(at).cast("timestamp").alias("at"), chat_title("question").alias("title"))
+    return rows.withWatermark("at", delay).groupBy("session_id").transformWithStateInPandas(
+        SessionState(int(pd.Timedelta(idle).total_seconds() * 1000)),
+        "session_id bigint, title string, last_message_at timestamp, turns bigint", "Update", "EventTime")
+
+
+#: Session settings of forms with timers.
+KEYED_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class SessionState(StatefulProcessor):
+    """One row per session; a timer at its last turn plus the idle time takes it away."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "first_ms bigint, title string, last_ms bigint, turns bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        first, title, last, turns = self.session.get() if self.session.exists() else (None, None, None, 0)
+        for part in rows:
+            for at, name in zip(part["at"], part["title"]):
+                ms, turns = int(at.value // 1_000_000), turns + 1
+                if first is None or ms < first:
+                    first, title = ms, None if pd.isna(name) else name
+                if last is None or ms > last:
+                    if last is not None:
+                        self.handle.deleteTimer(last + self.idle_ms)
+                    last = ms
+                    self.handle.registerTimer(last + self.idle_ms)
+        self.session.update((first, title, last, turns))
+        yield pd.DataFrame({"session_id": [key[0]], "title": [title], "last_message_at": [pd.Timestamp(last, unit="ms")], "turns": [turns]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.session.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_log_errors(logs: DataFrame, width: str = "1 hour", slide: str | None = None,
@@ -94,7 +142,11 @@ def stream_error_sessions(logs: DataFrame, gap: str = "30 minutes", delay: str =
 
 
 def answer_batch(vectors: DataFrame, mode: str = "hybrid", k: int = K.TOP_K) -> Callable[[DataFrame], DataFrame]:
-    """Retrieval and gate of one micro-batch of questions against a static index."""
+    """Retrieval and gate of one micro-batch of questions against a static index, which is packed once for all of them.
+
+    A micro-batch reads the index's summaries and the blocks whose bounds can reach one of its questions.
+    """
+    vectors = retrieval.pack_index(vectors)
 
     def run(questions: DataFrame) -> DataFrame:
         hits = cut(retrieval.search(questions, vectors, mode, k))
@@ -106,11 +158,15 @@ def answer_batch(vectors: DataFrame, mode: str = "hybrid", k: int = K.TOP_K) ->
 
 def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
                   transform: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
-    """Start the stream; every micro-batch lands in ``path/batch_id=N`` and replaces itself on a retry."""
+    """Start the stream; every micro-batch lands in ``path/batch_id=N`` and replaces itself on a retry.
+
+    What ``transform`` stages on the way is deleted when the micro-batch is written.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch) if transform else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        with swept(batch.sparkSession):
+            out = transform(batch) if transform else batch
+            out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

@@ -96,3 +96,52 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     jobs.write_batches(stream, out, str(tmp_path / "cp1")).awaitTermination()
     jobs.write_batches(stream, out, str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_sessions_leave_the_state_when_idle(spark, tmp_path):
+    from lexmill.plans.stream_queries import settings
+
+    at = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, m, 0)"
+    data = [(0, 1, 5, "b"), (0, 1, 0, "a"), (0, 2, 3, None), (1, 1, 20, "c"), (1, 3, 60, "d"), (2, 4, 300, "e"), (3, 2, 15, "late"), (3, 5, 700, "f"), (3, 1, 690, "again"), (4, 6, 900, "g")]
+    df = spark.createDataFrame(data, "part int, session_id long, m int, question string").withColumn("question_at", F.expr(at))
+    for i in range(5):
+        df.filter(F.col("part") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with settings(spark, jobs.KEYED_STATE):
+        query = jobs.write_batches(jobs.stream_sessions(stream, idle="30 minutes", delay="10 minutes"), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+        query.awaitTermination()
+    got = {r["session_id"]: (r["title"], r["turns"], r["last_message_at"].hour * 60 + r["last_message_at"].minute)
+           for r in jobs.latest(spark, str(tmp_path / "out"), ["session_id"]).collect()}
+    # session 1 came back after its state had gone; the turn of session 2 behind the watermark was dropped
+    assert got == {1: ("again", 1, 690), 2: (None, 1, 3), 3: ("d", 1, 60), 4: ("e", 1, 300), 5: ("f", 1, 700), 6: ("g", 1, 900)}
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1] < max(states) and states[-1] <= 2 * 2
+
+
+def test_micro_batches_leave_nothing_staged(spark, tmp_path):
+    from lexmill.session import shared_dir, staged, swept
+
+    kept = staged(spark.range(3), "kept")
+    with swept(spark):
+        one = staged(spark.range(5), "gone")
+        assert one.count() == 5
+        with swept(spark):
+            two = staged(spark.range(7), "inner")
+        with pytest.raises(Exception):
+            two.count()
+        assert one.count() == 5
+    with pytest.raises(Exception):
+        one.count()
+    assert kept.count() == 3 and shared_dir(spark)
+
+
+def test_batches_of_questions_read_a_packed_index(spark, tmp_path):
+    from lexmill.operators import retrieval
+    from lexmill.plans import search_queries as Q
+
+    index = Q.vectors(spark, SF)
+    asked = Q.asked(index).filter("query_id < 30")
+    packed = retrieval.pack_index(index)
+    for mode in ("general", "document", "hybrid"):
+        want = rows(retrieval.search(asked, index, mode), "query_id", "source_type", "vec_id", "rank")
+        assert rows(retrieval.search(asked, packed, mode), "query_id", "source_type", "vec_id", "rank") == want
