@@ -71,6 +71,57 @@ def stream_context(turns: DataFrame, keep: str | None = None) -> DataFrame:
     )
 
 
+def stream_context_in_order(turns: DataFrame, at: str = "question_at", delay: str = "10 minutes") -> DataFrame:
+    """``session_id, turn, search_text`` as in ``stream_context``, for turns that arrive out of order (append mode).
+
+    A turn waits in RocksDB state (see ``KEYED_STATE``) until the watermark, ``delay`` behind the newest turn, reaches its time; a
+    timer then lets it and those before it go in order of time and turn. So turns late by up to the delay give what the
+    batch form gives, and later ones are dropped. A session holds the turns of one delay and its last question.
+    """
+    rows = turns.select("session_id", F.col(at).cast("timestamp").alias("at"), "turn", "question")
+    return rows.withWatermark("at", delay).groupBy("session_id").transformWithStateInPandas(
+        TurnOrder(), "session_id bigint, turn bigint, search_text string", "Append", "EventTime")
+
+
+class TurnOrder(StatefulProcessor):
+    """Pending turns of a session, let go by timers at their own times."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "ms bigint, turn bigint, question string")
+        self.last = handle.getValueState("last", "question string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = []
+        for part in rows:
+            for at, turn, question in zip(part["at"], part["turn"], part["question"]):
+                new.append((int(at.value // 1_000_000), int(turn), None if pd.isna(question) else question))
+        self.pending.appendList(new)
+        for ms in sorted({x[0] for x in new}):
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = sorted(self.pending.get(), key=lambda x: x[:2])
+        due, rest = [x for x in waiting if x[0] <= upto], [x for x in waiting if x[0] > upto]
+        if not due:  # gone with an earlier timer
+            return
+        self.pending.clear()
+        if rest:
+            self.pending.put(rest)
+        last = self.last.get()[0] if self.last.exists() else None
+        texts = []
+        for _, _, question in due:
+            texts.append(" ".join(x for x in (last or None, question) if x is not None))
+            last = question
+        self.last.update((last,))
+        yield pd.DataFrame({"session_id": [key[0]] * len(due), "turn": [x[1] for x in due], "search_text": texts})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_sessions(turns: DataFrame, at: str = "question_at", idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Running title, last activity and turn count per session (update mode).
 

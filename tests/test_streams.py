@@ -145,3 +145,24 @@ def test_batches_of_questions_read_a_packed_index(spark, tmp_path):
     for mode in ("general", "document", "hybrid"):
         want = rows(retrieval.search(asked, index, mode), "query_id", "source_type", "vec_id", "rank")
         assert rows(retrieval.search(asked, packed, mode), "query_id", "source_type", "vec_id", "rank") == want
+
+
+def test_late_turns_within_the_delay_equal_the_batch_form(spark, tmp_path):
+    from lexmill.plans.stream_queries import settings
+
+    at = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, m, 0)"
+    data = [(0, 1, 0, 0, "a"), (0, 1, 2, 8, "c"), (0, 2, 0, 1, None), (1, 1, 1, 4, "b"), (1, 2, 1, 9, ""), (1, 3, 0, 9, "x"), (2, 1, 3, 30, "d"), (2, 3, 1, 31, "y"),
+            (3, 1, 4, 29, None), (3, 3, 2, 45, "z"), (4, 1, 5, 46, "e")]
+    df = spark.createDataFrame(data, "part int, session_id long, turn long, m int, question string").withColumn("question_at", F.expr(at))
+    flush = df.limit(1).select(F.lit(5).alias("part"), F.lit(9).cast("long").alias("session_id"), F.lit(0).cast("long").alias("turn"), F.lit(900).alias("m"),
+                               F.lit("end").alias("question"), F.expr("timestamp'2024-01-01 15:00:00'").alias("question_at"))
+    for i in range(5):
+        df.filter(F.col("part") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    flush.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with settings(spark, jobs.KEYED_STATE):
+        jobs.write_batches(jobs.stream_context_in_order(stream, delay="20 minutes"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "out")).filter("session_id < 9"), "session_id", "turn", "search_text")
+    in_time = df.select("session_id", F.struct("question_at", "turn").alias("at"), "turn", "question")
+    want = sessions.expand_questions(in_time, F.lit(0), at="at", tie="turn")
+    assert got == rows(want, "session_id", "turn", "search_text")
