@@ -36,8 +36,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # no piece holds one; in the middle of a text they are looked for first
         self.library = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.holds_added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = sorted(t.content for t in added if not t.normalized)  # looked for in the text as it is
+        shown = "|".join(re.escape(t.content) for t in added if t.normalized)
+        self.shown = re.compile(shown, re.IGNORECASE).search if shown else None
         self.model = self.tokenizer.model
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.keep, self.timer = keep, None
@@ -73,7 +75,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.timer:
             self._stay()
-        whole = [i for i, t in enumerate(texts) if self.holds_added(t)]
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added) or (self.shown and self.shown(t))]
         if whole:
             return self._with_added(texts, whole)
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
