@@ -11,7 +11,7 @@ from ..operators import flows, windows
 from ..operators.rows import explode_positions
 from .base import ORACLE, register, sql_in, table
 from .chunk_queries import INSPECT, sql_chunks, sql_header, sql_law_mode
-from .fixtures import KDOCS, TURNS, kdocs, turns
+from .fixtures import CATEGORY, KDOCS, LAW_DATE, TURNS, kdocs, turns
 from .text_queries import BODY, QUOTE, REPLY, sql_revised_date
 
 DATED = "concat(ktext, ' 2024. 3. ', cast(doc_id % 28 + 1 as string), '. 개정')"
@@ -81,3 +81,14 @@ def sql_chunk_table(spark, sf):
 def sql_citation_table(spark, sf):
     register_table_functions(spark)
     return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL citations_of(d.ktext) c", docs=kdocs(spark, sf))
+
+
+@register("upload_flow", "id str, namespace str, document_id long, chunk_index long, article str, category str, law_date str, n_tokens long", f"""
+    select id, concat('{K.USER_NAMESPACE_PREFIX}', document_id % 5) as namespace, document_id, chunk_index, article, category, law_date, n_tokens
+    from ({ORACLE['build_vectors']}) as b""")
+def upload_flow(spark, sf):
+    """Uploaded documents of five users, from text to index records in one plan."""
+    docs = kdocs(spark, sf).select(
+        "doc_id", (F.col("doc_id") % 5).alias("user_id"), F.col("ktext").alias("text"), F.expr(CATEGORY).alias("category"), F.expr(LAW_DATE).alias("law_date"))
+    made = flows.index_documents(docs, F.lit("2024-01-01 00:00:00"))
+    return made.select("id", "namespace", "metadata.*", F.size("idx").alias("n_tokens"))
