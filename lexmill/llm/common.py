@@ -27,11 +27,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once: write it below the shared folder and read it back.
 
-    Cuts the lineage, so a lost executor costs no recomputation of what lies before it.
+    Cuts the lineage, so a lost executor costs no recomputation of what lies before it. Texts are long, so rows go to Python in
+    smaller batches than Spark's default meanwhile.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, spark = scratch(df.sparkSession, name), df.sparkSession
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(MOST_BATCH_ROWS, int(before)) if int(before) > 0 else MOST_BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: The session's setting for rows in a batch to Python, and the most while a table is staged.
+BATCH_ROWS, MOST_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def drop(spark: SparkSession, *staged: DataFrame) -> None:

@@ -226,7 +226,7 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 
 
 #: Key numbers that a task gathers before it sends them, and about how many a range takes.
-GATHERED, RANGE = 2_000_000, 2_000_000
+GATHERED, RANGE = 1_000_000, 2_000_000
 
 
 def shared_numbers(entries: DataFrame, bits: int, ranges: int) -> DataFrame:
