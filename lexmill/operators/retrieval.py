@@ -27,28 +27,29 @@ def pack_index(vectors: DataFrame) -> DataFrame:
     return pack(vectors.withColumnRenamed("namespace", "key"))
 
 
-def _hits(questions, vectors, k, alpha, public, private) -> DataFrame:
+def _hits(questions, vectors, k, alpha, public, private, stage) -> DataFrame:
     stored = vectors if is_packed(vectors) else vectors.withColumnRenamed("namespace", "key")
-    found = top_k(_targets(questions, public, private), stored, k, alpha)
+    found = top_k(_targets(questions, public, private), stored, k, alpha, stage=stage)
     source = F.when(F.col("key") == K.PUBLIC_NAMESPACE, PUBLIC_SOURCE).otherwise(USER_SOURCE)
     return found.select("query_id", source.alias("source_type"), "vec_id", "score", "rank")
 
 
 def search(questions: DataFrame, vectors: DataFrame, mode: str = "general", k: int = K.TOP_K,
-           alpha: float = K.ALPHA) -> DataFrame:
+           alpha: float = K.ALPHA, stage: bool = True) -> DataFrame:
     """Ranked hits ``(query_id, source_type, vec_id, score, rank)``.
 
     ``general`` looks in the public namespace, ``document`` in the asker's own, ``hybrid`` in both:
-    60 % of the places for own documents, the rest public, gaps filled by the best leftovers.
+    60 % of the places for own documents, the rest public, gaps filled by the best leftovers. ``stage=False``: both tables are
+    cheap to read again (stored or staged), so nothing is written before they are packed.
     """
     if mode == "general":
-        return _hits(questions, vectors, k, alpha, True, False)
+        return _hits(questions, vectors, k, alpha, True, False, stage)
     if mode == "document":
-        return _hits(questions, vectors, k, alpha, False, True)
+        return _hits(questions, vectors, k, alpha, False, True, stage)
     if mode != "hybrid":
         raise ValueError(f"unknown search mode: {mode}")
     own = max(1, round(k * K.DOCUMENT_SHARE))
-    hits = _hits(questions, vectors, k, alpha, True, True)
+    hits = _hits(questions, vectors, k, alpha, True, True, stage)
     quota = F.when(F.col("source_type") == USER_SOURCE, own).otherwise(k - own)
     pick = Window.partitionBy("query_id").orderBy(
         (F.col("rank") <= quota).desc(), F.desc("score"), "source_type", "vec_id"

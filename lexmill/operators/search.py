@@ -106,9 +106,9 @@ def _scored(pairs: DataFrame, targets: DataFrame, vectors: DataFrame, k: int, al
     return met.mapInArrow(run, schema)
 
 
-def pack(vectors: DataFrame, size: int = VECTOR_BLOCK) -> DataFrame:
+def pack(vectors: DataFrame, size: int = VECTOR_BLOCK, stage: bool = True) -> DataFrame:
     """Vectors (``vec_id, key, dense, idx, val``) as blocks that any number of searches read in place of the rows."""
-    return blocks(vectors, "vec_id", size, compact=True)
+    return blocks(vectors, "vec_id", size, compact=True, stage=stage)
 
 
 def is_packed(vectors: DataFrame) -> bool:
@@ -127,17 +127,17 @@ def _named(stored: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def top_k(
     queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, target_block: int = TARGET_BLOCK,
-    vector_block: int = VECTOR_BLOCK, first: int = FIRST_BLOCKS,
+    vector_block: int = VECTOR_BLOCK, first: int = FIRST_BLOCKS, stage: bool = True,
 ) -> DataFrame:
     """``(query_id, key, vec_id, score, rank)``: the k best vectors of each target's key and length.
 
     Score: ``alpha * dense dot + (1 - alpha) * sparse dot``, kept to 12 decimals for ranks and gates; ties
     go to the lower vector id. Vectors and targets without a key or a dense side of finite numbers take no part
     (``vector_blocks.malformed`` lists them). ``vectors`` may be ``pack``ed before: then a search reads their summaries
-    and the blocks whose bounds can matter.
+    and the blocks whose bounds can matter. ``stage=False``: both tables are cheap to read again.
     """
     packed = is_packed(vectors)
-    asked, stored = blocks(queries, "query_id", target_block), vectors if packed else pack(vectors, vector_block)
+    asked, stored = blocks(queries, "query_id", target_block, stage=stage), vectors if packed else pack(vectors, vector_block, stage)
     pairs = bounds(summaries(asked, "a_").join(summaries(stored, "b_"), ["key", "dim"]), alpha)
     nearest = Window.partitionBy("a_block").orderBy(F.desc("bound"), "b_block")
     pairs = staged(pairs.withColumn("place", F.row_number().over(nearest)), "block-pairs")

@@ -42,14 +42,16 @@ def _whole():
     return F.coalesce(F.col("key").isNotNull() & (F.size("dense") > 0) & finite, F.lit(False))
 
 
-def blocks(rows: DataFrame, id_column: str, size: int, compact: bool = False) -> DataFrame:
+def blocks(rows: DataFrame, id_column: str, size: int, compact: bool = False, stage: bool = True) -> DataFrame:
     """One row per block of at most about ``size`` of ``rows`` (``id_column, key, dense, idx, val``), written once.
 
     Columns: ``block`` (its number), ``key``, the summary, and the packed ``ids, dense, rows, tokens, weights``. ``compact`` cuts large
-    keys by pivots, which pays where many blocks are met by few others.
+    keys by pivots, which pays where many blocks are met by few others. ``stage=False``: ``rows`` are cheap to read again (stored
+    or staged), so they are counted and packed without being written first.
     """
     rows = well_formed(rows).select(id_column, "key", "dense", "idx", "val").withColumn("dim", F.size("dense"))
-    rows = staged(rows, "vectors")  # counted, sampled and packed: whatever makes the vectors runs once
+    if stage:
+        rows = staged(rows, "vectors")  # counted, sampled and packed: whatever makes the vectors runs once
     counts = rows.groupBy("key", "dim").agg(F.count("*").alias("rows"))
     large = counts.filter(F.col("rows") > size)
     cell = ["key", "dim", "pivot", "part"]

@@ -42,7 +42,7 @@ def question_ids(spark, sf):
 
 def hits(spark, sf, mode="general", k=K.TOP_K):
     stored = staged(vectors(spark, sf), "embedded")  # one table for both sides: texts are embedded once
-    return retrieval.search(asked(stored), stored, mode, k)
+    return retrieval.search(asked(stored), stored, mode, k, stage=False)
 
 
 def evidence(spark, sf, k=K.TOP_K):
@@ -158,7 +158,7 @@ def topk_dense(spark, sf):
     base = table(spark, sf, "embeddings").select(
         "vec_id", F.lit("all").alias("key"), F.col("embedding").alias("dense"),
         none.cast("array<bigint>").alias("idx"), none.cast("array<double>").alias("val"))
-    return search.top_k(base.withColumnRenamed("vec_id", "query_id"), base, 10, alpha=1.0)
+    return search.top_k(base.withColumnRenamed("vec_id", "query_id"), base, 10, alpha=1.0, stage=False)
 
 
 @register("hybrid_score", "query_id long, vec_id long, score dbl6, rank long", f"""
