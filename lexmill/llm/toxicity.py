@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters look for words that start with a stem: those of a fixed English list, and stems learnt from a bounded sample of
-labelled texts (word starts that toxic texts share and clean ones lack, chosen to cover every toxic text several
+labelled texts (word starts that toxic texts share, or have several times, and clean ones lack, chosen to cover every toxic text several
 times); pattern voters look for several hits and for their density. A voter votes "toxic" or abstains.
 
 The label model is fitted on the votes of all documents: expectation-maximisation estimates the share of toxic
@@ -46,52 +46,59 @@ def normalise(text: str) -> str:
     return " " + text.lower().encode("utf-8", "replace").translate(_SPACED).decode()
 
 
-def learn_stems(sample: list[tuple[str, int]], most: int = 40, cover: int = 2, lengths: tuple[int, ...] = (4, 5, 6, 7)) -> list[str]:
-    """Word starts that cover the toxic texts of a sample ``cover`` times, each rare among clean ones."""
+#: How many words of a text must start with a learnt stem for its hits to count: word starts that clean texts have now and then
+#: still tell toxic texts, which have several.
+NEEDS = (1, 2, 4)
+
+
+def learn_stems(
+    sample: list[tuple[str, int]], most: int = 40, cover: int = 2, lengths: tuple[int, ...] = (4, 5, 6, 7), needs: tuple[int, ...] = NEEDS,
+) -> list[tuple[str, int]]:
+    """Word starts, with the hits they need, that cover the toxic texts of a sample ``cover`` times, each rare among clean ones."""
     toxic, clean, n_clean, n_toxic = defaultdict(set), Counter(), 0, 0
     for text, label in dict(sample).items():
-        words = set(normalise(text).split())
-        starts = {w[:k] for w in words for k in lengths if len(w) >= k}
+        starts = Counter(w[:k] for w in normalise(text).split() for k in lengths if len(w) >= k)
+        met = [(s, need) for s, n in starts.items() for need in needs if n >= need]
         if label:
-            for s in starts:
-                toxic[s].add(n_toxic)
+            for m in met:
+                toxic[m].add(n_toxic)
             n_toxic += 1
         else:
-            clean.update(starts)
+            clean.update(met)
             n_clean += 1
-    rate = lambda s: (clean[s] + 0.5) / (n_clean + 1)
-    pool = {s: d for s, d in toxic.items() if len(d) >= max(3, 0.01 * n_toxic) and len(d) / n_toxic > 12 * rate(s)}
+    rate = lambda m: (clean[m] + 0.5) / (n_clean + 1)
+    pool = {m: d for m, d in toxic.items() if len(d) >= max(3, 0.01 * n_toxic) and len(d) / n_toxic > 12 * rate(m)}
     need, chosen = np.full(n_toxic, cover), []
     while pool and len(chosen) < most:
-        gain = {s: (sum(need[i] > 0 for i in d) - 20 * n_toxic * clean[s] / max(1, n_clean), len(s), s) for s, d in pool.items()}
+        gain = {m: (sum(need[i] > 0 for i in d) - 20 * n_toxic * clean[m] / max(1, n_clean), len(m[0]), m) for m, d in pool.items()}
         best = max(gain, key=gain.get)
         if gain[best][0] < max(2, 0.003 * n_toxic):
             break
         chosen.append(best)
         for i in pool.pop(best):
             need[i] -= 1
-        pool = {s: d for s, d in pool.items() if not s.startswith(best) and not best.startswith(s)}
+        pool = {m: d for m, d in pool.items() if not m[0].startswith(best[0]) and not best[0].startswith(m[0])}
     return chosen
 
 
 class HitCounter:
-    """Counts hits of stems at word starts."""
+    """Counts hits of stems at word starts; of a stem with fewer hits than it needs, none count."""
 
-    def __init__(self, stems: list[str]):
+    def __init__(self, stems: list[tuple[str, int]]):
         import ahocorasick
 
-        self.n = len(stems)
+        self.needs = [need for _, need in stems]
         self.automaton = ahocorasick.Automaton()
-        for i, s in enumerate(stems):
+        for i, (s, _) in enumerate(stems):
             self.automaton.add_word(" " + s, i)
         self.automaton.make_automaton()
 
     def counts(self, text: str) -> tuple[list[int], int]:
         spaced = normalise(text)
-        hits = [0] * self.n
+        hits = [0] * len(self.needs)
         for _, i in self.automaton.iter(spaced):
             hits[i] += 1
-        return hits, len(spaced.split())
+        return [n if n >= need else 0 for n, need in zip(hits, self.needs)], len(spaced.split())
 
 
 def votes(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -106,7 +113,7 @@ def features(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(counts), counts > 0, np.log1p(total), total > 0, np.sqrt(total / np.maximum(words, 1)), np.log1p(words)])
 
 
-def count_hits(docs: DataFrame, stems: list[str]) -> DataFrame:
+def count_hits(docs: DataFrame, stems: list[tuple[str, int]]) -> DataFrame:
     """``doc_id, words, counts`` of every document, written once."""
 
     def work(slices):
@@ -185,7 +192,7 @@ def scored(
     sample = labelled_sample(docs, labels, label, folds, left_out, per_class, max_chars)
     toxic = sum(y for _, y in sample)
     learnt = learn_stems(sample) if 8 <= toxic < len(sample) else []
-    stems = learnt + [s for s in STEMS if not any(s.startswith(x) or x.startswith(s) for x in learnt)]
+    stems = learnt + [(s, 1) for s in STEMS if not any(s.startswith(x) or x.startswith(s) for x, _ in learnt)]
     counter = HitCounter(stems)
     own = [counter.counts(t) for t, _ in sample]
     c, w = np.array([x for x, _ in own]).reshape(len(own), len(stems)), np.array([x for _, x in own])

@@ -186,6 +186,6 @@ def test_an_id_of_many_rows_brings_one_text(spark):
 
 @pytest.mark.parametrize("text", ["“idiot”", "«idiot»", "¡idiot!", "x—idiot", "a\u3000idiot", "…idiot", "9idiot", "İdiot idiot"])
 def test_words_start_after_marks_of_any_script(text):
-    counter = toxicity.HitCounter(["idiot"])
+    counter = toxicity.HitCounter([("idiot", 1)])
     assert counter.counts(text)[0] == [1]
     assert counter.counts("éidiot xidiot")[0] == [0]
