@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,10 +73,20 @@ def map_batches(
 
         for rows in work(slices()):
             yield pa.RecordBatch.from_pydict({k: rows[k] for k in out.names}, schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker outlives its stage, and later ones need the memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
     """The rows whose text passes, all columns as they are. ``make`` runs once in each task."""
 
@@ -87,6 +98,7 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
             for at in range(0, batch.num_rows, SLICE):
                 flags += keep([t or "" for t in values.slice(at, SLICE).to_pylist()])
             yield batch.filter(pa.array(flags, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
