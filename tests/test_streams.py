@@ -166,3 +166,44 @@ def test_late_turns_within_the_delay_equal_the_batch_form(spark, tmp_path):
     in_time = df.select("session_id", F.struct("question_at", "turn").alias("at"), "turn", "question")
     want = sessions.expand_questions(in_time, F.lit(0), at="at", tie="turn")
     assert got == rows(want, "session_id", "turn", "search_text")
+
+
+def split_tables(spark, tmp_path, *names):
+    """The smallest tables, those named as folders of several files."""
+    import os
+
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    for file in os.listdir(SF):
+        name = file.removesuffix(".parquet")
+        if name in names:
+            spark.read.parquet(f"{SF}/{file}").repartition(3).write.parquet(str(sf / file))
+        else:
+            os.symlink(f"{SF}/{file}", sf / file)
+    return str(sf)
+
+
+@pytest.mark.parametrize("name", ["stream_index", "stream_context", "stream_sessions", "stream_retrieve", "stream_upsert", "stream_log_window"])
+def test_tables_in_folders_are_streamed(spark, tmp_path, name):
+    from lexmill.plans.catalog import QUERIES
+
+    sf = split_tables(spark, tmp_path, "documents", "conversations", "embeddings", "events")
+    got, want = QUERIES[name](spark, sf), QUERIES[name](spark, SF)
+    assert want.count() > 0 and rows(got, *got.columns) == rows(want, *want.columns)
+
+
+@pytest.mark.parametrize("name", ["stream_index", "stream_context", "stream_sessions"])
+def test_streams_of_empty_tables(spark, tmp_path, name):
+    from lexmill.plans.catalog import QUERIES
+
+    for table_name in ("documents", "conversations"):
+        spark.read.parquet(f"{SF}/{table_name}.parquet").limit(0).write.parquet(str(tmp_path / f"{table_name}.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_first_document_is_indexed_by_the_stream(spark, tmp_path):
+    from lexmill.plans.catalog import QUERIES
+
+    spark.createDataFrame([(0, "The first text of the table, long enough."), (1, "The second text of it, long enough.")], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    assert QUERIES["stream_index"](spark, str(tmp_path)).count() == 2
