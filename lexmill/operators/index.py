@@ -188,17 +188,17 @@ def update_hits(base: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def sync_newer(user_chunks: DataFrame, public: DataFrame, threshold: float = K.SYNC_THRESHOLD,
-               alpha: float = K.ALPHA) -> DataFrame:
+               alpha: float = K.ALPHA, stage: bool = True) -> DataFrame:
     """Updates to public records that a newer user chunk of the same article replaces.
 
     ``user_chunks``: chunk_ord (unique), article_key, law_date, text, dense, idx, val.
     ``public``: vec_id, article, law_date, dense, idx, val. Each chunk proposes its best public match;
-    each public record takes its first proposal, reduced before the shuffle.
+    each public record takes its first proposal, reduced before the shuffle. ``stage=False``: both are cheap to read again.
     """
     dated = user_chunks.filter(F.coalesce(F.col("law_date"), F.lit("")) != "")
     best = top_k(
         dated.select(F.col("chunk_ord").alias("query_id"), F.col("article_key").alias("key"), "dense", "idx", "val"),
-        public.withColumnRenamed("article", "key"), k=1, alpha=alpha,
+        public.withColumnRenamed("article", "key"), k=1, alpha=alpha, stage=stage,
     ).filter(F.col("score") >= threshold)
     proposed = (
         best.select(F.col("query_id").alias("chunk_ord"), "vec_id", "score")

@@ -212,3 +212,58 @@ def test_many_keys(spark):
     got = {r["query_id"]: (r["vec_id"], r["score"]) for r in search.top_k(q, v, 1, 0.5).collect()}
     score = lambda i, j: 0.5 * (2.0 + (i % 7) * (j % 3)) + 0.5 * (0.25 if i % 5 == j % 5 else 0.0)
     assert got == {i: max(((j, score(i, j)) for j in (i, i + n)), key=lambda x: (x[1], -x[0])) for i in range(n)}
+
+
+def test_grid_of_bands_matches_brute_force(spark, monkeypatch):
+    """Many bands and slices, tokens that most vectors hold beside rare ones: a block goes once to every cell it is needed in."""
+    monkeypatch.setattr(search, "BAND", 48)
+    monkeypatch.setattr(search, "SLICE", 20)
+    rng = np.random.default_rng(3)
+
+    def some(n, base):
+        tokens = [sorted({*rng.integers(0, 6, 4).tolist(), *rng.integers(100, 4000, 6).tolist()}) for _ in range(n)]
+        return [(base + i, "hot" if i % 4 else "b", rng.normal(size=DIM).tolist(), t, rng.random(len(t)).tolist()) for i, t in enumerate(tokens)]
+
+    targets, vectors = some(130, 0), some(300, 1000)
+    q = spark.createDataFrame(targets, "query_id bigint, " + SCHEMA)
+    v = spark.createDataFrame(vectors, "vec_id bigint, " + SCHEMA)
+    got = {}
+    for r in search.top_k(q, v, 4, 0.5, target_block=10, vector_block=8).orderBy("rank").collect():
+        got.setdefault((r["query_id"], r["key"]), []).append(r["vec_id"])
+    assert got == brute(targets, vectors, 4, 0.5)
+
+
+def test_weights_that_are_no_numbers_stay_with_their_tokens(spark):
+    inf = float("inf")
+    q = spark.createDataFrame([(1, "a", [1.0], [1, 2], [1.0, inf]), (2, "a", [1.0], [1], [1.0])], "query_id bigint, " + SCHEMA)
+    v = spark.createDataFrame([(5, "a", [0.5], [1, 9], [0.5, inf]), (6, "a", [0.25], [1], [0.5])], "vec_id bigint, " + SCHEMA)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in search.top_k(q, v, 2, 0.5).collect()}
+    assert got == {(1, 5): 0.5, (1, 6): 0.375, (2, 5): 0.5, (2, 6): 0.375}
+
+
+def test_blocks_are_sorted_together_not_collected(spark):
+    """A task packs one block at a time, and blocks are rows of some MB."""
+    v = spark.createDataFrame(rows(700, ["hot"]), "vec_id bigint, " + SCHEMA)
+    assert search.TARGET_BLOCK <= 256 and search.VECTOR_BLOCK <= 256
+    seen, staged_ = [], vector_blocks.staged
+
+    def watch(df, name, *more):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged_(df, name, *more)
+
+    vector_blocks.staged = watch
+    try:
+        packed = vector_blocks.blocks(v, "vec_id", 50, compact=True)
+    finally:
+        vector_blocks.staged = staged_
+    assert sorted(i for r in packed.select("ids").collect() for i in r["ids"]) == list(range(700))
+    assert not any("collect_list" in text for text in seen)
+
+
+def test_every_twentieth_row_is_asked_against_all(spark):
+    from lexmill.plans.catalog import QUERIES
+
+    from .conftest import SF
+
+    got = QUERIES["search_general"](spark, SF).collect()
+    assert {r["query_id"] for r in got} == set(range(0, 500, 20)) and any(r["vec_id"] % 20 for r in got)
