@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import citations as C
+from lexmill.functions import citations as C, constants as K
+from lexmill.functions.text import strip
 from lexmill.operators.verify import verify_answers
 
 
@@ -20,6 +23,33 @@ def test_law_before(one, between, law):
     assert one(lambda c: C.law_before(c), t=between) == law
 
 
+@pytest.mark.parametrize("between, tail", [
+    ("word, " * 500 + "이 사건 근로기준법 및 ", "근로기준법"),
+    ("word 조약: 부속: 규칙", "조약: 부속: 규칙"),
+    ("「상법」 " * 50 + "「 민 법 」,", " 「 민 법 」"),
+    ("및 또는 형법", "형법"),
+    (" x 및형법", "및형법"),
+    ("형법 (제1조) .", ""),
+])
+def test_only_the_tail_is_searched_for_a_law(one, between, tail):
+    assert one(lambda c: C._unwrap(c), t=between) == tail
+
+
+def test_tails_give_what_whole_texts_give(spark):
+    parts = ["형법", "법", "규칙", "및", "또는", "는", "·", "’", " ", "\n", ":", ": ", "a1", "-", "「", "」", "「상법」", "(", ")", ".", "제", "\x02", "\x85"]
+    r = random.Random(5)
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(0, 9))),) for _ in range(4000)]
+    c = F.btrim(F.regexp_replace("t", K.PARENTHESES, ""), F.lit(K.EDGE_JUNK_MARKS + K.WS_CHARS))
+    run = f"(?<![{K.LAW_CHARS}])"
+    usable = lambda w: F.when((w != "") & ~w.isin(*K.LAW_STOP_WORDS), w)
+    whole = F.coalesce(
+        F.nullif(strip(F.regexp_extract(c, K.BRACKETED_LAW, 1)), F.lit("")), usable(F.regexp_extract(c, run + K.COMPOUND_LAW, 1)),
+        usable(F.regexp_extract(c, run + K.WORD_LAW, 1)), F.lit(""))
+    compared = spark.createDataFrame(rows, "t string").select("t", C.law_before(F.col("t")).alias("a"), whole.alias("b"))
+    assert compared.filter("a <> b").collect() == []
+    assert compared.filter("a <> ''").count() > 500
+
+
 @pytest.mark.parametrize("law, ok", [("형법", True), ("제1항", False), ("항", False), ("전단", False), ("동법", False), ("", False), ("시행령", True)])
 def test_valid_law(one, law, ok):
     assert one(lambda c: C.is_valid_law(c), t=law) is ok
