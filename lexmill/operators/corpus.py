@@ -7,21 +7,24 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import constants as K
 from ..functions.citations import legal_metadata, post_clean
 from ..functions.text import (
-    clean_text, compose_law_and_article, format_date, is_valid_label, strip, transliterate, zfill,
+    clean_text, compose_law_and_article, format_date, is_valid_label, let, strip, transliterate, zfill,
 )
 
 
 def ordered_concat(sentences: DataFrame, keys: tuple[str, ...] = ("docu_type", "rid"),
-                   chars: dict = {}, words: dict = {}) -> DataFrame:
+                   chars: dict = {}, words: dict = {}, wanted: DataFrame | None = None) -> DataFrame:
     """One cleaned text per record from sentences ``seq, file, pos, content``.
 
     The result is one string cell, so a group is a document that fits in a row. Sentences without a
     usable id would all share one key and never match a label; they are dropped before the shuffle.
+    ``wanted``: rows with the keys of the records that are asked for; no other text is cleaned.
     """
     item = F.struct("seq", "file", "pos", "content")
     usable = sentences.filter(F.col("rid").isNotNull() & (F.col("rid") != K.MISSING_ID))
     joined = usable.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s"))
     raw = joined.select(*keys, F.array_join(F.col("_s.content"), "\n").alias("_raw"))
+    if wanted is not None:  # the texts are already spread by these keys
+        raw = raw.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
     return raw.select(*keys, transliterate(clean_text("_raw"), chars, words).alias("joined_text"))
 
 
@@ -51,14 +54,14 @@ def add_citations(records: DataFrame, head: int | None = None, strict: bool = Fa
     citations; None reads all of it.
     """
     parse = F.when(F.col("docu_type").isin(*K.CITED_TYPES), F.col("source_text")).otherwise("")
-    parsed = records.withColumn("_m", legal_metadata(parse, head))
-    law, article = compose_law_and_article(
-        "title", "sm_class", F.col("_m.laws"), F.col("_m.citations"), "docu_type"
-    )
-    return (
-        parsed.withColumn("law_name", post_clean(law, strict))
-        .withColumn("article", post_clean(article, strict)).drop("_m")
-    )
+
+    def named(m):
+        law, article = compose_law_and_article("title", "sm_class", m["laws"], m["citations"], "docu_type")
+        return F.struct(post_clean(law, strict).alias("law_name"), post_clean(article, strict).alias("article"))
+
+    # inlined as a generator of one row: as plain columns the parsing would be repeated wherever one of its values is used
+    others = [F.col(f"`{c}`") for c in records.columns if c not in ("law_name", "article")]
+    return records.select(*others, F.inline_outer(F.array(let(legal_metadata(parse, head), named))))
 
 
 def label_columns(labels: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def build_corpus(labels: DataFrame, sentences: DataFrame, head: int | None = Non
                  strict: bool = False) -> DataFrame:
     """Corpus rows ``info, label, docu_type, task_type, law_name, article, source_text``."""
     flat = label_columns(labels).filter("is_valid")
-    rows = add_citations(join_source(flat, ordered_concat(sentences)), head, strict)
+    rows = add_citations(join_source(flat, ordered_concat(sentences, wanted=flat)), head, strict)
     dated = F.transform_values(
         "info", lambda k, v: F.when(k.isin(*K.DATE_FIELDS), format_date(v)).otherwise(v)
     )

@@ -59,7 +59,7 @@ def ordered_concat(spark, sf):
 @register("source_join", "doc_id long, source_text str, is_fallback bool", f"select doc_id, source_text, is_fallback from ({SOURCED}) as s")
 def source_join(spark, sf):
     flat = C.label_columns(labels(spark, sf)).filter("is_valid")
-    return C.join_source(flat, C.ordered_concat(sentences(spark, sf)))
+    return C.join_source(flat, C.ordered_concat(sentences(spark, sf), wanted=flat))
 
 
 PARSED = sql_metadata(
@@ -86,7 +86,8 @@ def corpus_build(spark, sf):
         select l.*, (no_id or coalesce(joined_text, '') = '') as fb from ({LABELS}) as l left join ({JOINED}) as j on j.doc_id = l.doc_id) as z
     group by rollup (docu_type, task_type)""")
 def pipeline_stats(spark, sf):
-    checked = C.join_source(C.label_columns(labels(spark, sf)), C.ordered_concat(sentences(spark, sf)))
+    flat = C.label_columns(labels(spark, sf))
+    checked = C.join_source(flat, C.ordered_concat(sentences(spark, sf), wanted=flat))
     return C.pipeline_stats(checked)
 
 

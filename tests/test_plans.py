@@ -114,6 +114,17 @@ def test_recent_rows_are_pruned_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(out)
 
 
+def test_corpus_rows_are_parsed_once(spark):
+    optimized = QUERIES["corpus_build"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_extract_all(") == 1
+
+
+def test_only_wanted_records_are_cleaned(spark):
+    lines = spark.createDataFrame([("판결문", f"{i:06d}", 1.0, "f", 0, "글") for i in range(5)], "docu_type string, rid string, seq double, file string, pos long, content string")
+    wanted = spark.createDataFrame([("판결문", "000002"), ("판결문", "000002"), ("법령", "000003"), ("판결문", None)], "docu_type string, rid string")
+    assert [r["rid"] for r in corpus.ordered_concat(lines, wanted=wanted).collect()] == ["000002"]
+
+
 def test_labels_without_an_id_are_spread(spark):
     labels = spark.createDataFrame(
         [("판결문", "000000", f"출력 {i}") for i in range(200)] + [("판결문", "000001", "출력")], "docu_type string, rid string, output string")
