@@ -19,6 +19,8 @@ Copies of one set are one class from the start, and only the first of a class ma
 value per range of numbers, and ranges answer with the numbers met twice; only (id, key) rows of those follow. A number has
 12 bits more than the count of keys asks for, so few keys meet by chance, and none that is shared is missed.
 
+A set whose keys are met elsewhere too seldom for any link (``keys_and_need``) goes before its elements are asked for.
+
 Keys meet as grouped minima: every set under a key that others
 share is first compared with the smallest id there. A set's elements that no other candidate has bound what any other
 can share with it,
@@ -122,8 +124,17 @@ LEVELS = 4
 
 def keys(grams: np.ndarray, classes: Classes, known: dict) -> np.ndarray:
     """All keys of a set, as 64-bit numbers."""
-    out = []
-    for c in classes.of(len(grams)):
+    return keys_and_need(grams, classes, known)[0]
+
+
+def keys_and_need(grams: np.ndarray, classes: Classes, known: dict) -> tuple[np.ndarray, int]:
+    """All keys of a set, and how many of them at least any linked set has too.
+
+    An element in which two sets differ spoils one segment. So of m segments all but as many agree as linked sets of these
+    sizes can differ in, and those of them that are not empty give both sets a key.
+    """
+    out, least, size = [], [], len(grams)
+    for c in classes.of(size):
         if c not in known:
             known[c] = classes.allocation(c)
         m, extra, deletion = known[c]
@@ -139,6 +150,9 @@ def keys(grams: np.ndarray, classes: Classes, known: dict) -> np.ndarray:
             place = mix((np.arange(m, dtype=U) + U(m) * U(level)) * _B + U(c))
             out.append(mix(sums + place[full]))
             short = m - len(full)
+            if level == 0:  # in its own class a set meets larger ones too, in the class below only that class's sizes
+                partner = 100 * size // classes.p if not least else classes.low[c + 1] - 1
+                least.append(1 if deletion else m - classes.differences(size + partner) - short)
             if deletion:
                 longer = np.repeat(sizes > 1, sizes)
                 out.append(mix(np.repeat(sums, sizes)[longer] - inner[longer] + place[seg[longer]]))
@@ -148,7 +162,7 @@ def keys(grams: np.ndarray, classes: Classes, known: dict) -> np.ndarray:
             if level == LEVELS - 1:
                 some = full[sizes > 1] if deletion else full
                 out.append(mix(np.delete(place, some)))
-    return np.concatenate(out) if out else np.empty(0, U)
+    return np.concatenate(out) if out else np.empty(0, U), max(1, min(least, default=1))
 
 
 def identities(docs: DataFrame, n: int) -> DataFrame:
@@ -177,7 +191,9 @@ def numbers_of(packed: bytes, width: int) -> np.ndarray:
 
 
 def key_sets(docs: DataFrame, firsts: DataFrame, n: int, percent: int, deletion: bool, bits: int) -> DataFrame:
-    """``id, size, keys``: the keys of the documents named, as numbers of ``bits`` bits in whole bytes.
+    """``id, size, need, keys``: the keys of the documents named, as numbers of ``bits`` bits in whole bytes.
+
+    A set that links shares at least ``need`` of its keys with others.
 
     A few copies may pass the bitmap of ``firsts`` too; they only add rows that a later join leaves out.
     """
@@ -188,16 +204,18 @@ def key_sets(docs: DataFrame, firsts: DataFrame, n: int, percent: int, deletion:
         for rows in slices:
             met = common.is_member(bitmap, np.array(rows["id"], np.int64))
             sets = ngram_sets([t for t, k in zip(rows["text"], met) if k], n)
-            out = {"id": [i for i, k in zip(rows["id"], met) if k], "size": [len(s) for s in sets], "keys": []}
+            out = {"id": [i for i, k in zip(rows["id"], met) if k], "size": [len(s) for s in sets], "need": [], "keys": []}
             with np.errstate(over="ignore"):
                 for s in sets:
-                    numbers = np.unique(keys(s, classes, known) >> U(64 - bits)) if len(s) else np.empty(0, U)
+                    own, need = keys_and_need(s, classes, known) if len(s) else (np.empty(0, U), 1)
+                    numbers = np.unique(own >> U(64 - bits))
+                    out["need"].append(max(1, need - len(own) + len(numbers)))  # keys that became one number count once
                     out["keys"].append(numbers.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), common.text_or_empty().alias("text")).filter("id is not null")
     return common.map_batches(
-        rows, {"id": pa.int64(), "size": pa.int64(), "keys": pa.binary()}, "id long, size long, keys binary", work)
+        rows, {"id": pa.int64(), "size": pa.int64(), "need": pa.int64(), "keys": pa.binary()}, "id long, size long, need long, keys binary", work)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -300,11 +318,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, deletion: bool = True)
     under = common.stage(under.join(shared, "key"), "jaccard-under")
     common.drop(spark, first_under)
 
-    fetch = common.stage(under.select("id").distinct(), "jaccard-fetch")
+    fetch = common.stage(under.groupBy("id").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("id"), "jaccard-fetch")
     sets = common.stage(_sets(docs, fetch, n), "jaccard-grams")
     lone = common.stage(_lone_grams(sets), "jaccard-lone")
     room = F.col("size") - F.coalesce("lone", F.lit(0))
-    under = under.join(lone, "id", "left").withColumn("room", room).filter(100 * F.col("room") >= percent * F.col("size")).drop("lone")
+    under = under.join(fetch, "id").drop("need").join(lone, "id", "left").withColumn("room", room).filter(100 * F.col("room") >= percent * F.col("size")).drop("lone")
     under = common.stage(under, "jaccard-near")
 
     stars = under.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
@@ -425,7 +443,7 @@ def _by_blocks(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _under(entries: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """One row per set and key, without most of the keys that no other set has."""
+    """One row per set and key, without most of the keys that no other set has, and without sets that share too few to link."""
     width = -(-bits // 8)
 
     def work(slices):
@@ -433,12 +451,13 @@ def _under(entries: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
             own = [numbers_of(k, width).view(np.int64) for k in rows["keys"]]
             counts = [len(k) for k in own]
             flat = np.concatenate([*own, np.empty(0, np.int64)])
-            keep = common.is_member(bitmap, flat)
-            ids, sizes = (np.repeat(np.array(rows[c], np.int64), counts)[keep] for c in ("id", "size"))
-            yield {"id": ids, "size": sizes, "key": flat[keep]}
+            keep, of = common.is_member(bitmap, flat), np.repeat(np.arange(len(own)), counts)
+            keep &= (np.bincount(of[keep], minlength=len(own)) >= np.array(rows["need"], np.int64))[of]
+            ids, sizes, need = (np.array(rows[c], np.int64)[of[keep]] for c in ("id", "size", "need"))
+            yield {"id": ids, "size": sizes, "need": need, "key": flat[keep]}
 
-    kinds = {"id": pa.int64(), "size": pa.int64(), "key": pa.int64()}
-    return common.map_batches(entries.select("id", "size", "keys"), kinds, "id long, size long, key long", work)
+    kinds = {c: pa.int64() for c in ("id", "size", "need", "key")}
+    return common.map_batches(entries.select("id", "size", "need", "keys"), kinds, "id long, size long, need long, key long", work)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:

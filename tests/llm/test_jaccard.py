@@ -59,6 +59,50 @@ def test_sets_with_many_empty_segments_share_a_key():
             assert np.intersect1d(a, b).size
 
 
+@pytest.mark.parametrize("percent, deletion", [(80, False), (50, False), (90, True)])
+def test_linked_sets_share_as_many_keys_as_needed(percent, deletion):
+    """Linked sets of random and of hollow partitions, also at the very threshold, and sets that share one segment by chance."""
+    rng = np.random.default_rng(percent)
+    classes, known, asked, chance = jaccard.Classes(percent, deletion=deletion), {}, 0, 0
+    with np.errstate(over="ignore"):
+        for i in range(3000):
+            n = int(rng.choice([1, 3, 9, 10, 14, 25, 44, 57, 60, 90, 112, 113, 200, 311, 400]))
+            pool = rng.integers(0, 2**64, 40 * n + 60, dtype=np.uint64)
+            if i % 3 == 0:  # many segments without an element
+                pool = pool[(jaccard.mix(pool + jaccard._C) % np.uint64(max(1, classes.allocation(classes.of(n)[0])[0]))) < max(1, n // 4)]
+            n = min(n, len(pool) // 2)
+            if not n:
+                continue
+            common = n - int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            x, more = pool[:n], int(rng.integers(0, n // 2 + 1))
+            y = np.r_[x[:common], pool[n:n + more]]
+            if common == n and not more or 100 * common < percent * (n + more):
+                continue
+            (a, need_a), (b, need_b) = (jaccard.keys_and_need(np.unique(s), classes, known) for s in (x, y))
+            shared = np.intersect1d(a, b).size
+            assert shared >= max(need_a, need_b, 1), (n, common, more, shared, need_a, need_b)
+            asked += need_a > 5
+            chance += need_a > 1
+    assert percent != 80 or (chance > 200 and asked > 100)
+
+
+def test_a_set_that_shares_one_key_by_chance_is_not_asked_for(spark):
+    """Texts that have one short sentence in common share a key, but far fewer than linked ones would."""
+    rng = np.random.default_rng(3)
+    own = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    line, copied = "this one line stands in every text of the table and in its copies ", own(300)
+    texts = [line + own(280) for _ in range(40)] + [line + copied, line + copied + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = docs.selectExpr("doc_id as id")
+    entries = jaccard.key_sets(docs, ids, 5, 80, False, 40).cache()
+    numbers = jaccard.shared_numbers(entries, 40, 2)
+    kept = {r["id"] for r in jaccard._under(entries, jaccard.common.members(numbers, "number"), 40).select("id").distinct().collect()}
+    assert kept >= {40, 41} and len(kept) < 10
+    assert entries.count() == 42 and numbers.count() > 10
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, n=5, percent=80, deletion=False).collect()}
+    assert found == {i: min(i, 40) for i in range(42)}
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
 def test_components(spark, pairs):
