@@ -101,3 +101,17 @@ def test_added_tokens_have_the_ids_of_the_library(path):
     fresh = Tokenizer.from_file(path)
     want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == want
+
+
+@pytest.mark.parametrize("path", FILES.values())
+def test_new_words_with_marks_or_at_line_starts_go_to_the_model_alone(path, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abdegilmnorstuzäéñßÜQ") for _ in range(rng.randint(1, 9)))
+    marks = ["", "", ".", ",", "***", "!?", '.")', "$$$", "_", "--"]
+    texts = ["".join(rng.choice((" ", " ", "\n")) + word() + rng.choice(marks) for _ in range(40))[1:] for _ in range(50)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encoder, pieces = Encoder(path), []
+    whole = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda some, *more: pieces.extend(some) or whole(some, *more))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert encoder.by_model and {p for p in pieces if p} <= set(marks)  # each run of marks once, no word
