@@ -30,8 +30,8 @@ ASKED = {"legal_gate": "best_score is not null", "verify_answers": "verified_ref
 
 
 @pytest.mark.parametrize("name", [
-    "search_general", "search_document", "search_hybrid", "hybrid_score", "topk_dense", "attach_text", "prompt_hits", "sources",
-    "valid_refs", "verify_answers", "stream_retrieve"])
+    "search_general", "search_document", "search_hybrid", "hybrid_score", "topk_dense", "attach_text", "legal_gate", "prompt_hits", "sources",
+    "valid_refs", "verify_answers", "reference_block", "prompt_messages", "stream_retrieve"])
 def test_every_row_is_asked(spark, sf, name):
     found = {r["query_id"] for r in QUERIES[name](spark, sf).filter(ASKED.get(name, "true")).collect()}
     # an answer shows it only where its evidence backs one of its citations
