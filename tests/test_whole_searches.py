@@ -37,3 +37,12 @@ def test_every_row_is_asked(spark, sf, name):
     # an answer shows it only where its evidence backs one of its citations
     assert len(found - {20}) > 5 if name == "verify_answers" else found == set(range(1, N + 1))
     assert "% 20 = 0" not in ORACLE[name]
+
+
+def test_answers_go_into_the_join_as_references(spark, sf):
+    """With evidence for every answer the join sorts them; their whole texts need not go along."""
+    node = QUERIES["verify_answers"](spark, sf)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    sent = {name.split("#")[0] for name in node.children().head().output().mkString(",").split(",")}
+    assert sent == {"query_id", "answer_refs"}
